@@ -1,8 +1,10 @@
 """Queries and oracle SQL of the training-data operators."""
 
-from quotaforge.llm import chat, decontam, mixing, simhash
+from quotaforge.llm import chat, decontam, language, mixing, secrets, simhash
 
 QUERIES = {
+    "op4_language": language.op4_language,
+    "op5_secrets": secrets.op5_secrets,
     "op7_chat": chat.op7_chat,
     "op8_simhash": simhash.op8_simhash,
     "op9_decontamination": decontam.op9_decontamination,
