@@ -28,6 +28,8 @@ WEIGHTS = (5, 2, 1)
 MOST_COPIES = 3
 #: Hexadecimal digits of the hash, and how many of them each histogram resolves.
 DIGITS, STEP = 15, 3
+#: Sources (rows of a few dozen bytes) up to which the per-source table is broadcast; beyond it the joins shuffle.
+BROADCAST_SOURCES = 10_000
 
 
 def words(text: Column) -> Column:
@@ -85,11 +87,13 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: float = MOST_COPIES, share: floa
         .withColumn("_prefix", F.lit(""))
     )
     plan = cut(plan)
+    small = plan.count() <= BROADCAST_SOURCES
+    held = F.broadcast if small else lambda frame: frame
     inside = slim
     for level in range(DIGITS // STEP):
         last = level == DIGITS // STEP - 1
         key = plan.select(F.col("source").alias("_s"), F.col("_prefix").alias("_p"), F.col("_left").alias("_l"))
-        inside = inside.join(key, F.col("source").eqNullSafe(F.col("_s")) & F.startswith(F.col("_hash"), F.col("_p")), "inner")
+        inside = inside.join(held(key), F.col("source").eqNullSafe(F.col("_s")) & F.startswith(F.col("_hash"), F.col("_p")), "inner")
         sums = inside.groupBy("source", _place(level).alias("_bucket")).agg(F.sum("size").alias("_sum"), F.first("_l").alias("_l"))
         inside = inside.drop("_s", "_p", "_l")
         run = F.sum("_sum").over(Window.partitionBy("source").orderBy("_bucket"))
@@ -119,7 +123,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: float = MOST_COPIES, share: floa
     below = (F.col("_hash") < F.col("_prefix")) | ((F.col("_hash") == F.col("_prefix")) & F.col("_take_end"))
     copies = (F.col("_whole") + F.when(below & (F.col("_whole") < most), 1).otherwise(0)).cast("long")
     return (
-        slim.join(rule, F.col("source").eqNullSafe(F.col("_s")))
+        slim.join(held(rule), F.col("source").eqNullSafe(F.col("_s")))
         .select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), (copies * F.col("size")).alias("taken"), copies.alias("copies"))
     )
 

@@ -1,10 +1,12 @@
 """Queries and oracle SQL of the training-data operators."""
 
-from quotaforge.llm import chat, decontam, language, mixing, secrets, simhash
+from quotaforge.llm import chat, decontam, language, matroska, mixing, pii, secrets, simhash
 
 QUERIES = {
+    "op2_matroska": matroska.op2_matroska,
     "op4_language": language.op4_language,
     "op5_secrets": secrets.op5_secrets,
+    "op6_pii": pii.op6_pii,
     "op7_chat": chat.op7_chat,
     "op8_simhash": simhash.op8_simhash,
     "op9_decontamination": decontam.op9_decontamination,
