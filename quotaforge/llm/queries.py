@@ -1,9 +1,10 @@
 """Queries and oracle SQL of the training-data operators."""
 
-from quotaforge.llm import chat, decontam, language, matroska, mixing, pii, secrets, simhash
+from quotaforge.llm import chat, decontam, language, matroska, mixing, pii, secrets, simhash, suffixes
 
 QUERIES = {
     "op2_matroska": matroska.op2_matroska,
+    "op3_suffix_dedup": suffixes.op3_suffix_dedup,
     "op4_language": language.op4_language,
     "op5_secrets": secrets.op5_secrets,
     "op6_pii": pii.op6_pii,

@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quotaforge.llm.common import cut, shuffle_width, table
 from quotaforge.llm.graph import components
@@ -171,3 +172,26 @@ def classes(docs: DataFrame, bits: int = BITS, width: int = 4) -> DataFrame:
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = classes(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def first_of_each(docs: DataFrame, bits: int = BITS, width: int = 4) -> DataFrame:
+    """One row of `docs` per component, all columns as they were: the one with the least doc_id (nulls last).
+
+    Of rows that share that doc_id, the text with the least hash stays, then the row whose
+    columns hash least. Only ids and hashes are grouped; texts meet them by (doc_id, hash).
+    """
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("_h"), "text")
+    prints = cut(fingerprints(keyed, width, ("doc_id", "_h")))
+    roots = components(links(cut(prints.select("fp").distinct()), bits))
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_h")
+    least = prints.groupBy("fp").agg(F.min(place).alias("least"))
+    kept = (
+        least.join(roots, least["fp"] == roots["node"], "left")
+        .groupBy(F.coalesce("root", "fp").alias("root"))
+        .agg(F.min("least").alias("least"))
+        .select(F.col("least.doc_id").alias("_kept_id"), F.col("least._h").alias("_kept_h"))
+    )
+    with_hash = docs.withColumn("_kept_row", F.xxhash64("text"))
+    matched = with_hash.join(cut(kept), (F.col("doc_id").eqNullSafe(F.col("_kept_id"))) & (F.col("_kept_row") == F.col("_kept_h")), "left_semi")
+    turn = Window.partitionBy("doc_id", "_kept_row").orderBy(F.xxhash64(*docs.columns))
+    return matched.withColumn("_kept_turn", F.row_number().over(turn)).filter("_kept_turn = 1").select(*docs.columns)
