@@ -1,8 +1,9 @@
 """Queries and oracle SQL of the training-data operators."""
 
-from quotaforge.llm import chat, decontam, language, matroska, mixing, pii, secrets, simhash, suffixes
+from quotaforge.llm import chat, decontam, language, matroska, maxent, mixing, pii, secrets, simhash, suffixes
 
 QUERIES = {
+    "op1_maxent": maxent.op1_maxent,
     "op2_matroska": matroska.op2_matroska,
     "op3_suffix_dedup": suffixes.op3_suffix_dedup,
     "op4_language": language.op4_language,
