@@ -40,12 +40,12 @@ from pyspark.sql import functions as F
 
 from quotaforge.llm.common import cut, shuffle_width, table
 
-LENGTH, GRAM = 100, 24
+LENGTH, GRAM = 100, 16
 #: Bounds of the splitters: documents in the sample, anchors taken of each, buckets.
 SAMPLE, PER_DOC, SPLITTERS = 4000, 50, 100_000
 LAST = np.iinfo(np.int64).max
 #: Bytes of text that a worker cuts at once.
-CHUNK = 4_000_000
+CHUNK = 16_000_000
 MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
@@ -56,17 +56,27 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 
 def gram_hashes(x: np.ndarray) -> np.ndarray:
-    """64-bit hashes of all `GRAM`-byte strings of the bytes `x`: three 8-byte characters mixed."""
+    """64-bit hashes of all `GRAM`-byte strings of the bytes `x`: 8-byte characters mixed."""
     n = len(x) - GRAM + 1
     word = np.zeros(len(x) - 7, np.uint64)
     for k in range(8):
         word |= x[k : len(x) - 7 + k].astype(np.uint64) << np.uint64(56 - 8 * k)
-    h = mixed(word[:n] + np.uint64(0x9E3779B97F4A7C15))
-    for k in range(1, GRAM // 8):
-        h = mixed(h + word[8 * k : 8 * k + n] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(k))
+    return chars_hash([word[8 * k : 8 * k + n] for k in range(GRAM // 8)])
+
+
+def chars_hash(chars: list[np.ndarray]) -> np.ndarray:
+    h = np.zeros(len(chars[0]), np.uint64)
+    for k, c in enumerate(chars):
+        h = mixed(h + c * np.uint64(0x9E3779B97F4A7C15) + np.uint64(k + 1))
     return h
 
 
+def hashes_at(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """`gram_hashes` at the places `at` only."""
+    rows = x[at[:, None] + np.arange(GRAM)]
+    return chars_hash(list(rows.view(">u8").astype(np.uint64).T))
+
+
 def window_argmin(h: np.ndarray, width: int) -> np.ndarray:
     """Place of the least value in each run of `width` values, the leftmost on ties."""
     low, at = h.copy(), np.arange(len(h), dtype=np.int32)
@@ -100,10 +110,15 @@ def pieces(x: np.ndarray, length: int = LENGTH) -> Pieces | None:
     edge = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
     stop = np.concatenate((edge[1:], [len(at)])) - 1
     anchor = at[edge].astype(np.int64)
-    lead = np.zeros(len(anchor), np.uint64)
+    return Pieces(anchor, anchor - stop, anchor - edge, leads(x, anchor, h[anchor]))
+
+
+def leads(x: np.ndarray, at: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Order of the suffixes at the places `at`: four bytes, then 32 bits of the token run's hash."""
+    lead = h >> np.uint64(32)
     for k in range(4):
-        lead |= x[anchor + k].astype(np.uint64) << np.uint64(56 - 8 * k)
-    return Pieces(anchor, anchor - stop, anchor - edge, lead | (h[anchor] >> np.uint64(32)))
+        lead |= x[at + k].astype(np.uint64) << np.uint64(56 - 8 * k)
+    return lead
 
 
 def multikey_order(chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -154,7 +169,10 @@ def ranks_by_prefix(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return rank, shared
 
 
-HEAD = np.dtype([("doc", "<i8"), ("hash", "<i8"), ("anchor", "<i8"), ("lead", "<u8"), ("low", "u1"), ("high", "u1")])
+HEAD = np.dtype([("doc", "<i8"), ("hash", "<i4"), ("anchor", "<i8"), ("lead", "<u8"), ("low", "u1"), ("high", "u1")])
+#: What is sent of it: the lead is made again from the bytes.
+SENT = ("doc", "hash", "anchor", "low", "high")
+LEVEL = 3
 
 
 def pack(rows: np.ndarray, flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> bytes:
@@ -162,9 +180,12 @@ def pack(rows: np.ndarray, flat: np.ndarray, starts: np.ndarray, sizes: np.ndarr
     import zstandard
 
     at = np.repeat(starts - np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes) + np.arange(sizes.sum())
-    columns = [np.ascontiguousarray(rows[c]).tobytes() for c in HEAD.names]
+    # bytes of one weight together, numbers as differences, compress better
+    plain = [rows["doc"], rows["hash"], rows["anchor"]]
+    split = [np.diff(c, prepend=c.dtype.type(0)).view(np.uint8).reshape(len(rows), -1).T.tobytes() for c in plain]
+    columns = [*split, rows["low"].tobytes(), rows["high"].tobytes()]
     raw = len(rows).to_bytes(8, "little") + b"".join(columns) + flat[at].tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(raw)
+    return zstandard.ZstdCompressor(level=LEVEL).compress(raw)
 
 
 def unpack(block: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -173,9 +194,10 @@ def unpack(block: bytes) -> tuple[np.ndarray, np.ndarray]:
     raw = zstandard.ZstdDecompressor().decompress(block)
     n, at = int.from_bytes(raw[:8], "little"), 8
     rows = np.empty(n, HEAD)
-    for c in HEAD.names:
+    for c in SENT:
         kind = HEAD[c]
-        rows[c] = np.frombuffer(raw, kind, n, at)
+        part = np.frombuffer(raw, np.uint8, n * kind.itemsize, at)
+        rows[c] = part if kind.itemsize == 1 else np.cumsum(np.ascontiguousarray(part.reshape(-1, n).T).view(kind).ravel(), dtype=kind)
         at += n * kind.itemsize
     return rows, np.frombuffer(raw, np.uint8, offset=at)
 
@@ -218,6 +240,11 @@ def sampled_splitters(docs: DataFrame, buckets: int, length: int = LENGTH) -> np
     return leads[(np.arange(1, buckets) * len(leads)) // buckets]
 
 
+def text_hash():
+    """32 bits that tell the texts of one doc_id apart."""
+    return F.xxhash64("text").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
+
+
 def dealt(docs: DataFrame, splitters: np.ndarray, length: int = LENGTH) -> DataFrame:
     """(bucket, block): the pieces of all documents."""
 
@@ -248,7 +275,7 @@ def dealt(docs: DataFrame, splitters: np.ndarray, length: int = LENGTH) -> DataF
         if not rows:
             return
         rows, starts, sizes = np.concatenate(rows), np.concatenate(starts), np.concatenate(sizes)
-        spread = mixed(rows["doc"].view(np.uint64) + mixed(rows["hash"].view(np.uint64) + rows["anchor"].astype(np.uint64)))
+        spread = mixed(rows["doc"].astype(np.uint64) + mixed(rows["hash"].astype(np.uint64) + rows["anchor"].astype(np.uint64)))
         bucket = deal(rows["lead"], spread, splitters)
         order = np.argsort(bucket, kind="stable")
         edge = np.flatnonzero(np.concatenate(([True], np.diff(bucket[order]) > 0)))
@@ -259,7 +286,7 @@ def dealt(docs: DataFrame, splitters: np.ndarray, length: int = LENGTH) -> DataF
             blocks.append(pack(rows[own], flat, starts[own], sizes[own]))
         yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(blocks, pa.binary())], ["bucket", "block"])
 
-    slim = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string"))
+    slim = docs.select(F.col("doc_id").cast("long"), text_hash().alias("text_hash"), F.col("text").cast("string"))
     return slim.mapInArrow(run, "bucket int, block binary")
 
 
@@ -295,6 +322,9 @@ def compared(blocks: list[bytes], wide: np.ndarray, length: int = LENGTH):
     del parts
     sizes = rows["high"].astype(np.int64) - rows["low"] + length
     ends = np.cumsum(sizes)
+    for a in range(0, len(rows), 100_000):
+        at = (ends - sizes + rows["high"])[a : a + 100_000]
+        rows["lead"][a : a + 100_000] = leads(flat, at, hashes_at(flat, at))
     # tokens held once are no repeats, unless other buckets hold them too
     _, at, many = np.unique(rows["lead"], return_inverse=True, return_counts=True)
     keep = (many[at] > 1) | np.isin(rows["lead"], wide)
@@ -317,8 +347,8 @@ def compared(blocks: list[bytes], wide: np.ndarray, length: int = LENGTH):
     return (np.concatenate(out) if out else np.zeros(0, RUN)), (np.concatenate(across) if across else np.zeros(0, ACROSS))
 
 
-RUN = np.dtype([("doc", "<i8"), ("hash", "<i8"), ("start", "<i8"), ("end", "<i8")])
-ACROSS = np.dtype([("key", "<i8"), ("key2", "<i8"), ("doc", "<i8"), ("hash", "<i8"), ("start", "<i8")])
+RUN = np.dtype([("doc", "<i8"), ("hash", "<i4"), ("start", "<i8"), ("end", "<i8")])
+ACROSS = np.dtype([("key", "<i8"), ("key2", "<i8"), ("doc", "<i8"), ("hash", "<i4"), ("start", "<i8")])
 
 
 def _classes(rows: np.ndarray, flat: np.ndarray, ends: np.ndarray, wide: np.ndarray, length: int):
@@ -411,7 +441,7 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*_columns(across), none(len(across), pa.int64())], ["key", "key2", "doc", "hash", "start", "end"])
 
     buckets = dealt(docs, splitters, length).repartitionById(len(splitters) + 1, F.col("bucket")).sortWithinPartitions("bucket")
-    found = buckets.mapInArrow(run, "key long, key2 long, doc long, hash long, start long, `end` long")
+    found = buckets.mapInArrow(run, "key long, key2 long, doc long, hash int, start long, `end` long")
     if not len(wide):
         return found.select("doc", "hash", "start", "end")
     found = cut(found)
@@ -440,12 +470,12 @@ def removed_runs(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 out.append([{"start": int(a), "end": int(b)} for a, b in zip(start[at], reach[tail], strict=True)])
             yield pa.RecordBatch.from_arrays([batch["doc"], batch["hash"], pa.array(out, kind)], ["doc", "hash", "runs"])
 
-    return listed.mapInArrow(run, "doc long, hash long, runs array<struct<start:long,end:long>>")
+    return listed.mapInArrow(run, "doc long, hash int, runs array<struct<start:long,end:long>>")
 
 
 def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, n_bytes, `kept` (the remaining bytes) and `runs` (what was removed) for each row of `docs`."""
-    slim = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("_hash"), F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("_bytes"))
+    slim = docs.select(F.col("doc_id").cast("long"), text_hash().alias("_hash"), F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("_bytes"))
     runs = removed_runs(docs, length)
     both = slim.join(runs, (F.coalesce("doc_id", F.lit(int(LAST))) == F.col("doc")) & (F.col("_hash") == F.col("hash")), "left")
 
