@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quotaforge.llm.common import table
+from quotaforge.llm.common import least_hashed, table
 
 BUCKETS, WIDTH, GRAMS = 1 << 15, 16, (2, 3, 4)
 #: The fit's bound: labelled rows, and bytes of a row that may be among them.
@@ -131,11 +131,9 @@ def fit(rows: list[tuple[str, str]], seed: int = 7, epochs: int = EPOCHS, rate:
 
 def train(docs: DataFrame, sample: int = SAMPLE, most_bytes: int = MOST_BYTES) -> Model:
     """Fits on the `sample` rows of least hash among the labelled ones of at most `most_bytes` bytes."""
-    rows = (
-        docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.octet_length("text") <= most_bytes))
-        .select(F.xxhash64("text").alias("h"), "text", F.col("lang").cast("string").alias("lang"))
-        .orderBy("h", "text", "lang").limit(sample).collect()
-    )
+    usable = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.octet_length("text") <= most_bytes))
+    usable = usable.select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
+    rows = least_hashed(usable, sample, "doc_id", "text").orderBy("_least_hash", "text", "lang").limit(sample).collect()
     return fit([(r["text"], r["lang"]) for r in rows])
 
 
@@ -181,6 +179,6 @@ def keep_known(docs: DataFrame, model: Model) -> DataFrame:
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = in_fold(F.col("doc_id"), 3, 1)
-    model = train(docs.filter(~held).select("text", "lang"))
+    model = train(docs.filter(~held).select("doc_id", "text", "lang"))
     found = classify(docs.select("doc_id", held.alias("held_out"), "text"), model, ("doc_id", "held_out"))
     return found.select("doc_id", "held_out", "lang_pred", "score", "rejected")
