@@ -24,7 +24,7 @@ from quotaforge.llm.common import shared_folder, table
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the rows whose language is rejected; fits on the labelled rows of two of three folds."""
-    model = language.train(docs.filter(~language.in_fold(F.col("doc_id"), 3, 1)).select("text", "lang"))
+    model = language.train(docs.filter(~language.in_fold(F.col("doc_id"), 3, 1)).select("doc_id", "text", "lang"))
     return language.keep_known(docs, model)
 
 

@@ -1,4 +1,453 @@
-"""All registered queries with their oracle SQL."""
+"""Registered queries over the driver's tables, each with its oracle SQL where SQL has a form for it.
+
+Pools: lineitem is the large pool (score: price), documents with labels the labelled one,
+embeddings the one with representations (probabilities: softmax of ten times the cosine to
+the class centroids of a seed subset), assistant turns of conversations the preference
+pairs, orders the run records.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from quotaforge.functions import expr as E
+from quotaforge.operators import audit, choose, evaluate, tables
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+
+
+def query(name: str, sql: str | None = None):
+    def keep(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return keep
+
+
+def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _rounded(frame: DataFrame, digits: int = 6) -> DataFrame:
+    return frame.select(*[(F.round(c, digits) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in frame.dtypes])
+
+
+# --- pools -----------------------------------------------------------------------------
+
+LINE_ID = "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, cast(round(l_extendedprice * 100) as bigint))"
+
+
+def line_pool(spark, d):
+    return _t(spark, d, "lineitem").select(F.expr(LINE_ID).alias("id"), F.col("l_extendedprice").alias("score"), "l_returnflag", "l_linestatus")
+
+
+LINE_SQL = """
+pool AS (SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, round(l_extendedprice * 100)::BIGINT) AS id,
+                l_extendedprice AS score, l_returnflag, l_linestatus FROM lineitem),
+marked AS (SELECT *, row_number() OVER (ORDER BY score DESC, id) <= (SELECT count(*) // 10 FROM pool) AS selected FROM pool)"""
+
+
+def line_marked(spark, d):
+    pool = line_pool(spark, d)
+    return choose.marked(pool, choose.top_budget(pool, "score", "id", pool.count() // 10), "id")
+
+
+def labelled(spark, d):
+    return _t(spark, d, "documents").join(_t(spark, d, "labels"), "doc_id")
+
+
+def class_pool(spark, d):
+    """id, label, embedding, p: probabilities by the centroids of every fifth row; a centroid is a few hundred bytes a class."""
+    rows = _t(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("id"), "vec_id", "label", "embedding")
+    each = rows.filter("vec_id % 5 = 0").select("label", F.posexplode("embedding").alias("k", "x"))
+    means = each.groupBy("label", "k").agg(F.avg(F.col("x").cast("double")).alias("m"))
+    centres = means.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "m"))), lambda s: s["m"]).alias("c"))
+    table = centres.agg(F.array_sort(F.collect_list(F.struct("label", "c"))).alias("centres"))  # one row
+    z = F.transform("centres", lambda s: F.lit(10.0) * E.dot(s["c"], F.col("embedding")) / (E.norm(s["c"]) * E.norm(F.col("embedding"))))
+    scored = rows.crossJoin(F.broadcast(table)).withColumn("p", E.softmax(z))
+    return scored.withColumn("prediction", F.col("centres")[F.array_position("p", F.array_max("p")).cast("int") - 1]["label"]).drop("centres")
+
+
+CLASS_SQL = """
+rows_ AS (SELECT vec_id::VARCHAR AS id, vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+dims AS (SELECT label, k, avg(e[k]) AS m FROM rows_, range(1, 65) r(k) WHERE vec_id % 5 = 0 GROUP BY label, k),
+centres AS (SELECT label, list(m ORDER BY k) AS c FROM dims GROUP BY label),
+z AS (SELECT r.id, r.label, c.label AS own, 10 * list_dot_product(c.c, r.e) / (sqrt(list_dot_product(c.c, c.c)) * sqrt(list_dot_product(r.e, r.e))) AS z,
+             sqrt(list_dot_product(r.e, r.e)) AS n FROM rows_ r CROSS JOIN centres c),
+q AS (SELECT *, exp(z - max(z) OVER (PARTITION BY id)) AS e FROM z),
+prob AS (SELECT id, label, own, n, e / sum(e) OVER (PARTITION BY id) AS p FROM q)"""
+
+
+def preference_pairs(spark, d):
+    """Consecutive assistant turns of a conversation as responses A and B; A is preferred if it is longer."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    said = _t(spark, d, "conversations").filter("role = 'assistant'").withColumn("_a", F.lag("text").over(w)).filter("_a is not null")
+    a, b = E.word_count(F.col("_a")), E.word_count(F.col("text"))
+    pairs = said.select(F.concat_ws("-", "conv_id", "turn").alias("id"), "conv_id", F.col("_a").alias("response_a"), F.col("text").alias("response_b"), a.alias("words_a"), b.alias("words_b"))
+    return pairs.withColumn("gap", E.length_gap(F.col("words_a"), F.col("words_b"))).withColumn("bin", E.length_bin(F.col("gap")))
+
+
+PAIR_SQL = """
+said AS (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS a FROM conversations WHERE role = 'assistant'),
+words AS (SELECT concat_ws('-', conv_id, turn) AS id, conv_id, len(regexp_extract_all(a, '[^\\s]+')) AS words_a, len(regexp_extract_all(text, '[^\\s]+')) AS words_b FROM said WHERE a IS NOT NULL),
+pairs AS (SELECT *, CASE WHEN words_a + words_b = 0 THEN 0 ELSE (words_a - words_b) / (words_a + words_b)::DOUBLE END AS gap FROM words),
+binned AS (SELECT *, CASE WHEN gap < -0.2 THEN 'b_longer' WHEN gap > 0.2 THEN 'a_longer' ELSE 'balanced' END AS bin FROM pairs)"""
+
+AUDIT = """SELECT field, grp AS "group", pool_count, selected_count, round(pool_share, 6) AS pool_share, round(selected_count / pool_count, 6) AS propensity,
+ round(selected_share, 6) AS selected_share, round(pool_share * (selected_count / pool_count) / rate, 6) AS predicted_share,
+ round(abs(pool_share * (selected_count / pool_count) / rate - selected_share), 6) + 0.0 AS share_error FROM shares"""
+SHARES = """
+counts AS (SELECT field, grp, count(*) AS pool_count, count(*) FILTER (selected) AS selected_count
+           FROM (SELECT 'l_returnflag' AS field, l_returnflag AS grp, selected FROM marked UNION ALL SELECT 'l_linestatus', l_linestatus, selected FROM marked) GROUP BY ALL),
+shares AS (SELECT *, pool_count::DOUBLE / sum(pool_count) OVER (PARTITION BY field) AS pool_share,
+  selected_count::DOUBLE / sum(selected_count) OVER (PARTITION BY field) AS selected_share,
+  sum(selected_count) OVER (PARTITION BY field)::DOUBLE / sum(pool_count) OVER (PARTITION BY field) AS rate FROM counts)"""
+
+
+# --- audits ----------------------------------------------------------------------------
+
+
+@query("audit_lineitem_topk", f"WITH {LINE_SQL}, {SHARES} {AUDIT}")
+def audit_lineitem(spark, d):
+    return _rounded(audit.group_audit(line_marked(spark, d), ["l_returnflag", "l_linestatus"]))
+
+
+@query(
+    "shift_summary",
+    f"""WITH {LINE_SQL}, {SHARES}, s AS (SELECT *, (pool_share + selected_share) / 2 AS m, selected_count / pool_count AS pr FROM shares)
+SELECT field, round(sum(abs(pool_share - selected_share)) / 2, 6) AS tv,
+ round((sum(CASE WHEN pool_share > 0 THEN pool_share * ln(pool_share / m) ELSE 0 END) + sum(CASE WHEN selected_share > 0 THEN selected_share * ln(selected_share / m) ELSE 0 END)) / 2, 6) AS js,
+ round(coalesce(max(pr) FILTER (pr > 0) / min(pr) FILTER (pr > 0), 0), 6) AS max_propensity_ratio, round(min(selected_share / pool_share), 6) AS worst_coverage,
+ round(sum(abs(pool_share * pr / rate - selected_share)), 6) + 0.0 AS identity_error FROM s GROUP BY field""",
+)
+def shift_summary(spark, d):
+    return _rounded(audit.shift_summary(audit.group_audit(line_marked(spark, d), ["l_returnflag", "l_linestatus"])))
+
+
+@query(
+    "class_shift_documents",
+    """WITH r AS (SELECT lang, quality = 1 AND toxic = 0 AS selected FROM documents JOIN labels USING (doc_id)),
+c AS (SELECT lang AS label, count(*) AS pool_count, count(*) FILTER (selected) AS selected_count FROM r GROUP BY 1),
+s AS (SELECT *, pool_count::DOUBLE / sum(pool_count) OVER () AS p, selected_count::DOUBLE / sum(selected_count) OVER () AS q FROM c)
+SELECT label, pool_count, selected_count, round(p, 6) AS pool_share, round(q, 6) AS selected_share, round(q - p, 6) AS shift, round(q / p, 6) AS enrichment FROM s""",
+)
+def class_shift_documents(spark, d):
+    rows = labelled(spark, d).withColumn("selected", (F.col("quality") == 1) & (F.col("toxic") == 0))
+    return _rounded(audit.class_shift(rows, "lang"))
+
+
+@query(
+    "numeric_shift",
+    """WITH m AS (SELECT l_quantity, l_discount, l_shipdate >= TIMESTAMP '1997-01-01' AS selected FROM lineitem),
+e AS (SELECT 'l_quantity' AS field, l_quantity AS v, selected FROM m UNION ALL SELECT 'l_discount', l_discount, selected FROM m)
+SELECT field, count(v) AS pool_count, count(v) FILTER (selected) AS selected_count, round(avg(v), 6) AS pool_mean, round(avg(v) FILTER (selected), 6) AS selected_mean,
+ round(median(v), 6) AS pool_median, round(median(v) FILTER (selected), 6) AS selected_median, round(avg(v) FILTER (selected) - avg(v), 6) AS mean_delta FROM e GROUP BY field""",
+)
+def numeric_shift(spark, d):
+    rows = _t(spark, d, "lineitem").withColumn("selected", F.col("l_shipdate") >= F.lit("1997-01-01").cast("timestamp_ntz"))
+    return _rounded(audit.numeric_shift(rows, ["l_quantity", "l_discount"]))
+
+
+TOKEN_SQL = """WITH r AS (SELECT text, quality = 1 AS selected FROM documents JOIN labels USING (doc_id)),
+w AS (SELECT unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS token, selected FROM r),
+c AS (SELECT token, count(*) AS a, count(*) FILTER (selected) AS b FROM w GROUP BY token)"""
+
+
+@query(
+    "token_divergence",
+    TOKEN_SQL + """, s AS (SELECT a::DOUBLE / sum(a) OVER () AS p, b::DOUBLE / sum(b) OVER () AS q, count(*) OVER () AS vocabulary FROM c)
+SELECT vocabulary, round((sum(CASE WHEN p > 0 THEN p * ln(p / ((p + q) / 2)) ELSE 0 END) + sum(CASE WHEN q > 0 THEN q * ln(q / ((p + q) / 2)) ELSE 0 END)) / 2, 6) AS js FROM s GROUP BY vocabulary""",
+)
+def token_divergence(spark, d):
+    return _rounded(audit.token_divergence(labelled(spark, d).withColumn("selected", F.col("quality") == 1), "text"))
+
+
+@query(
+    "token_shift",
+    TOKEN_SQL + """, s AS (SELECT token, a AS pool_count, b AS selected_count, ln((b::DOUBLE / sum(b) OVER () + 1e-12) / (a::DOUBLE / sum(a) OVER () + 1e-12)) AS x FROM c)
+SELECT token, pool_count, selected_count, round(x, 6) AS log_ratio, 'enriched' AS direction FROM (FROM s ORDER BY x DESC, token LIMIT 20)
+UNION ALL SELECT token, pool_count, selected_count, round(x, 6), 'depleted' FROM (FROM s ORDER BY x, token LIMIT 20)""",
+)
+def token_shift(spark, d):
+    return _rounded(audit.token_shift(labelled(spark, d).withColumn("selected", F.col("quality") == 1), "text"))
+
+
+@query(
+    "mutual_information",
+    """WITH j AS (SELECT l_returnflag AS l, l_linestatus AS r, count(*) AS n FROM lineitem GROUP BY ALL),
+s AS (SELECT n / sum(n) OVER () AS p, sum(n) OVER (PARTITION BY l) / sum(n) OVER () AS pl, sum(n) OVER (PARTITION BY r) / sum(n) OVER () AS pr FROM j)
+SELECT round(sum(p * ln(p / (pl * pr))), 6) AS mutual_information, round(-sum(p * ln(pl)), 6) AS left_entropy, round(-sum(p * ln(pr)), 6) AS right_entropy FROM s""",
+)
+def mutual_information(spark, d):
+    return _rounded(audit.mutual_information(_t(spark, d, "lineitem"), "l_returnflag", "l_linestatus"))
+
+
+@query(
+    "score_audit",
+    """SELECT count(l_extendedprice) AS n, min(l_extendedprice) AS least, max(l_extendedprice) AS most, round(avg(l_extendedprice), 4) AS mean,
+ round(var_pop(l_extendedprice) / 1e6, 4) AS variance, min(l_extendedprice) = max(l_extendedprice) AS degenerate, round(corr(l_extendedprice, l_quantity), 6) AS length_correlation FROM lineitem""",
+)
+def score_audit(spark, d):
+    found = audit.score_audit(_t(spark, d, "lineitem"), "l_extendedprice", "l_quantity")
+    return found.select("n", "least", "most", F.round("mean", 4).alias("mean"), F.round(F.col("variance") / 1e6, 4).alias("variance"), "degenerate", F.round("length_correlation", 6).alias("length_correlation"))
+
+
+# --- scores ----------------------------------------------------------------------------
+
+
+@query(
+    "uncertainty_scores",
+    f"""WITH {CLASS_SQL}, o AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY p DESC) AS k FROM prob)
+SELECT id, round(-sum(CASE WHEN p > 0 THEN p * ln(p) ELSE 0 END), 6) AS entropy, round(sum(CASE k WHEN 1 THEN p WHEN 2 THEN -p END), 6) AS margin,
+ round(-sum(CASE WHEN p > 0 THEN p * ln(p) ELSE 0 END) * sqrt(greatest(0, 1 - sum(p * p))) * max(n), 6) AS gradient_utility FROM o GROUP BY id""",
+)
+def uncertainty_scores(spark, d):
+    p = F.col("p")
+    return _rounded(class_pool(spark, d).select("id", E.entropy(p).alias("entropy"), E.margin(p).alias("margin"), E.gradient_utility(p, F.col("embedding")).alias("gradient_utility")))
+
+
+@query(
+    "class_metrics",
+    f"""WITH {CLASS_SQL}, pr AS (SELECT id, any_value(label) AS y, arg_max(own, p) AS s FROM prob GROUP BY id),
+l AS (SELECT y AS label FROM pr UNION SELECT s FROM pr),
+m AS (SELECT label, (SELECT count(*) FROM pr WHERE y = label) AS support, (SELECT count(*) FROM pr WHERE s = label) AS said, (SELECT count(*) FROM pr WHERE s = label AND y = label) AS hits FROM l)
+SELECT label::VARCHAR AS label, support::BIGINT AS support, round(CASE WHEN said > 0 THEN hits / said ELSE 0 END, 6) AS precision, round(CASE WHEN support > 0 THEN hits / support ELSE 0 END, 6) AS recall,
+ round(2 * hits / (support + said), 6) AS f1, round(sum(hits) OVER () / sum(support) OVER (), 6) AS accuracy, round(avg(2 * hits / (support + said)) OVER (), 6) AS macro_f1 FROM m""",
+)
+def class_metrics(spark, d):
+    return _rounded(evaluate.class_metrics(class_pool(spark, d), "label", "prediction"))
+
+
+@query("preference_length_gaps", f"WITH {PAIR_SQL} SELECT id, words_a::BIGINT AS words_a, words_b::BIGINT AS words_b, round(gap, 6) AS gap, bin FROM binned")
+def preference_length_gaps(spark, d):
+    return _rounded(preference_pairs(spark, d).select("id", "words_a", "words_b", "gap", "bin"))
+
+
+@query(
+    "length_controlled_win",
+    f"""WITH {PAIR_SQL}, w AS (SELECT bin, CASE WHEN conv_id % 3 = 0 OR gap > 0 THEN 1.0 ELSE 0.0 END AS win FROM binned), b AS (SELECT bin, avg(win) AS m, sum(win) AS s, count(*) AS n FROM w GROUP BY bin)
+SELECT round(sum(s) / sum(n), 6)::DOUBLE AS raw_win_rate, round(avg(m), 6) AS length_controlled_win_rate FROM b""",
+)
+def length_controlled_win(spark, d):
+    rows = preference_pairs(spark, d).withColumn("win", F.when((F.col("conv_id") % 3 == 0) | (F.col("gap") > 0), 1.0).otherwise(0.0))
+    return _rounded(evaluate.length_controlled_win(rows, "win", "bin"))
+
+
+# --- selections ------------------------------------------------------------------------
+
+
+@query("select_top_budget", f"WITH {LINE_SQL} SELECT id, score FROM marked WHERE selected")
+def select_top_budget(spark, d):
+    pool = line_pool(spark, d)
+    return choose.top_budget(pool, "score", "id", pool.count() // 10).select("id", "score")
+
+
+@query(
+    "select_top_budget_by_group",
+    """WITH b AS (SELECT o_custkey, o_orderkey, o_totalprice, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey::VARCHAR) AS k FROM orders)
+SELECT o_custkey, o_orderkey, o_totalprice FROM b WHERE k = 1 ORDER BY o_totalprice DESC, o_orderkey::VARCHAR LIMIT 50""",
+)
+def select_top_budget_by_group(spark, d):
+    return choose.top_budget_by_group(_t(spark, d, "orders").select("o_custkey", "o_orderkey", "o_totalprice"), "o_totalprice", "o_orderkey", "o_custkey", 50)
+
+
+@query("select_random", "SELECT o_orderkey FROM orders ORDER BY ('0x' || substr(md5('17:' || o_orderkey), 1, 13))::BIGINT, o_orderkey::VARCHAR LIMIT 200")
+def select_random(spark, d):
+    return choose.random_budget(_t(spark, d, "orders").select("o_orderkey"), "o_orderkey", 200, 17)
+
+
+@query(
+    "rank_normalised",
+    "SELECT o_orderkey, round((row_number() OVER (ORDER BY o_totalprice, o_orderkey::VARCHAR) - 1) / (count(*) OVER () - 1), 6) AS utility FROM orders",
+)
+def rank_normalised(spark, d):
+    return _rounded(choose.rank_normalised(_t(spark, d, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice", "o_orderkey").select("o_orderkey", "utility"))
+
+
+@query("constrained_selection")
+def constrained_selection(spark, d):
+    rows = _t(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority")
+    return choose.constrained(rows, "o_totalprice", "o_orderkey", "o_orderpriority", 100, 0.02)
+
+
+@query("utility_coverage_frontier")
+def utility_coverage_frontier(spark, d):
+    rows = _t(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority")
+    return _rounded(choose.frontier(rows, "o_totalprice", "o_orderkey", "o_orderpriority", 100, [0.0, 0.02, 0.05, 0.1]))
+
+
+@query("farthest_points")
+def farthest_points(spark, d):
+    return choose.farthest_points(_t(spark, d, "embeddings"), "embedding", "vec_id", 8)
+
+
+# --- evaluation ------------------------------------------------------------------------
+
+
+@query(
+    "binary_metrics",
+    """WITH r AS (SELECT source, quality = 1 AS y, n_chars > 1000 AS p FROM documents JOIN labels USING (doc_id)),
+c AS (SELECT source, count(*) FILTER (y AND p) AS tp, count(*) FILTER (NOT y AND p) AS fp, count(*) FILTER (y AND NOT p) AS fn, count(*) FILTER (NOT y AND NOT p) AS tn FROM r GROUP BY source)
+SELECT source, tp, fp, fn, tn, round((tp + tn) / (tp + fp + fn + tn), 6) AS accuracy, round((coalesce(tp / nullif(tp + fn, 0), 0) + coalesce(tn / nullif(tn + fp, 0), 0)) / 2, 6) AS balanced_accuracy,
+ round(coalesce(tp / nullif(tp + fp, 0), 0), 6) AS precision, round(coalesce(tp / nullif(tp + fn, 0), 0), 6) AS recall, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) AS f1,
+ round((coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0) + coalesce(2 * tn / nullif(2 * tn + fp + fn, 0), 0)) / 2, 6) AS macro_f1 FROM c""",
+)
+def binary_metrics(spark, d):
+    return _rounded(evaluate.binary_metrics(labelled(spark, d), "quality", "n_chars", 1000, ["source"]))
+
+
+@query(
+    "group_accuracy",
+    """WITH g AS (SELECT lang AS "group", avg((quality = CASE WHEN n_chars > 1000 THEN 1 ELSE 0 END)::INT) AS accuracy, count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY 1)
+SELECT "group", round(accuracy, 6) AS accuracy, n, round(min(accuracy) OVER (), 6) AS worst FROM g""",
+)
+def group_accuracy(spark, d):
+    rows = labelled(spark, d).withColumn("prediction", F.when(F.col("n_chars") > 1000, 1).otherwise(0))
+    return _rounded(evaluate.group_accuracy(rows, "lang", "quality", "prediction"))
+
+
+RUNS = "runs AS (SELECT o_orderpriority AS method, o_custkey % 10 AS seed, avg(o_totalprice) AS metric FROM orders GROUP BY ALL)"
+
+
+def run_rows(spark, d):
+    return _t(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("method"), (F.col("o_custkey") % 10).alias("seed")).agg(F.avg("o_totalprice").alias("metric"))
+
+
+@query(
+    "learning_curve_area",
+    f"""WITH {RUNS}, s AS (SELECT method, seed::DOUBLE AS x, metric AS y, lag(seed) OVER w AS px, lag(metric) OVER w AS py FROM runs WINDOW w AS (PARTITION BY method ORDER BY seed))
+SELECT method AS series, round(sum((x - px) * (y + py) / 2) / (max(x) - min(x)), 4) AS aulc FROM s GROUP BY method""",
+)
+def learning_curve_area(spark, d):
+    return _rounded(evaluate.learning_curve_area(run_rows(spark, d), "seed", "metric", "method"), 4)
+
+
+@query(
+    "paired_deltas",
+    f"""WITH {RUNS} SELECT a.seed::VARCHAR AS seed, round(a.metric, 4) AS base, round(b.metric, 4) AS treat FROM runs a JOIN runs b ON a.seed = b.seed AND a.method = '1-URGENT' AND b.method = '2-HIGH'""",
+)
+def paired_deltas(spark, d):
+    return _rounded(evaluate.paired(run_rows(spark, d), "method", "seed", "metric", "1-URGENT", "2-HIGH"), 4)
+
+
+@query(
+    "sign_flip_test",
+    f"""WITH {RUNS}, d AS (SELECT a.seed::VARCHAR AS seed, b.metric - a.metric AS d FROM runs a JOIN runs b ON a.seed = b.seed AND a.method = '1-URGENT' AND b.method = '2-HIGH'),
+m AS (SELECT rep, avg(d * CASE WHEN ('0x' || substr(md5('5:' || rep || ':' || seed), 1, 8))::BIGINT / 4294967296.0 < 0.5 THEN -1 ELSE 1 END) AS m, avg(d) AS o FROM d, range(1, 501) r(rep) GROUP BY rep)
+SELECT round(first(o), 4) AS mean_delta, round((count(*) FILTER (abs(m) >= abs(o) - 1e-12) + 1) / (count(*) + 1), 6) AS p_value FROM m""",
+)
+def sign_flip_test(spark, d):
+    found = evaluate.sign_flip_test(evaluate.paired(run_rows(spark, d), "method", "seed", "metric", "1-URGENT", "2-HIGH"), 500, 5)
+    return found.select(F.round("mean_delta", 4).alias("mean_delta"), F.round("p_value", 6).alias("p_value"))
+
+
+@query("bootstrap_mean")
+def bootstrap_mean(spark, d):
+    return _rounded(evaluate.bootstrap_mean(run_rows(spark, d), "metric", "seed", ["method"], 200, 3), 4)
+
+
+@query(
+    "response_statistics",
+    """WITH x AS (SELECT c_mktsegment AS setting, c_nationkey::DOUBLE AS x, c_acctbal AS y FROM customer),
+r AS (SELECT *, rank() OVER (PARTITION BY setting ORDER BY x) + (count(*) OVER (PARTITION BY setting, x) - 1) / 2 AS rx, rank() OVER (PARTITION BY setting ORDER BY y) + (count(*) OVER (PARTITION BY setting, y) - 1) / 2 AS ry FROM x)
+SELECT setting, count(*) AS n, round(corr(rx, ry), 6) AS spearman, round(regr_slope(y, x), 4) AS slope FROM r GROUP BY setting""",
+)
+def response_statistics(spark, d):
+    found = evaluate.response_statistics(_t(spark, d, "customer"), "c_mktsegment", "c_nationkey", "c_acctbal")
+    return found.select("setting", "n", F.round("spearman", 6).alias("spearman"), F.round("slope", 4).alias("slope"))
+
+
+@query("random_envelope")
+def random_envelope(spark, d):
+    return _rounded(evaluate.random_envelope(_t(spark, d, "embeddings"), "vec_id", "label", 100, 50, 9))
+
+
+# --- tables ----------------------------------------------------------------------------
+
+
+@query(
+    "distinct_documents",
+    """SELECT sha256(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS document_sha256, min(doc_id) AS doc_id, count(*) AS copies, min(lang) <> max(lang) AS conflict FROM documents GROUP BY 1""",
+)
+def distinct_documents(spark, d):
+    return tables.distinct_documents(_t(spark, d, "documents"), "text", "doc_id", "lang")
+
+
+@query(
+    "stratified_split",
+    """WITH c AS (SELECT label::VARCHAR AS label, count(*) AS n FROM embeddings GROUP BY 1), s AS (SELECT unnest(['seed', 'active', 'test']) AS split, unnest([50, 150, 250]) AS upto),
+x AS (SELECT label, split, upto, n * upto::DOUBLE / sum(n) OVER (PARTITION BY split) AS x FROM c, s),
+q AS (SELECT label, split, upto, floor(x) + (row_number() OVER (PARTITION BY split ORDER BY x - floor(x) DESC, label) <= upto - sum(floor(x)) OVER (PARTITION BY split))::INT AS quota FROM x),
+p AS (SELECT vec_id, label::VARCHAR AS label, row_number() OVER (PARTITION BY label ORDER BY md5('23:' || vec_id), vec_id::VARCHAR) AS k FROM embeddings)
+SELECT vec_id, label, arg_min(split, upto) AS split FROM p JOIN q USING (label) WHERE k <= quota GROUP BY vec_id, label""",
+)
+def stratified_split(spark, d):
+    return tables.stratified_split(_t(spark, d, "embeddings"), "vec_id", "label", {"seed": 50, "active": 100, "test": 100}, 23)
+
+
+@query(
+    "reveal_selected",
+    """WITH c AS (SELECT doc_id FROM documents WHERE n_chars > 2000) SELECT d.doc_id, d.lang, l.quality, l.toxic FROM documents d SEMI JOIN c USING (doc_id) JOIN labels l USING (doc_id)""",
+)
+def reveal_selected(spark, d):
+    docs = _t(spark, d, "documents")
+    return tables.reveal(docs.select("doc_id", "lang"), _t(spark, d, "labels"), docs.filter("n_chars > 2000"), "doc_id").select("doc_id", "lang", "quality", "toxic")
+
+
+@query("unrevealed_ids", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def unrevealed_ids(spark, d):
+    return tables.unrevealed(_t(spark, d, "documents").select("doc_id"), _t(spark, d, "labels"), "doc_id")
+
+
+@query(
+    "cover_issues",
+    "SELECT coalesce(d.doc_id, l.doc_id) AS key, CASE WHEN d.doc_id IS NULL THEN 'extra' ELSE 'missing' END AS issue FROM documents d FULL JOIN labels l ON d.doc_id = l.doc_id WHERE d.doc_id IS NULL OR l.doc_id IS NULL",
+)
+def cover_issues(spark, d):
+    return tables.cover_issues(_t(spark, d, "documents"), _t(spark, d, "labels"), "doc_id")
+
+
+@query(
+    "teacher_labels",
+    """SELECT d.doc_id, coalesce(t.quality, 0)::INT AS train_label, CASE WHEN t.doc_id IS NULL THEN 'own' ELSE 'teacher' END AS label_source FROM documents d LEFT JOIN labels t ON d.doc_id = t.doc_id""",
+)
+def teacher_labels(spark, d):
+    rows = _t(spark, d, "documents").select("doc_id", F.lit(0).alias("own"))
+    teacher = _t(spark, d, "labels").select("doc_id", F.col("quality").cast("int").alias("label"))
+    return tables.teacher_labels(rows, teacher, "doc_id", "own").select("doc_id", "train_label", "label_source")
+
+
+@query("class_weights", "SELECT quality::INT AS label, count(*) AS n, round(sum(count(*)) OVER () / (2.0 * count(*)), 6)::DOUBLE AS weight FROM labels GROUP BY quality")
+def class_weights(spark, d):
+    return _rounded(tables.class_weights(_t(spark, d, "labels"), "quality"))
+
+
+@query(
+    "run_matrix_issues",
+    """WITH e AS (SELECT lower(replace(r_name, ' ', '_')) || '__m1__' || b || '__' || s || '__' || m AS run_id FROM region, (SELECT unnest([100, 200]) AS b), (SELECT unnest([1, 2]) AS s), (SELECT unnest(['random', 'entropy']) AS m)),
+o AS (SELECT lower(replace(r_name, ' ', '_')) || '__m1__100__' || s || '__random' AS run_id, CASE WHEN r_regionkey = 0 THEN 'failed' ELSE 'completed' END AS status FROM region, (SELECT unnest([1, 2, 3]) AS s))
+SELECT coalesce(e.run_id, o.run_id) AS run_id, CASE WHEN o.run_id IS NULL THEN 'missing' WHEN e.run_id IS NULL THEN 'unexpected' ELSE 'failed' END AS issue
+FROM e FULL JOIN o ON e.run_id = o.run_id WHERE o.run_id IS NULL OR e.run_id IS NULL OR o.status <> 'completed'""",
+)
+def run_matrix_issues(spark, d):
+    region = _t(spark, d, "region")
+    expected = tables.run_matrix(region.select(F.col("r_name").alias("dataset")), ["m1"], [100, 200], [1, 2], ["random", "entropy"])
+    seen = region.select(F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("seed"), "r_name", "r_regionkey")
+    observed = seen.select(
+        F.concat_ws("__", E.slug(F.col("r_name")), F.lit("m1"), F.lit("100"), F.col("seed").cast("string"), F.lit("random")).alias("run_id"),
+        F.when(F.col("r_regionkey") == 0, "failed").otherwise("completed").alias("status"),
+    )
+    return tables.run_issues(expected, observed)
+
+
+@query(
+    "text_estimates",
+    """SELECT doc_id, len(regexp_extract_all(text, '[^\\s]+'))::BIGINT AS words, (CASE WHEN trim(text) = '' THEN 0 ELSE greatest(1, ceil(length(text) / 4)) END)::BIGINT AS tokens FROM documents""",
+)
+def text_estimates(spark, d):
+    return _t(spark, d, "documents").select("doc_id", E.word_count(F.col("text")).alias("words"), E.text_tokens(F.col("text")).alias("tokens"))
