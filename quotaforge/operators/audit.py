@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-EVERY = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+
+def every():
+    """The window of all rows; made when used, as it needs a session."""
+    return Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
 
 
 def group_audit(rows: DataFrame, fields: list[str], selected: str = "selected") -> DataFrame:
@@ -100,7 +103,7 @@ def token_divergence(rows: DataFrame, text: str, selected: str = "selected") ->
 def mutual_information(rows: DataFrame, left: str, right: str) -> DataFrame:
     """Mutual information (nats) of two columns and the entropies, from their joint counts."""
     joint = rows.groupBy(F.col(left).alias("l"), F.col(right).alias("r")).agg(F.count(F.lit(1)).alias("n"))
-    n = F.sum("n").over(EVERY)
+    n = F.sum("n").over(every())
     by = lambda c: F.sum("n").over(Window.partitionBy(c))
     shares = joint.select((F.col("n") / n).alias("p"), (by("l") / n).alias("pl"), (by("r") / n).alias("pr"))
     return shares.agg(
@@ -113,7 +116,7 @@ def mutual_information(rows: DataFrame, left: str, right: str) -> DataFrame:
 def expected_coverage(memberships: DataFrame, selected: str = "selected") -> DataFrame:
     """Of (id, group, membership, selected) rows: mean membership in pool and selection per group, and half the summed deviation."""
     sums = memberships.groupBy("group").agg(F.avg("membership").alias("target"), F.avg(F.when(F.col(selected), F.col("membership"))).alias("observed"))
-    return sums.select("group", "target", "observed", (F.sum(F.abs(F.col("observed") - F.col("target"))).over(EVERY) / 2).alias("coverage_deviation"))
+    return sums.select("group", "target", "observed", (F.sum(F.abs(F.col("observed") - F.col("target"))).over(every()) / 2).alias("coverage_deviation"))
 
 
 def correlation(x, y):
