@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from quotaforge.functions.expr import seeded
+from quotaforge.operators.order import first_of_groups, global_rank
 
 #: Rows of the undecided band that are sorted at once, and bands into which a band is cut.
 SORTED, BANDS = 100_000, 32
@@ -80,14 +80,6 @@ def coverage_first(rows: DataFrame, score: str, id_: str, cluster: str, budget:
     return ordered.orderBy(F.desc("_tier"), F.desc(score), F.col(id_).cast("string")).limit(budget).drop("_tier")
 
 
-def global_rank(rows: DataFrame, order: list, name: str = "rank") -> DataFrame:
-    """1-based rank by `order` without a single-partition window: ranges are sorted apart and offset by their sizes."""
-    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_seq", F.monotonically_increasing_id())
-    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_seq").alias("_least"))
-    offset = sizes.select(F.col("_part").alias("_p"), "_least", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
-    return placed.join(F.broadcast(offset), F.col("_part") == F.col("_p")).withColumn(name, F.col("_before") + F.col("_seq") - F.col("_least") + 1).drop("_part", "_p", "_seq", "_least", "_before")
-
-
 def rank_normalised(rows: DataFrame, score: str, id_: str, name: str = "utility") -> DataFrame:
     """rank / (n - 1) from 0 to 1 in ascending order, ties by id; 1 for a single row."""
     n = rows.count()
@@ -107,8 +99,8 @@ def constrained(rows: DataFrame, utility: str, id_: str, group: str, budget: int
 
     Groups exclude each other here, so shares are counts between two bounds: each group
     gives its lower bound of best rows, and the rest of the budget goes to the best other
-    rows below the upper bounds. That exchange is optimal for disjoint groups. Ranks are
-    taken inside groups; groups too large for one task are cut by `top_budget` first.
+    rows below the upper bounds. That exchange is optimal for disjoint groups. Large groups
+    are cut into parts before their first rows are taken.
     """
     sizes = rows.groupBy(F.col(group).alias("_g")).agg(F.count(F.lit(1)).alias("_n"))
     total = rows.count()
@@ -121,8 +113,8 @@ def constrained(rows: DataFrame, utility: str, id_: str, group: str, budget: int
     limits = bounds.agg(F.sum("_low"), F.sum("_high")).first()
     if limits[0] > budget or limits[1] < budget:
         raise ValueError(f"no selection of {budget} rows keeps all groups within {slack}")
-    place = F.row_number().over(Window.partitionBy(group).orderBy(F.desc(utility), F.col(id_).cast("string")))
-    ranked = rows.withColumn("_place", place).filter(F.col("_place") <= budget).join(F.broadcast(bounds), F.col(group).eqNullSafe(F.col("_g"))).filter("_place <= _high")
+    best = first_of_groups(rows, group, [F.desc(utility), F.col(id_).cast("string")], budget, id_)
+    ranked = best.join(F.broadcast(bounds), F.col(group).eqNullSafe(F.col("_g"))).filter("_place <= _high")
     must = ranked.filter("_place <= _low")
     rest = ranked.filter("_place > _low").orderBy(F.desc(utility), F.col(id_).cast("string")).limit(budget - int(limits[0]))
     return must.unionByName(rest).select(*rows.columns)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quotaforge.functions.expr import collapsed, seeded
+from quotaforge.operators.order import first_of_groups, rank_in_groups
 
 #: Names of hidden fields that a selector must not see.
 HIDDEN_FIELDS = (
@@ -91,7 +92,7 @@ def allocation(counts: DataFrame, size: int) -> DataFrame:
 def stratified_split(rows: DataFrame, id_: str, label: str, sizes: dict[str, int], seed: int) -> DataFrame:
     """Disjoint splits of given sizes, each with the pool's label mix; ids are dealt in the order of a seeded hash.
 
-    Ranks are taken inside labels: rows are ordered by hash in a window per label.
+    Ranks come from one order over (label, hash), so a large label is spread over tasks.
     """
     counts = rows.groupBy(F.col(label).cast("string").alias("label")).agg(F.count(F.lit(1)).alias("n"))
     total, quotas = 0, None
@@ -99,16 +100,15 @@ def stratified_split(rows: DataFrame, id_: str, label: str, sizes: dict[str, int
         total += size
         own = allocation(counts, total).select("label", F.col("quota").alias(name))
         quotas = own if quotas is None else quotas.join(own, "label")
-    place = F.row_number().over(Window.partitionBy("label").orderBy(seeded(seed, F.col(id_)), F.col(id_).cast("string")))
-    placed = rows.select(F.col(id_), F.col(label).cast("string").alias("label")).withColumn("_place", place).join(F.broadcast(quotas), "label")
+    named = rows.select(F.col(id_), F.col(label).cast("string").alias("label"))
+    placed = rank_in_groups(named, "label", [seeded(seed, F.col(id_)), F.col(id_).cast("string")], "_place").join(F.broadcast(quotas), "label")
     split = F.coalesce(*[F.when(F.col("_place") <= F.col(name), F.lit(name)) for name in sizes])
     return placed.select(id_, "label", split.alias("split")).filter("split is not null")
 
 
 def reservoir(rows: DataFrame, id_: str, label: str, per_class: int, seed: int) -> DataFrame:
-    """`per_class` seeded rows of each label: the ones of least hash, kept by a bounded per-task list."""
-    place = F.row_number().over(Window.partitionBy(label).orderBy(seeded(seed, F.col(id_)), F.col(id_).cast("string")))
-    return rows.withColumn("_place", place).filter(F.col("_place") <= per_class).drop("_place")
+    """`per_class` seeded rows of each label: the ones of least hash; large labels are cut into parts first."""
+    return first_of_groups(rows, label, [seeded(seed, F.col(id_)), F.col(id_).cast("string")], per_class, id_).drop("_place")
 
 
 def overlapping_ids(splits: DataFrame, id_: str) -> DataFrame:

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quotaforge.functions import expr as E
-from quotaforge.operators import audit, choose, evaluate, tables
+from quotaforge.operators import audit, choose, cluster, components, evaluate, records, response, tables
+from quotaforge.streaming import shares
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -451,3 +452,122 @@ def run_matrix_issues(spark, d):
 )
 def text_estimates(spark, d):
     return _t(spark, d, "documents").select("doc_id", E.word_count(F.col("text")).alias("words"), E.text_tokens(F.col("text")).alias("tokens"))
+
+
+@query(
+    "reservoir",
+    """SELECT c_custkey, c_mktsegment FROM customer QUALIFY row_number() OVER (PARTITION BY c_mktsegment ORDER BY md5('11:' || c_custkey), c_custkey::VARCHAR) <= 20""",
+)
+def reservoir(spark, d):
+    return tables.reservoir(_t(spark, d, "customer").select("c_custkey", "c_mktsegment"), "c_custkey", "c_mktsegment", 20, 11)
+
+
+# --- interventions ---------------------------------------------------------------------
+
+BASE_MARGIN = "(conv_id % 7) / 7.0D"
+GAMMAS = [0.0, 0.5, 1.0, 2.0]
+
+
+@query(
+    "length_response_curve",
+    f"""WITH {PAIR_SQL}, s AS (SELECT id, bin, g AS setting, (conv_id % 7) / 7.0::DOUBLE + g * gap AS score FROM binned, (SELECT unnest([0.0, 0.5, 1.0, 2.0]::DOUBLE[]) AS g)),
+k AS (SELECT *, row_number() OVER (PARTITION BY setting ORDER BY score DESC, id) <= 40 AS sel FROM s)
+SELECT setting, bin AS "group", count(*) AS pool_count, count(*) FILTER (sel) AS selected_count, round(count(*) FILTER (sel) / count(*), 6) AS propensity,
+ round(count(*) FILTER (sel) / sum(count(*) FILTER (sel)) OVER (PARTITION BY setting), 6)::DOUBLE AS selected_share FROM k GROUP BY setting, bin""",
+)
+def length_response_curve(spark, d):
+    rows = preference_pairs(spark, d).withColumn("margin", F.expr(BASE_MARGIN))
+    curve = response.response_curve(rows, "id", "bin", GAMMAS, lambda g: F.col("margin") + F.lit(g) * F.col("gap"), 40)
+    return _rounded(curve.withColumn("selected_count", F.col("selected_count").cast("long")))
+
+
+@query(
+    "selector_replacement",
+    """WITH r AS (SELECT c_custkey AS id, c_mktsegment AS g, c_acctbal AS a, (c_custkey * 7919 % 1009)::DOUBLE AS b FROM customer),
+k AS (SELECT *, row_number() OVER (ORDER BY a DESC, id::VARCHAR) <= 50 AS ina, row_number() OVER (ORDER BY b DESC, id::VARCHAR) <= 50 AS inb,
+ rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2 AS ra, rank() OVER (ORDER BY b) + (count(*) OVER (PARTITION BY b) - 1) / 2 AS rb FROM r),
+t AS (SELECT g, count(*) FILTER (ina) / 50 - count(*) FILTER (inb) / 50 AS d FROM k GROUP BY g)
+SELECT count(*) FILTER (ina AND inb) AS overlap, round(count(*) FILTER (ina AND inb) / count(*) FILTER (ina OR inb), 6) AS jaccard,
+ (SELECT round(sum(abs(d)) / 2, 6) FROM t) AS tv, round(corr(ra, rb), 6) AS spearman FROM k""",
+)
+def selector_replacement(spark, d):
+    rows = _t(spark, d, "customer").select("c_custkey", "c_mktsegment", "c_acctbal", (F.col("c_custkey") * 7919 % 1009).cast("double").alias("b"))
+    return _rounded(response.replacement(rows, "c_custkey", "c_acctbal", "b", "c_mktsegment", 50))
+
+
+@query(
+    "position_swap_summary",
+    """WITH p AS (SELECT o_custkey, avg(o_totalprice) FILTER (o_orderkey % 2 = 0) AS o, avg(o_totalprice) FILTER (o_orderkey % 2 = 1) AS s FROM orders GROUP BY o_custkey)
+SELECT count(*) AS pairs, round(avg(abs(o - s)), 4) AS mean_delta, round(max(abs(o - s)), 4) AS max_delta, round(corr(o, s), 4) AS correlation FROM p WHERE o IS NOT NULL AND s IS NOT NULL""",
+)
+def position_swap_summary(spark, d):
+    side = F.when(F.col("o_orderkey") % 2 == 0, "original").otherwise("swapped").alias("position")
+    rows = _t(spark, d, "orders").groupBy("o_custkey", side).agg(F.avg("o_totalprice").alias("score"))
+    return _rounded(response.swap_summary(rows, "o_custkey", "position", "score"), 4)
+
+
+@query("group_dependence")
+def group_dependence(spark, d):
+    return _rounded(response.group_dependence(_t(spark, d, "customer"), "c_custkey", "c_acctbal", "c_mktsegment", 10, 500, 7))
+
+
+# --- components, clusters, records, streams --------------------------------------------
+
+
+@query("key_components")
+def key_components(spark, d):
+    """Documents that share their text or their source's exact length belong together."""
+    docs = _t(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("copy"), F.concat_ws(":", "source", "n_chars").alias("shape"))
+    return components.key_components(docs, "doc_id", ["copy", "shape"])
+
+
+@query("component_split")
+def component_split(spark, d):
+    rows = _t(spark, d, "orders").select("o_orderkey", "o_custkey")
+    n = rows.count()
+    return components.component_split(rows, "o_orderkey", ["o_custkey"], {"seed": n // 10, "active": n // 2, "test": n // 5}, 13)
+
+
+@query("prompt_clusters")
+def prompt_clusters(spark, d):
+    rows = _t(spark, d, "embeddings")
+    centres = cluster.fit_clusters(rows, "embedding", "vec_id", 8)
+    return cluster.assign_clusters(rows, "embedding", "vec_id", centres, 0.5).select("id", "cluster", F.round("distance", 4).alias("distance"))
+
+
+@query("facility_location")
+def facility_location(spark, d):
+    pool = class_pool(spark, d).select("id", "embedding", E.entropy(F.col("p")).alias("entropy"))
+    return _rounded(cluster.facility_location(pool, choose.top_budget(pool, "entropy", "id", 64), "embedding", "id", "entropy", 16), 4)
+
+
+@query(
+    "stage_status",
+    """WITH r AS (SELECT r_regionkey AS k, lower(replace(r_name, ' ', '_')) AS run_id FROM region),
+s AS (SELECT run_id, p AS position, ['select', 'train', 'judge'][p + 1] AS stage, 1::BIGINT AS needed, (k > p)::BIGINT AS present, k FROM r, range(3) t(p))
+SELECT run_id, position::INT AS position, stage, needed, present, CASE WHEN k > position THEN 'complete' WHEN k = position THEN 'ready' ELSE 'blocked' END AS status FROM s""",
+)
+def stage_status(spark, d):
+    runs = _t(spark, d, "region").select("r_regionkey", E.slug(F.col("r_name")).alias("run_id"))
+    plan = records.execution_manifest(runs, [("select", [], ["{run}/ids"]), ("train", ["{run}/ids"], ["{run}/model"]), ("judge", ["{run}/model"], ["{run}/wins"])])
+    made = F.slice(F.array(F.lit("ids"), F.lit("model"), F.lit("wins")), F.lit(1), F.least("r_regionkey", F.lit(3)).cast("int"))
+    existing = runs.select("run_id", F.explode(made).alias("name")).select(F.concat_ws("/", "run_id", "name").alias("path"))
+    return records.stage_status(plan, existing)
+
+
+@query(
+    "acquisition_records",
+    """WITH k AS (SELECT doc_id, n_chars, row_number() OVER (ORDER BY n_chars DESC, doc_id::VARCHAR) <= 100 AS selected, l.quality FROM documents JOIN labels l USING (doc_id))
+SELECT doc_id::VARCHAR AS sample_id, 'longest' AS method, 1 AS seed, n_chars AS score, selected, CASE WHEN selected THEN quality END AS revealed_label FROM k""",
+)
+def acquisition_records(spark, d):
+    rows = labelled(spark, d)
+    done = choose.marked(rows, choose.top_budget(rows, "n_chars", "doc_id", 100), "doc_id")
+    return records.acquisition_records(done, "doc_id", "n_chars", "selected", "quality", {"method": "longest", "seed": 1})
+
+
+@query("stream_event_counts", """SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type AS "group", count(*) AS n FROM events GROUP BY ALL""")
+def stream_event_counts(spark, d):
+    schema = _t(spark, d, "events").schema
+    counts = shares.windowed_counts(shares.arriving(spark, d, "events.parquet", schema), "ts", "event_type", "1 hour", "3650 days")
+    return shares.run_to_table(counts, shares.fresh_folder(spark)).withColumn("start", F.col("start").cast("timestamp_ntz"))
