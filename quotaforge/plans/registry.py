@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quotaforge.functions import expr as E
-from quotaforge.operators import audit, choose, cluster, components, evaluate, records, response, tables
+from quotaforge.operators import audit, choose, cluster, components, evaluate, influence, records, response, tables
 from quotaforge.streaming import shares
 
 QUERIES: dict = {}
@@ -541,6 +541,16 @@ def facility_location(spark, d):
     return _rounded(cluster.facility_location(pool, choose.top_budget(pool, "entropy", "id", 64), "embedding", "id", "entropy", 16), 4)
 
 
+@query("expected_influence")
+def expected_influence(spark, d):
+    """Labelled seeds are the ids of remainder 0 (fit), 1 (temperature) and 2 (validation) of ten; the others are candidates."""
+    rows = _t(spark, d, "embeddings").select("vec_id", "embedding", "label")
+    fold = F.col("vec_id") % 10
+    head = influence.calibrated(influence.fit_head(rows.filter(fold == 0), "embedding", "label", 0.01), rows.filter(fold == 1), "embedding", "label")
+    gradient = influence.mean_gradient(head, rows.filter(fold == 2), "embedding", "label")
+    return influence.expected_influence(head, gradient, rows.filter(fold > 2).drop("label"), "vec_id", "embedding").select("id", F.round("utility", 8).alias("utility"))
+
+
 @query(
     "stage_status",
     """WITH r AS (SELECT r_regionkey AS k, lower(replace(r_name, ' ', '_')) AS run_id FROM region),

@@ -138,3 +138,43 @@ def test_stream_counts_and_scoring_sink(spark, tmp_path):
     for k in range(2):
         shares.score_arrivals(shares.arriving(spark, f"{tmp_path}/in", "*.parquet", rows.schema), f"{tmp_path}/out", "id", lambda b: b.select("id", (F.col("id") * 2).alias("s")), "id long, s long", f"{tmp_path}/state{k}")
     assert spark.read.json(f"{tmp_path}/out").count() == 100
+
+
+def test_influence_is_the_change_of_the_validation_loss(spark):
+    from quotaforge.operators import influence
+
+    g = np.random.default_rng(3)
+    x = g.normal(size=(120, 4))
+    y = (x @ g.normal(size=(4, 3)) + 0.5 * g.normal(size=(120, 3))).argmax(1)
+    rows = spark.createDataFrame([(k, x[k].tolist(), int(y[k])) for k in range(120)], "id int, f array<double>, y int")
+    head = influence.calibrated(influence.fit_head(rows.filter("id < 60"), "f", "y", 0.1), rows.filter("id between 60 and 79"), "f", "y")
+    val = slice(80, 100)
+    gradient = influence.mean_gradient(head, rows.filter("id between 80 and 99"), "f", "y")
+
+    def loss(w, b):
+        p = influence.Head(w, b, head.temperature).probabilities(x[val])
+        return -np.log(p[np.arange(20), y[val]]).mean()
+
+    found = {int(r["id"]): r for r in influence.expected_influence(head, gradient, rows.filter("id >= 100"), "id", "f").collect()}
+    assert len(found) == 20
+    for k in range(100, 105):
+        p = head.probabilities(x[k : k + 1])[0]
+        for label in range(3):
+            own = np.outer(p - np.eye(3)[label], [*x[k], 1.0]) / head.temperature
+            step = 1e-5
+            change = (loss(head.weights - step * own[:, :-1], head.bias - step * own[:, -1]) - loss(head.weights, head.bias)) / step
+            assert found[k]["influences"][label] == pytest.approx(-change, rel=1e-2, abs=1e-4)
+        assert found[k]["utility"] == pytest.approx(sum(q * max(0, i) for q, i in zip(p, found[k]["influences"], strict=True)))
+
+
+def test_farthest_points_against_brute_force(spark):
+    from quotaforge.operators import choose
+
+    g = np.random.default_rng(5)
+    v = g.normal(size=(40, 3))
+    rows = spark.createDataFrame([(k, v[k].tolist()) for k in range(40)], "id int, v array<double>")
+    want = [int(np.linalg.norm(v, axis=1).argmax())]
+    while len(want) < 5:
+        gap = np.linalg.norm(v[:, None] - v[want], axis=2).min(1)
+        want.append(int(gap.argmax()))
+    assert [int(r["id"]) for r in choose.farthest_points(rows, "v", "id", 5).orderBy("step").collect()] == want
