@@ -178,3 +178,19 @@ def test_farthest_points_against_brute_force(spark):
         gap = np.linalg.norm(v[:, None] - v[want], axis=2).min(1)
         want.append(int(gap.argmax()))
     assert [int(r["id"]) for r in choose.farthest_points(rows, "v", "id", 5).orderBy("step").collect()] == want
+
+
+def test_preflight_names_each_breach(spark):
+    ids = lambda *k: spark.createDataFrame([(i,) for i in k], "id int")
+    got = records.preflight(ids(1, 2, 3), ids(1, 2), ids(2, 9), ids(3, 9, 10), "id").collect()
+    assert {(r["issue"], r["key"]) for r in got} == {("pool_without_label", "3"), ("seed_in_pool", "2"), ("heldout_in_pool", "3"), ("seed_in_heldout", "9")}
+
+
+def test_bootstrap_and_envelope_are_near_their_laws(spark):
+    from quotaforge.operators import evaluate
+
+    rows = spark.range(400).select("id", (F.col("id") % 2).cast("double").alias("v"), (F.col("id") % 2).cast("string").alias("g"))
+    row = evaluate.bootstrap_mean(rows, "v", "id", [], 300, 3).first()
+    assert row["mean"] == 0.5 and row["upper"] - row["lower"] == pytest.approx(2 * 1.96 * 0.5 / 20, rel=0.2)
+    row = evaluate.random_envelope(rows, "id", "g", 100, 200, 9).first()
+    assert row["mean_tv"] == pytest.approx(0.5 * np.sqrt(0.75 / 100) * np.sqrt(2 / np.pi), rel=0.25) and row["repetitions"] == 200
