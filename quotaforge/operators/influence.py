@@ -9,9 +9,11 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quotaforge.functions.expr import coin
+
 
 @dataclass
 class Head:
@@ -30,10 +32,10 @@ class Head:
         return p / p.sum(1, keepdims=True)
 
 
-def fit_head(rows: DataFrame, features: str, label: str, l2: float) -> Head:
+def fit_head(rows: DataFrame, features: str, label: str, l2: float, weight: str | None = None) -> Head:
     """Mean negative log likelihood plus l2/2 of the squared weights, biases free; fitted by Spark's own distributed solver."""
-    named = rows.select(array_to_vector(F.col(features).cast("array<double>")).alias("features"), F.col(label).cast("double").alias("label"))
-    model = LogisticRegression(family="multinomial", regParam=l2, elasticNetParam=0.0, standardization=False, maxIter=200, tol=1e-10).fit(named)
+    named = rows.select(array_to_vector(F.col(features).cast("array<double>")).alias("features"), F.col(label).cast("double").alias("label"), (F.col(weight) if weight else F.lit(1.0)).alias("weight"))
+    model = LogisticRegression(family="multinomial", regParam=l2, elasticNetParam=0.0, standardization=False, maxIter=200, tol=1e-10, weightCol="weight").fit(named)
     return Head(model.coefficientMatrix.toArray(), model.interceptVector.toArray())
 
 
@@ -91,3 +93,80 @@ def expected_influence(head: Head, gradient: np.ndarray, rows: DataFrame, id_: s
 
     named = rows.select(F.col(id_).cast("string").alias("id"), F.col(features).cast("array<double>").alias("x"), (F.col(cost).cast("double") if cost else F.lit(1.0)).alias("cost"))
     return named.mapInPandas(run, "id string, utility double, influences array<double>")
+
+
+def choose_l2(fit: DataFrame, calibration: DataFrame, features: str, label: str, grid: list[float]) -> tuple[Head, float]:
+    """The head, and its l2, of least loss on `calibration` (ties: the larger l2); without calibration rows the l2 nearest to 1 by logarithm."""
+    if calibration.isEmpty():
+        l2 = min(sorted(grid, reverse=True), key=lambda v: abs(np.log10(v)))
+        return fit_head(fit, features, label, l2), l2
+    best = None
+    for l2 in sorted(grid, reverse=True):
+        head = fit_head(fit, features, label, l2)
+        loss = mean_loss(head, calibration, features, label)
+        if best is None or loss < best[0] - 1e-12:
+            best = (loss, head, l2)
+    return best[1], best[2]
+
+
+def mean_loss(head: Head, rows: DataFrame, features: str, label: str) -> float:
+    """Mean negative log likelihood at temperature."""
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                p = head.probabilities(np.array(b["x"].tolist()))
+                yield pd.DataFrame({"n": [len(b)], "loss": [-np.log(np.maximum(p[np.arange(len(b)), b["y"]], 1e-300)).sum()]})
+
+    row = _xy(rows, features, label).mapInPandas(sums, "n long, loss double").agg(F.sum("n").alias("n"), F.sum("loss").alias("loss")).first()
+    return row["loss"] / row["n"] if row["n"] else 0.0
+
+
+def bootstrap_heads(fit: DataFrame, calibration: DataFrame, id_: str, features: str, label: str, l2: float, heads: int, seed: int) -> list[Head]:
+    """Calibrated heads of seeded resamples: every row weighs a Poisson(1) number of times, drawn from a hash of its id, so nothing is shuffled."""
+    law = np.cumsum(np.exp(-1.0) / np.cumprod([1.0, *range(1, 9)]))
+    out = []
+    for k in range(heads):
+        u = coin(seed, F.lit(k), F.col(id_))
+        weighed = fit.withColumn("_w", sum((F.when(u >= float(c), 1.0).otherwise(0.0) for c in law), F.lit(0.0))).filter("_w > 0")
+        out.append(calibrated(fit_head(weighed, features, label, l2, "_w"), calibration, features, label))
+    return out
+
+
+def posterior(head: Head, heads: list[Head], rows: DataFrame, id_: str, features: str, low: float = 0.05, high: float = 0.95) -> DataFrame:
+    """(id, p, lower, upper): probabilities by `head` and their quantiles over `heads`; without heads the bounds are 0 and 1."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                x = np.array(b["x"].tolist())
+                p = head.probabilities(x)
+                every = np.stack([h.probabilities(x) for h in heads]) if heads else np.stack([np.zeros_like(p), np.ones_like(p)])
+                lo, hi = np.quantile(every, [low, high] if heads else [0.0, 1.0], axis=0)
+                yield pd.DataFrame({"id": b["id"], "p": p.tolist(), "lower": lo.tolist(), "upper": hi.tolist()})
+
+    named = rows.select(F.col(id_).cast("string").alias("id"), F.col(features).cast("array<double>").alias("x"))
+    return named.mapInPandas(run, "id string, p array<double>, lower array<double>, upper array<double>")
+
+
+def pair_features(a: Column, b: Column, gap: Column) -> tuple[Column, Column]:
+    """Direction features (difference of two responses' vectors, then their length gap), and trainability features (their absolute values)."""
+    direction = F.concat(F.zip_with(a, b, lambda x, y: x.cast("double") - y.cast("double")), F.array(gap.cast("double")))
+    return direction, F.transform(direction, F.abs)
+
+
+def pair_posterior(direction: DataFrame, trainable: DataFrame) -> DataFrame:
+    """(id, p, lower, upper) over tie, B, A: which response wins (B, A) times whether any does (tie, some), both from `posterior`.
+
+    Bounds multiply as intervals of independent factors; the bounds of a tie are the complements.
+    """
+    names = {c: c for c in ("p", "lower", "upper")}
+    both = direction.select("id", *[F.col(c).alias(f"d_{n}") for n, c in names.items()]).join(trainable.select("id", *[F.col(c)[1].alias(f"t_{n}") for n, c in names.items()]), "id")
+    tie = {"p": 1 - F.col("t_p"), "lower": F.greatest(F.lit(0.0), 1 - F.col("t_upper")), "upper": F.least(F.lit(1.0), 1 - F.col("t_lower"))}
+    return both.select("id", *[F.array(tie[n], F.col(f"t_{n}") * F.col(f"d_{n}")[0], F.col(f"t_{n}") * F.col(f"d_{n}")[1]).alias(n) for n in names])
+
+
+def pair_influence(direction_utility: DataFrame, trainable: DataFrame) -> DataFrame:
+    """(id, utility): the direction head's expected influence times the probability that a response wins at all."""
+    gate = trainable.select("id", F.col("p")[1].alias("_some"))
+    return direction_utility.join(gate, "id").select("id", (F.col("utility") * F.col("_some")).alias("utility"))
