@@ -145,3 +145,25 @@ def random_envelope(rows: DataFrame, id_: str, label: str, budget: int, repetiti
     share = counts.select("rep", F.abs(F.col("pool") / F.sum("pool").over(whole) - F.coalesce(F.try_divide("own", F.sum("own").over(whole)), F.lit(0.0))).alias("d"))
     tv = share.groupBy("rep").agg((F.sum("d") / 2).alias("tv"))
     return tv.agg(F.avg("tv").alias("mean_tv"), F.stddev_pop("tv").alias("std_tv"), F.percentile("tv", quantile).alias("quantile_tv"), F.count("tv").alias("repetitions"))
+
+
+def metric_deltas(metrics: DataFrame, by: str, baseline: str) -> DataFrame:
+    """(by, metric, value, delta): every number of a table with a row per model, less the baseline's."""
+    names = [c for c, t in metrics.dtypes if c != by and t in ("double", "float", "int", "bigint")]
+    long = metrics.select(by, F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in names])).alias("x")).select(by, "x.*")
+    base = long.filter(F.col(by) == baseline).select(F.col("metric").alias("_m"), F.col("value").alias("_v"))  # a row a metric
+    return long.join(F.broadcast(base), F.col("metric") == F.col("_m"), "left").select(by, "metric", "value", (F.col("value") - F.col("_v")).alias("delta"))
+
+
+def calibrated_shift(report: DataFrame, envelope: DataFrame, key: str, value: str) -> DataFrame:
+    """`report` with its value's z score and its excess over the mean and upper quantile of random selections (`random_envelope`) of the same `key`.
+
+    A spread of zero gives a z score of 0 at the mean, and null elsewhere.
+    """
+    law = envelope.select(F.col(key).alias("_k"), F.col("mean_tv").alias("_mean"), F.col("std_tv").alias("_std"), F.col("quantile_tv").alias("_upper"))
+    off = F.col(value) - F.col("_mean")
+    return (
+        report.join(law, F.col(key).eqNullSafe(F.col("_k")), "left")
+        .withColumn("z", F.when(F.col("_std") > 0, off / F.col("_std")).when(off == 0, 0.0))
+        .withColumn("over_mean", off).withColumn("over_upper", F.col(value) - F.col("_upper")).drop("_k", "_mean", "_std", "_upper")
+    )

@@ -32,15 +32,26 @@ class Head:
         return p / p.sum(1, keepdims=True)
 
 
-def fit_head(rows: DataFrame, features: str, label: str, l2: float, weight: str | None = None) -> Head:
-    """Mean negative log likelihood plus l2/2 of the squared weights, biases free; fitted by Spark's own distributed solver."""
+def fit_head(rows: DataFrame, features: str, label: str, l2: float, weight: str | None = None, classes: int = 0) -> Head:
+    """Mean negative log likelihood plus l2/2 of the squared weights, biases free; fitted by Spark's own distributed solver.
+
+    The head knows at least `classes` classes; those beyond the largest label in `rows` get next to no probability.
+    """
     named = rows.select(array_to_vector(F.col(features).cast("array<double>")).alias("features"), F.col(label).cast("double").alias("label"), (F.col(weight) if weight else F.lit(1.0)).alias("weight"))
-    model = LogisticRegression(family="multinomial", regParam=l2, elasticNetParam=0.0, standardization=False, maxIter=200, tol=1e-10, weightCol="weight").fit(named)
-    return Head(model.coefficientMatrix.toArray(), model.interceptVector.toArray())
+    model = LogisticRegression(family="multinomial", regParam=l2, elasticNetParam=0.0, standardization=False, maxIter=200, tol=1e-6, weightCol="weight").fit(named)
+    weights, bias = model.coefficientMatrix.toArray(), model.interceptVector.toArray()
+    more = max(0, classes - len(bias))
+    return Head(np.vstack([weights, np.zeros((more, weights.shape[1]))]), np.concatenate([bias, np.full(more, bias.min() - 30.0)]))
 
 
 def calibrated(head: Head, rows: DataFrame, features: str, label: str, points: int = 121) -> Head:
-    """`head` with the temperature in [0.05, 20] of least loss on `rows`: all temperatures of a log grid in one scan."""
+    """`head` with the temperature in [0.05, 20] of least loss on `rows`: all temperatures of a log grid in one scan.
+
+    Fewer than four rows or two labels say nothing about it: the temperature is then 1.
+    """
+    has = rows.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(label).alias("labels")).first()
+    if has["n"] < 4 or has["labels"] < 2:
+        return Head(head.weights, head.bias)
     grid = np.exp(np.linspace(np.log(0.05), np.log(20.0), points))
 
     def losses(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -124,12 +135,13 @@ def mean_loss(head: Head, rows: DataFrame, features: str, label: str) -> float:
 
 def bootstrap_heads(fit: DataFrame, calibration: DataFrame, id_: str, features: str, label: str, l2: float, heads: int, seed: int) -> list[Head]:
     """Calibrated heads of seeded resamples: every row weighs a Poisson(1) number of times, drawn from a hash of its id, so nothing is shuffled."""
+    classes = 1 + int(fit.unionByName(calibration).agg(F.max(label)).first()[0])
     law = np.cumsum(np.exp(-1.0) / np.cumprod([1.0, *range(1, 9)]))
     out = []
     for k in range(heads):
         u = coin(seed, F.lit(k), F.col(id_))
         weighed = fit.withColumn("_w", sum((F.when(u >= float(c), 1.0).otherwise(0.0) for c in law), F.lit(0.0))).filter("_w > 0")
-        out.append(calibrated(fit_head(weighed, features, label, l2, "_w"), calibration, features, label))
+        out.append(calibrated(fit_head(weighed, features, label, l2, "_w", classes), calibration, features, label))
     return out
 
 

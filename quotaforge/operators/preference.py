@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quotaforge.functions.expr import entropy, gradient_preference, length_bin, length_gap, reward_margin, word_count
 from quotaforge.operators.choose import best_of_groups, top_budget
-from quotaforge.operators.order import global_rank
+from quotaforge.operators.order import cut, global_rank
 
 #: Gaps nearer to zero than this count as no preference.
 ZERO = 1e-12
@@ -99,6 +99,7 @@ def covering_candidates(rows: DataFrame, score: str, id_: str, budget: int, mult
     flagged = rows.withColumn("covers", F.lit(False))
     if first is not None:
         flagged = rows.join(first.distinct(), F.col(id_) == F.col("_first"), "left").withColumn("covers", F.col("_first").isNotNull()).drop("_first")
+    flagged = cut(flagged)
     wanted = multiplier * budget
     sure = top_budget(flagged.filter("covers"), score, id_, wanted)
     left = wanted - sure.count()

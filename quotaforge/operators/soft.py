@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quotaforge.functions.expr import dot
+from quotaforge.functions.expr import coin, dot, seeded
 from quotaforge.operators.choose import marked, top_budget
 from quotaforge.operators.order import cut, first_of_groups
 
@@ -60,8 +60,8 @@ def target_moments(rows: DataFrame, membership: str) -> DataFrame:
     return each.groupBy("group").agg((F.sum("value") / F.lit(float(max(n, 1)))).alias("target"))
 
 
-def _enumerated(table: DataFrame, n: int, budget: int, limits: np.ndarray) -> list[str] | None:
-    """The best of all subsets of `budget` of the `n` rows; ties by the joined ids."""
+def _fitting(table: DataFrame, n: int, budget: int, limits: np.ndarray) -> DataFrame:
+    """(ids, u) of all subsets of `budget` of the `n` rows that keep the limits."""
     one = table.agg(F.array_sort(F.collect_list(F.struct("id", "u", "a"))).alias("rows"))  # at most EXACT rows
     masks = table.sparkSession.range(1 << n).filter(F.bit_count("id") == budget).withColumnRenamed("id", "mask")
     picked = masks.crossJoin(F.broadcast(one)).select(F.filter("rows", lambda r, k: F.getbit("mask", k) == 1).alias("p"))
@@ -69,7 +69,12 @@ def _enumerated(table: DataFrame, n: int, budget: int, limits: np.ndarray) -> li
     fits = F.lit(True)
     for k, limit in enumerate(limits):
         fits &= total(lambda r, k=k: r["a"][k]) <= float(limit) + SLIP * budget
-    found = picked.filter(fits).select(F.col("p.id").alias("ids"), F.round(total(lambda r: r["u"]), 12).alias("u")).orderBy(F.desc("u"), F.array_join("ids", "\n")).limit(1).first()
+    return picked.filter(fits).select(F.col("p.id").alias("ids"), F.round(total(lambda r: r["u"]), 12).alias("u"))
+
+
+def _enumerated(table: DataFrame, n: int, budget: int, limits: np.ndarray) -> list[str] | None:
+    """The best subset that fits; ties by the joined ids."""
+    found = _fitting(table, n, budget, limits).orderBy(F.desc("u"), F.array_join("ids", "\n")).limit(1).first()
     return found and found["ids"]
 
 
@@ -232,3 +237,24 @@ def error_audit(rows: DataFrame, utility: str, id_: str, estimated: str, lower:
     every = parts[0].unionByName(parts[1])
     worst = every.groupBy("selection").agg(F.max(F.abs(F.col("observed") - F.col("target"))).alias("violation"))  # two rows
     return every.join(F.broadcast(worst), "selection")
+
+
+def matched_random(rows: DataFrame, id_: str, membership: str, targets: dict[str, float], budget: int, tolerance: float, seed: int) -> DataFrame:
+    """A seeded random selection whose group means are within `tolerance` of the targets: the ids.
+
+    Up to `EXACT` rows it is uniform over all subsets that fit: the one of least hash of its
+    ids. Larger pools maximise seeded uniform utilities under the bounds, which is random
+    but not uniform over subsets.
+    """
+    groups = sorted(targets)
+    n = rows.count()
+    drawn = rows.withColumn("_u", coin(seed, F.col(id_)))
+    if n > EXACT:
+        return select(drawn, "_u", id_, membership, membership, targets, budget, tolerance).ids
+    want = np.array([targets[g] for g in groups])
+    table = _table(drawn, "_u", id_, membership, membership, groups)
+    fits = _fitting(table, n, budget, budget * np.concatenate([want + tolerance, tolerance - want]))
+    found = fits.orderBy(seeded(seed, F.array_join("ids", "\n")), "ids").limit(1).first()
+    if found is None:
+        raise ValueError("no selection keeps all groups within the tolerance")
+    return table.filter(F.col("id").isin(found["ids"])).select("id")

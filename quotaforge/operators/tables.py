@@ -144,3 +144,15 @@ def class_weights(rows: DataFrame, label: str) -> DataFrame:
     """total / (2 * count) of both classes."""
     counts = rows.groupBy(F.col(label).cast("int").alias("label")).agg(F.count(F.lit(1)).alias("n"))
     return counts.select("label", "n", (F.sum("n").over(Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) / (2.0 * F.greatest("n", F.lit(1)))).alias("weight"))
+
+
+def layered_join(base: DataFrame, layers: list[DataFrame], key: str) -> DataFrame:
+    """`base` with the columns of each layer, matched by key; a later layer's value wins where it has one. Layers hold a key once."""
+    out = base
+    for layer in layers:
+        own = {c: f"_layer_{c}" for c in layer.columns if c != key}
+        joined = out.join(layer.select(F.col(key).alias("_key"), *[F.col(c).alias(n) for c, n in own.items()]), F.col(key) == F.col("_key"), "left").drop("_key")
+        for c, n in own.items():
+            joined = joined.withColumn(c, F.coalesce(n, F.col(c)) if c in out.columns else F.col(n)).drop(n)
+        out = joined
+    return out

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quotaforge.functions import expr as E
-from quotaforge.operators import audit, choose, cluster, components, evaluate, influence, records, response, tables
+from quotaforge.operators import audit, choose, cluster, components, evaluate, influence, preference, records, response, soft, tables
 from quotaforge.streaming import shares
 
 QUERIES: dict = {}
@@ -581,3 +581,131 @@ def stream_event_counts(spark, d):
     schema = _t(spark, d, "events").schema
     counts = shares.windowed_counts(shares.arriving(spark, d, "events.parquet", schema), "ts", "event_type", "1 hour", "3650 days")
     return shares.run_to_table(counts, shares.fresh_folder(spark)).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+# --- overlapping groups and preference pairs ---------------------------------------------
+
+
+def soft_pool(spark, d):
+    """The class pool with its entropy, memberships by class and bounds of 0.05 about them."""
+    pool = class_pool(spark, d).select("id", E.entropy(F.col("p")).alias("entropy"), F.map_from_arrays(F.transform(F.sequence(F.lit(0), F.size("p") - 1), lambda k: k.cast("string")), "p").alias("m"))
+    return pool.withColumn("low", F.transform_values("m", lambda _, v: F.greatest(v - 0.05, F.lit(0.0)))).withColumn("high", F.transform_values("m", lambda _, v: F.least(v + 0.05, F.lit(1.0))))
+
+
+def soft_targets(pool):
+    return {r["group"]: r["target"] for r in soft.target_moments(pool, "m").collect()}  # a number a class
+
+
+@query("soft_selection")
+def soft_selection(spark, d):
+    pool = soft_pool(spark, d)
+    return soft.select(pool, "entropy", "id", "m", "m", soft_targets(pool), 100, 0.01).ids
+
+
+@query("soft_error_audit")
+def soft_error_audit(spark, d):
+    """Observed memberships are those of the prediction alone."""
+    pool = soft_pool(spark, d)
+    top = F.array_max(F.map_values("m"))
+    seen = pool.withColumn("seen", F.transform_values("m", lambda _, v: F.when(v == top, 1.0).otherwise(0.0)))
+    return _rounded(soft.error_audit(seen, "entropy", "id", "m", "low", "high", "seen", soft_targets(pool), 100, 0.08), 4)
+
+
+def log_pairs(spark, d):
+    """Preference pairs with log probabilities that fall with the words, differently for policy and reference."""
+    value = lambda c, k: F.round(-F.col(f"words_{c}") * k - F.pmod(F.col("conv_id"), F.lit(7)) * (k if c == "a" else 0.01), 6)
+    pairs = preference_pairs(spark, d).select("id", "conv_id", "bin", "words_a", "words_b", value("a", 0.05).alias("pa"), value("b", 0.05).alias("pb"), value("a", 0.03).alias("ra"), value("b", 0.03).alias("rb"))
+    return preference.log_gaps(pairs, ("pa", "pb"), ("ra", "rb"))
+
+
+LOG_SQL = PAIR_SQL + """,
+logs AS (SELECT *, round(-words_a * 0.05 - (conv_id % 7) * 0.05, 6) AS pa, round(-words_b * 0.05 - (conv_id % 7) * 0.01, 6) AS pb,
+                   round(-words_a * 0.03 - (conv_id % 7) * 0.03, 6) AS ra, round(-words_b * 0.03 - (conv_id % 7) * 0.01, 6) AS rb FROM binned),
+gaps AS (SELECT *, pa - pb AS policy_gap, ra - rb AS reference_gap, (pa - pb) - (ra - rb) AS implicit_gap FROM logs),
+scored AS (SELECT *, 1 - abs(2 / (1 + exp(-greatest(-60, least(60, implicit_gap)))) - 1) AS reward_margin, abs(implicit_gap) / greatest(words_a + words_b, 1) AS update_size FROM gaps)"""
+
+
+@query(
+    "log_gap_audit",
+    f"""WITH {LOG_SQL}, long AS (SELECT unnest(['policy_gap', 'reference_gap', 'implicit_gap']) AS gap, unnest([policy_gap, reference_gap, implicit_gap]) AS v FROM gaps)
+SELECT gap, count(*) AS n, round(avg(v), 6) + 0.0 AS mean, round(var_pop(v), 6) + 0.0 AS variance, count(*) FILTER (v > 1e-12) AS positive,
+ count(*) FILTER (v < -1e-12) AS negative, count(*) FILTER (abs(v) <= 1e-12) AS zero FROM long GROUP BY gap""",
+)
+def log_gap_audit(spark, d):
+    return _rounded(preference.log_gap_audit(log_pairs(spark, d)))
+
+
+@query(
+    "pair_scores",
+    f"""WITH {LOG_SQL} SELECT id, round(reward_margin, 6) + 0.0 AS reward_margin, round(update_size, 6) + 0.0 AS update_size,
+ round(reward_margin / (1 + abs(implicit_gap)), 6) + 0.0 AS cheap_gradient FROM scored""",
+)
+def pair_scores(spark, d):
+    scored = preference.pair_scores(log_pairs(spark, d), F.col("words_a") + F.col("words_b"), by_length=True)
+    return _rounded(scored.select("id", "reward_margin", "update_size", "cheap_gradient"))
+
+
+@query(
+    "covering_candidates",
+    f"""WITH {LOG_SQL}, best AS (SELECT *, row_number() OVER (PARTITION BY bin ORDER BY round(update_size, 6) DESC, id) = 1 AS covers FROM scored)
+SELECT id, bin, covers FROM best QUALIFY row_number() OVER (ORDER BY covers DESC, round(update_size, 6) DESC, id) <= 40""",
+)
+def covering_candidates(spark, d):
+    scored = preference.pair_scores(log_pairs(spark, d), F.col("words_a") + F.col("words_b"), by_length=True).withColumn("size", F.round("update_size", 6))
+    return preference.covering_candidates(scored, "size", "id", 10, 4, ["bin"]).select("id", "bin", "covers")
+
+
+def _utilities(spark, d):
+    rows = _t(spark, d, "orders").select("o_orderpriority", (F.col("o_totalprice") / 1e6).alias("u"))
+    return rows.filter("o_orderpriority = '1-URGENT'"), rows.filter("o_orderpriority = '2-HIGH'")
+
+
+PROFILE_SQL = """
+r AS (SELECT o_orderpriority AS p, o_totalprice / 1e6 AS u, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice) AS k, count(*) OVER (PARTITION BY o_orderpriority) AS n
+      FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')),
+b AS (SELECT p, u, ((k > round_even(n / 4.0, 0))::INT + (k > round_even(2 * n / 4.0, 0))::INT + (k > round_even(3 * n / 4.0, 0))::INT)::INT AS bin FROM r),
+profile AS (SELECT p, bin, count(*) AS n, avg(u) AS mean FROM b GROUP BY p, bin)"""
+
+
+@query("utility_profile", f"WITH {PROFILE_SQL} SELECT bin, n, round(mean, 6) + 0.0 AS mean, (bin + 0.5) / 4::DOUBLE AS midpoint FROM profile WHERE p = '1-URGENT'")
+def utility_profile(spark, d):
+    return _rounded(preference.utility_profile(_utilities(spark, d)[0], "u", 4))
+
+
+@query(
+    "matched_utility",
+    f"""WITH {PROFILE_SQL}, m AS (SELECT (SELECT avg(u) FROM b WHERE p = '2-HIGH') - (SELECT avg(u) FROM b WHERE p = '1-URGENT') AS d,
+ (SELECT max(abs(t.mean - s.mean)) FROM profile s JOIN profile t USING (bin) WHERE s.p = '1-URGENT' AND t.p = '2-HIGH') AS x)
+SELECT round(d, 6) + 0.0 AS mean_delta, round(x, 6) + 0.0 AS largest_bin_delta, abs(d) <= 0.02 AND x <= 0.05 AS matched FROM m""",
+)
+def matched_utility(spark, d):
+    return _rounded(preference.matched_utility(*_utilities(spark, d), "u"))
+
+
+@query(
+    "coverage_deviation",
+    """WITH s AS (SELECT source AS g, count(*) / sum(count(*)) OVER ()::DOUBLE AS v FROM documents WHERE n_chars > 1000 GROUP BY 1),
+t AS (SELECT source AS g, count(*) / sum(count(*)) OVER ()::DOUBLE AS v FROM documents GROUP BY 1)
+SELECT round(sum(abs(coalesce(s.v, 0) - coalesce(t.v, 0))) / 2, 6) + 0.0 AS deviation FROM s FULL JOIN t ON s.g IS NOT DISTINCT FROM t.g""",
+)
+def coverage_deviation(spark, d):
+    docs = _t(spark, d, "documents")
+
+    def shares_of(rows):
+        each = rows.groupBy(F.col("source").alias("group")).agg(F.count(F.lit(1)).alias("n"))  # a row a source
+        return each.crossJoin(F.broadcast(each.agg(F.sum("n").alias("all")))).select("group", (F.col("n") / F.col("all")).alias("value"))
+
+    return _rounded(preference.coverage_deviation(shares_of(docs.filter("n_chars > 1000")), shares_of(docs)))
+
+
+@query("influence_posterior")
+def influence_posterior(spark, d):
+    """Probabilities with bounds from ten resampled heads; l2 by the calibration fold."""
+    rows = _t(spark, d, "embeddings").select("vec_id", "embedding", "label")
+    fold = F.col("vec_id") % 10
+    fit, side = rows.filter(fold == 0), rows.filter(fold == 1)
+    head, l2 = influence.choose_l2(fit, side, "embedding", "label", [0.001, 0.01, 0.1])
+    heads = influence.bootstrap_heads(fit, side, "vec_id", "embedding", "label", l2, 10, 7)
+    found = influence.posterior(influence.calibrated(head, side, "embedding", "label"), heads, rows.filter(fold > 2).drop("label"), "vec_id", "embedding")
+    three = lambda c: F.transform(c, lambda v: F.round(v, 4))
+    return found.select("id", three("p").alias("p"), three("lower").alias("lower"), three("upper").alias("upper"))
