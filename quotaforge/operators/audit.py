@@ -134,3 +134,26 @@ def score_audit(rows: DataFrame, score: str, length: str) -> DataFrame:
         F.count(score).alias("n"), F.min(score).alias("least"), F.max(score).alias("most"), F.avg(score).alias("mean"), F.var_pop(score).alias("variance"),
         (F.max(score) == F.min(score)).alias("degenerate"), correlation(F.col(score), F.col(length)).alias("length_correlation"),
     )
+
+
+def established_shifts(report: DataFrame, classes: DataFrame, least_tv: float = 0.02, least_enrichment: float = 0.1, budgets: int = 2) -> DataFrame:
+    """Per method: mean excess TV, budgets that reach `least_tv`, classes enriched at `budgets` or more of those, and whether both hold.
+
+    `report`: method, budget, tv_excess; `classes`: method, budget, class, enrichment_excess (both over random selection).
+    """
+    reached = report.filter(F.col("tv_excess") >= least_tv).select("method", "budget")
+    stable = (
+        classes.filter(F.col("enrichment_excess") >= least_enrichment).join(reached, ["method", "budget"]).groupBy("method", "class")
+        .agg(F.count_distinct("budget").alias("n")).filter(F.col("n") >= budgets).groupBy("method").agg(F.array_sort(F.collect_set("class")).alias("stable_classes"))
+    )
+    means = report.groupBy("method").agg(F.avg("tv_excess").alias("mean_tv_excess"), F.count_if(F.col("tv_excess") >= least_tv).alias("budgets_reached"))
+    out = means.join(stable, "method", "left").withColumn("stable_classes", F.coalesce("stable_classes", F.array().cast("array<string>")))
+    return out.withColumn("established", (F.col("budgets_reached") >= budgets) & (F.size("stable_classes") > 0))
+
+
+def recommended_method(shifts: DataFrame, preferred: str = "entropy", comparable: float = 0.02) -> DataFrame:
+    """One row, or none without an established method: the largest mean excess, but `preferred` where it is within `comparable` of that."""
+    sure = shifts.filter("established")
+    top = sure.agg(F.max("mean_tv_excess").alias("_top"))
+    near = sure.crossJoin(F.broadcast(top)).withColumn("_first", (F.col("method") == preferred) & (F.col("_top") - F.col("mean_tv_excess") <= comparable))  # `top` is one row
+    return near.orderBy(F.desc("_first"), F.desc("mean_tv_excess"), F.desc(F.size("stable_classes")), F.desc("method")).limit(1).select("method", "mean_tv_excess", "stable_classes")

@@ -38,7 +38,7 @@ def fit_head(rows: DataFrame, features: str, label: str, l2: float, weight: str
     The head knows at least `classes` classes; those beyond the largest label in `rows` get next to no probability.
     """
     named = rows.select(array_to_vector(F.col(features).cast("array<double>")).alias("features"), F.col(label).cast("double").alias("label"), (F.col(weight) if weight else F.lit(1.0)).alias("weight"))
-    model = LogisticRegression(family="multinomial", regParam=l2, elasticNetParam=0.0, standardization=False, maxIter=200, tol=1e-6, weightCol="weight").fit(named)
+    model = LogisticRegression(family="multinomial", regParam=l2, elasticNetParam=0.0, standardization=False, maxIter=100, tol=1e-6, weightCol="weight").fit(named)
     weights, bias = model.coefficientMatrix.toArray(), model.interceptVector.toArray()
     more = max(0, classes - len(bias))
     return Head(np.vstack([weights, np.zeros((more, weights.shape[1]))]), np.concatenate([bias, np.full(more, bias.min() - 30.0)]))
