@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quotaforge.functions import expr as E
+from quotaforge.functions import templates
 from quotaforge.operators import audit, choose, cluster, components, evaluate, influence, preference, records, response, soft, tables
 from quotaforge.streaming import shares
 
@@ -709,3 +710,28 @@ def influence_posterior(spark, d):
     found = influence.posterior(influence.calibrated(head, side, "embedding", "label"), heads, rows.filter(fold > 2).drop("label"), "vec_id", "embedding")
     three = lambda c: F.transform(c, lambda v: F.round(v, 4))
     return found.select("id", three("p").alias("p"), three("lower").alias("lower"), three("upper").alias("upper"))
+
+
+@query(
+    "positioned_pairs",
+    f"""WITH {PAIR_SQL}, c AS (SELECT *, ('0x' || substr(md5('42:' || id), 1, 8))::BIGINT / 4294967296.0 < 0.5 AS swapped FROM binned)
+SELECT id, CASE WHEN swapped THEN 'swapped' ELSE 'original' END AS ab_position, CASE WHEN swapped THEN words_b ELSE words_a END AS words_shown_first,
+ CASE WHEN words_a = words_b THEN 'tie' WHEN (words_a > words_b) <> swapped THEN 'A' ELSE 'B' END AS label FROM c""",
+)
+def positioned_pairs(spark, d):
+    """The longer response is preferred."""
+    longer = F.when(F.col("words_a") > F.col("words_b"), 1).when(F.col("words_a") < F.col("words_b"), 2).otherwise(0)
+    pairs = preference_pairs(spark, d).withColumnRenamed("response_a", "response_1").withColumnRenamed("response_b", "response_2").withColumn("preferred_response", longer)
+    placed = templates.positioned_pairs(pairs, "id", 42)
+    first = F.when(F.col("ab_position") == "swapped", F.col("words_b")).otherwise(F.col("words_a"))
+    return placed.select("id", "ab_position", first.alias("words_shown_first"), "label")
+
+
+@query(
+    "classification_records",
+    """SELECT doc_id AS id, sha256(concat('Text:', chr(10), text, chr(10), chr(10), 'Categories:', chr(10), 'A: low', chr(10), 'B: high', chr(10), chr(10),
+ 'Classify the text and answer with exactly one letter from A to B.')) AS said_sha256, CASE WHEN quality = 1 THEN 'B' ELSE 'A' END AS answer FROM documents JOIN labels USING (doc_id)""",
+)
+def classification_records(spark, d):
+    made = templates.classification_records(labelled(spark, d), "doc_id", "text", "quality", ["low", "high"])
+    return made.select("id", F.sha2(F.col("messages")[1]["content"], 256).alias("said_sha256"), "answer")
