@@ -79,3 +79,9 @@ def test_frontier_and_error_audit(spark):
     audit = soft.error_audit(rows.withColumn("seen", F.col("m")), "u", "id", "m", "low", "high", "seen", targets, 10, 0.15).collect()
     assert len(audit) == 6 and {r["selection"] for r in audit} == {"nominal", "robust"}
     assert all(r["violation"] <= 0.15 + 1e-6 for r in audit)
+
+
+def test_matched_random_on_a_larger_pool(spark):
+    rows, _, m = _pool(spark, 60, 9)
+    ids = [r["id"] for r in soft.matched_random(rows, "id", "m", dict(zip("xyz", m.mean(0).tolist(), strict=True)), 12, 0.05, 3).collect()]
+    assert len(set(ids)) == 12 and _breach(ids, m, m, m.mean(0), 0.05) <= 1e-8
