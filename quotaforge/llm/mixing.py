@@ -59,10 +59,11 @@ def targets(sizes: DataFrame, weights=WEIGHTS, most: float = MOST_COPIES, share:
         .withColumn("_all_w", F.sum("_w").over(every))
         .withColumn("_cap_before", F.coalesce(F.sum("_cap").over(before), F.lit(0.0)))
         .withColumn("_w_before", F.coalesce(F.sum("_w").over(before), F.lit(0.0)))
+        .withColumn("_at", F.row_number().over(by_ratio))
         .withColumn("_level", (F.col("_budget") - F.col("_cap_before")) / (F.col("_all_w") - F.col("_w_before")))
     )
-    # the first source, in the order of the ratios, that its level does not cap: its level holds for it and all after it
-    level = F.min(F.when(F.col("_level") < F.col("_ratio"), F.struct("_ratio", "_level"))).over(every)
+    # the first source, in the order of the ratios and, among equal ones, of the names, that its level does not cap: its level holds for it and all after it
+    level = F.min(F.when(F.col("_level") < F.col("_ratio"), F.struct("_at", "_level"))).over(every)
     return placed.select(
         "source", "source_size",
         F.coalesce(F.least(F.col("_cap"), level["_level"] * F.col("_w")), F.col("_cap")).alias("target"),

@@ -217,6 +217,19 @@ def test_mixing_edge_cases(spark, odd, empty):
     assert mixing.mix(empty).count() == 0
 
 
+@pytest.mark.parametrize("sizes", [[100] * 4, [5, 2, 1], [0, 0], [7], [50, 50, 50, 900, 20, 10, 3], [60, 1, 12, 60, 24, 12, 60]])
+def test_mixing_targets_of_equal_ratios_against_a_reshare(spark, sizes):
+    rows = spark.createDataFrame([(f"s{k:02d}", n) for k, n in enumerate(sizes)], "source string, source_size long")
+    got = [r["target"] for r in mixing.targets(rows).orderBy("source").collect()]
+    weights, left, capped = [mixing.WEIGHTS[k % 3] for k in range(len(sizes))], float(sum(sizes)), set()
+    while over := {k for k, n in enumerate(sizes) if k not in capped and left * weights[k] / sum(w for j, w in enumerate(weights) if j not in capped) > 3 * n}:
+        capped |= over
+        left = sum(sizes) - 3.0 * sum(sizes[k] for k in capped)
+    free = sum(w for k, w in enumerate(weights) if k not in capped)
+    assert got == pytest.approx([3.0 * n if k in capped else left * weights[k] / free for k, n in enumerate(sizes)])
+    assert sum(got) == pytest.approx(sum(sizes))
+
+
 def test_pipeline_stages_against_brute_force(spark):
     import corpus_pipeline as pipeline
 
