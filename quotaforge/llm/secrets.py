@@ -31,13 +31,21 @@ ASSIGN = re.compile(
 )
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
-#: Words that announce a credential, and the value after them.
-CONTEXT = re.compile(
-    r"(?<![A-Za-z])(?:password|passwd|passphrase|passcode|pwd|secret|token|api[_ -]?key|apikey|access[_ -]?key|private[_ -]?key|client[_ -]?secret"
+#: Words that announce a credential, words that may stand between them and the value, and what parts these from each other.
+NAMES = (
+    r"(?:password|passwd|passphrase|passcode|pwd|secret|token|api[_ -]?key|apikey|access[_ -]?key|private[_ -]?key|client[_ -]?secret"
     r"|credentials?|auth(?:orization)?|bearer|login|pin)(?![A-Za-z])"
-    r"""["']?[\x20\t]*(?:[:=]>?|is\b|bearer\b)?[\x20\t]*["']?([^\x00-\x20"'<>,;`]{6,})""",
-    re.ASCII | re.IGNORECASE,
 )
+BETWEEN = (
+    r"(?:keys?|ids?|values?|strings?|codes?|hash|header|basic|digest|is|was|are|be|to|for|of|the|this|my|your|our|their|new|old|current|temporary|default"
+    r"|user|account|admin|root|server|database|db|service|prod(?:uction)?|test|staging|set)(?![A-Za-z])"
+)
+CONTEXT = re.compile(rf"(?<![A-Za-z]){NAMES}", re.ASCII | re.IGNORECASE)
+GAP = re.compile(r"""["'`)\]]*[\x20\t]*(?:(?:[:=]+>?|->)\s*)?["'`]?""", re.ASCII)
+STEP_WORD = re.compile(rf"""[_-]?(?:{NAMES}|{BETWEEN})(?=["'`)\]]*[\x20\t:=]|[_-](?:{NAMES}|{BETWEEN}))""", re.ASCII | re.IGNORECASE)
+VALUE = re.compile(r"""[^\x00-\x20"'<>,;`]+""")
+#: Words of letters in lower case, in capitals or with a first capital, as "(username/password".
+PROSE = re.compile(r"[\[({]*(?:[A-Z]?[^\W\d_A-Z]+|[A-Z]+)(?:[-\u2010-\u2015'\u2019/.:()]+(?:[A-Z]?[^\W\d_A-Z]+|[A-Z]+))*")
 HINT = re.compile(r"pass|pwd|secret|token|key|credential|auth|bearer|login|pin", re.ASCII | re.IGNORECASE)
 #: Least log10 guesses of a value that is reported.
 THRESHOLD = 10.0
@@ -128,23 +136,47 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out, key=lambda s: (s[0], s[2]))
 
 
-def looks_secret(value: str, threshold: float) -> bool:
-    """A value is reported for its cost, if it mixes digits or signs into letters as prose does not."""
-    classes = sum(any(map(test, value)) for test in (str.isdigit, str.isalpha, lambda c: not c.isalnum()))
-    return classes >= 2 and any(map(str.isdigit, value)) and guess_cost(value) >= threshold
+def values(text: str) -> dict[tuple[int, int], bool]:
+    """Spans of the values after credential words, and whether a sign (such as : or =) announces them.
+
+    Each credential word is followed on its own, over any number of further credential and connecting words.
+    """
+    out: dict[tuple[int, int], bool] = {}
+    known: dict[int, tuple[tuple[int, int] | None, bool]] = {}  # by the end of a word: what follows it
+    for m in reversed(list(CONTEXT.finditer(text))):
+        at, path = m.end(), []
+        while at not in known:
+            gap = GAP.match(text, at)
+            path.append((at, any(c in ":=>" for c in gap[0])))
+            step = STEP_WORD.match(text, gap.end())
+            if not step:
+                v = VALUE.match(text, gap.end())
+                known[at] = ((v.start(), v.start() + len(v[0].rstrip(".:!?)]}"))) if v else None, path.pop()[1])
+                break
+            at = step.end()
+        span, told = known[at]
+        for k, sign in reversed(path):
+            told = told or sign
+            known[k] = span, told
+        if span:
+            out[span] = out.get(span, False) or told
+    return out
+
+
+def looks_secret(value: str, told: bool, threshold: float) -> bool:
+    """A value is reported for its cost alone, but one that no sign announces and that reads as a word of prose is none."""
+    return (told or not PROSE.fullmatch(value)) and guess_cost(value) >= threshold
 
 
 def spans(text: str | None, threshold: float = THRESHOLD) -> list[tuple[int, int, int]]:
-    """All spans by start and kind: the base ones, and costly values in credential context outside them."""
+    """All spans by start and kind: the base ones, and costly values in credential context that none of them covers whole."""
     if not text:
         return []
     out = base_spans(text)
     if HINT.search(text):
         taken = list(out)
-        for m in CONTEXT.finditer(text):
-            start, value = m.start(1), m.group(1).rstrip(".:!?)]}")
-            end = start + len(value)
-            if len(value) >= 6 and not any(s < end and start < e for s, e, _ in taken) and looks_secret(value, threshold):
+        for (start, end), told in values(text).items():
+            if not any(s <= start and end <= e for s, e, _ in taken) and looks_secret(text[start:end], told, threshold):
                 out.append((start, end, 3))
     return sorted(out, key=lambda s: (s[0], s[2]))
 
