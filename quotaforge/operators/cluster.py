@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quotaforge.operators.order import cut
+
 
 def _units(column: pd.Series) -> np.ndarray:
     """Rows of length one; zero vectors stay zero."""
@@ -94,32 +96,134 @@ def assign_clusters(rows: DataFrame, vector: str, id_: str, centres: np.ndarray,
     return _ids(rows, vector, id_).mapInPandas(run, "id string, cluster int, distance double, memberships array<double>")
 
 
-def facility_location(rows: DataFrame, candidates: DataFrame, vector: str, id_: str, priority: str, budget: int) -> DataFrame:
-    """(step, id, gain): greedy choice from `candidates` of the most summed cosine similarity to every one of `rows`.
+def _gain_bounds(points: DataFrame, offers: DataFrame, first: np.ndarray, parts: int = 32, rings: int = 32, levels: int = 64, angles: int = 256) -> DataFrame:
+    """(id, bound) of `offers`: no gain over the coverage by the unit vector `first` is above its bound.
 
-    Starts at the candidate of most priority. `candidates` is a list bounded by the caller
-    (a few times the budget); gains are summed over all rows, one scan a step, in which a
-    task keeps only its candidates' partial gains. Negative similarities count as none.
+    Rows are counted by their nearest of a few sample rows, their angle to it and their
+    coverage. By the triangle inequality an offer's similarity to a row of such a cell is at
+    most the cosine of the least difference of their angles to the sample row.
     """
-    some = candidates.select(F.col(id_).cast("string").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.col(priority).alias("p")).toPandas().sort_values("id").reset_index(drop=True)
-    if not len(some):
-        return rows.sparkSession.createDataFrame([], "step int, id string, gain double")
-    units, chosen, steps = _units(some["v"]), [], []
-    points = _ids(rows, vector, id_)
+    centres = _units(points.orderBy(F.xxhash64("id"), "id").limit(parts).toPandas()["v"])
+    angle = lambda u: np.arccos(np.clip(u @ centres.T, -1, 1))
+
+    def cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((len(centres), rings, levels), np.int64)
+        for b in batches:
+            if len(b):
+                u = _units(b["v"])
+                a = angle(u)
+                near = a.argmin(1)
+                ring = np.minimum((a[np.arange(len(u)), near] / np.pi * rings).astype(int), rings - 1)
+                level = np.clip(((u @ first + 1) / 2 * levels).astype(int), 0, levels - 1)
+                np.add.at(total, (near, ring, level), 1)
+        at = np.flatnonzero(total)
+        yield pd.DataFrame({"cell": at, "n": total.ravel()[at]})
+
+    found = points.mapInPandas(cells, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    n = np.zeros(len(centres) * rings * levels)
+    n[found["cell"]] = found["n"]
+    n = n.reshape(len(centres), rings, levels)
+    low, high = np.pi / rings * np.arange(rings), np.pi / rings * np.arange(1, rings + 1)
+    own = np.pi / angles * np.arange(angles)[:, None]
+    most = np.cos(np.maximum(0, np.maximum(own - high, low - own - np.pi / angles)))
+    least = np.arange(levels) * 2 / levels - 1
+    bound = np.einsum("crl,arl->ca", n, np.maximum(0, most[:, :, None] - least))
+    slack = 1e-9 * (1 + n.sum())
 
-    def gains(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(len(units))
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
-                near = np.maximum(0, _units(b["v"]) @ units.T)
-                cover = near[:, chosen].max(1, keepdims=True) if chosen else 0.0
-                total += np.maximum(0, near - cover).sum(0)
-        yield pd.DataFrame({"c": range(len(total)), "g": total})
-
-    while len(chosen) < min(budget, len(some)):
-        found = points.mapInPandas(gains, "c int, g double").groupBy("c").agg(F.sum("g").alias("g")).toPandas().set_index("c")["g"].reindex(range(len(some)), fill_value=0.0).to_numpy().copy()
-        found[chosen] = -1
-        at = int(np.flatnonzero(some["p"] == some["p"].max())[0]) if not chosen else int(np.round(found, 9).argmax())
-        chosen.append(at)
-        steps.append((len(chosen), some["id"].iloc[at], float(found[at])))
-    return rows.sparkSession.createDataFrame(steps, "step int, id string, gain double")
+                at = np.minimum((angle(_units(b["v"])) / np.pi * angles).astype(int), angles - 1)
+                yield pd.DataFrame({"id": b["id"], "bound": bound[np.arange(len(centres)), at].sum(1) + slack})
+
+    return offers.select("id", "v").mapInPandas(run, "id string, bound double")
+
+
+def facility_location(
+    rows: DataFrame, candidates: DataFrame, vector: str, id_: str, priority: str, budget: int, block: int = 512, held: int = 20_000
+) -> DataFrame:
+    """(step, id, gain): greedy choice from `candidates` of the most summed cosine similarity to every one of `rows`.
+
+    Starts at the candidate of most priority, the greatest id on a tie; later ties go to the
+    least id. `candidates` may be the whole pool: bounds on the gains are kept as a table, and
+    since gains only fall as coverage grows, a step scores only candidates whose bound or
+    earlier gain can still win, `block` of them a scan. The driver holds at most about twice `held`
+    scored candidates; beyond, their gains go back into the table as bounds. Negative
+    similarities count as they are.
+    """
+    spark = rows.sparkSession
+    points = _ids(rows, vector, id_)
+    offers = candidates.filter(F.col(vector).isNotNull()).select(F.col(id_).cast("string").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.col(priority).alias("p"))
+    start = offers.orderBy(F.desc_nulls_last("p"), F.desc("id")).limit(1).toPandas()
+    if not len(start) or budget <= 0:
+        return spark.createDataFrame([], "step int, id string, gain double")
+    chosen = _units(start["v"])
+
+    def gains(units: np.ndarray, covered: bool = True) -> np.ndarray:
+        """Exact gains of `units` over the coverage by all chosen ones (or over none)."""
+        cover = chosen
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total = np.zeros(len(units))
+            for b in batches:
+                for a in range(0, len(b), 2000):
+                    u = _units(b["v"].iloc[a : a + 2000])
+                    near = u @ units.T
+                    total += (np.maximum(0, near - (u @ cover.T).max(1, keepdims=True)) if covered else near).sum(0)
+            yield pd.DataFrame({"c": range(len(total)), "g": total})
+
+        found = points.mapInPandas(run, "c int, g double").groupBy("c").agg(F.sum("g").alias("g")).toPandas()
+        out = np.zeros(len(units))
+        out[found["c"]] = found["g"]
+        return out
+
+    steps = [(1, start["id"].iloc[0], float(gains(chosen, False)[0]))]
+    table = cut(_gain_bounds(points, offers, chosen[0]).filter(F.col("id") != steps[0][1]))
+    empty = pd.DataFrame({"id": pd.Series(dtype=str), "bound": pd.Series(dtype=float), "v": pd.Series(dtype=object)})
+
+    def put_back(table: DataFrame, scored: pd.DataFrame) -> DataFrame:
+        back = spark.createDataFrame(scored[["id", "bound"]].rename(columns={"id": "_id", "bound": "_b"}), "_id string, _b double")  # about `held` rows
+        return cut(table.join(F.broadcast(back), F.col("id") == F.col("_id"), "left").select("id", F.coalesce("_b", "bound").alias("bound")))
+
+    # the scored ones, the place in the table's order up to which they were taken, whether that is its end
+    pool, last, done = empty, None, False
+    while len(steps) < budget:
+        fresh, best, after = set(), None, None
+        while True:
+            stale = pool[~pool["id"].isin(fresh)].nlargest(block, "bound")
+            rest = np.inf if last is None else -np.inf if done else last[0]
+            most = max(rest, stale["bound"].max() if len(stale) else -np.inf)
+            if most == -np.inf or (best is not None and most < best[0] - 1e-8):
+                break
+            if not len(stale) or rest > stale["bound"].max():
+                # the next rows of the table, by falling bound
+                later = table if last is None else table.filter((F.col("bound") < last[0]) | ((F.col("bound") == last[0]) & (F.col("id") > last[1])))
+                took = later.orderBy(F.desc("bound"), "id").limit(block)
+                stale = took.join(offers.select("id", "v"), "id").toPandas().sort_values(["bound", "id"], ascending=[False, True])
+                stale = stale[~stale["id"].isin([s[1] for s in steps])]
+                place = took.agg(F.count(F.lit(1)), F.max(F.struct(-F.col("bound"), "id"))).first()
+                last, done = (-place[1][0], place[1][1]) if place[0] else (-np.inf, ""), place[0] < block
+                if not len(stale):
+                    continue
+                pool = pd.concat([pool, stale], ignore_index=True) if len(pool) else stale.reset_index(drop=True)
+            exact = dict(zip(stale["id"], gains(_units(stale["v"])), strict=True))
+            scored = pool["id"].isin(exact)
+            pool.loc[scored, "bound"] = pool.loc[scored, "id"].map(exact)
+            fresh |= exact.keys()
+            least = min((-round(g, 9), k) for k, g in exact.items())
+            if best is None or least < (-best[0], best[1]):
+                best = -least[0], least[1]
+            if len(fresh) > held:
+                lost = pool["id"].isin(fresh) & (pool["id"] != best[1])
+                after = put_back(table if after is None else after, pool[lost])
+                pool, fresh = pool[~lost], {best[1]}
+        if best is None:
+            break
+        own = pool[pool["id"] == best[1]]
+        chosen = np.vstack([chosen, _units(own["v"])])
+        steps.append((len(steps) + 1, best[1], float(own["bound"].iloc[0])))
+        pool = pool[pool["id"] != best[1]]
+        if after is not None or len(pool) > held:
+            table = put_back(table if after is None else after, pool)
+            pool, last, done = empty, None, False
+    return spark.createDataFrame(steps, "step int, id string, gain double")

@@ -539,7 +539,7 @@ def prompt_clusters(spark, d):
 @query("facility_location")
 def facility_location(spark, d):
     pool = class_pool(spark, d).select("id", "embedding", E.entropy(F.col("p")).alias("entropy"))
-    return _rounded(cluster.facility_location(pool, choose.top_budget(pool, "entropy", "id", 64), "embedding", "id", "entropy", 16), 4)
+    return _rounded(cluster.facility_location(pool, pool, "embedding", "id", "entropy", 16), 4)
 
 
 @query("expected_influence")

@@ -129,6 +129,28 @@ def test_clusters_and_facility_location(spark):
     assert len(cluster.fit_clusters(rows.limit(0), "v", "id", 3)) == 0 and cluster.facility_location(rows, rows.limit(0), "v", "id", "p", 4).count() == 0
 
 
+@pytest.mark.parametrize(("block", "held"), [(512, 20_000), (20, 30)])
+def test_facility_location_over_the_whole_pool(spark, block, held):
+    g = np.random.default_rng(5)
+    centres = g.normal(size=(6, 5))
+    # the rows of most priority lie between the classes, the dense clusters elsewhere
+    data = [(f"{k:03d}", (centres[min(k % 17, 5)] + 0.2 * g.normal(size=5)).tolist(), 0.0) for k in range(300)]
+    data += [(f"{300 + k}", (0.05 * g.normal(size=5)).tolist(), 1.0 + k) for k in range(64)] + [("364", [0.0] * 5, 0.0), ("365", None, 99.0)]
+    rows = spark.createDataFrame(data, "id string, v array<double>, p double").repartition(3)
+    steps = cluster.facility_location(rows, rows, "v", "id", "p", 9, block, held).orderBy("step").collect()
+    u = np.array([v for _, v, _ in data[:-1]])
+    u /= np.maximum(np.linalg.norm(u, axis=1, keepdims=True), 1e-12)
+    near, chosen = u @ u.T, [363]
+    want = [near[:, 363].sum()]
+    while len(chosen) < 9:
+        gain = np.maximum(0, near - near[:, chosen].max(1, keepdims=True)).sum(0)
+        gain[chosen] = -1
+        chosen.append(int(gain.argmax()))
+        want.append(gain.max())
+    assert [int(s["id"]) for s in steps] == chosen and [s["gain"] for s in steps] == pytest.approx(want)
+    assert min(chosen[1:]) < 300
+
+
 def test_stream_counts_and_scoring_sink(spark, tmp_path):
     rows = spark.range(100).select("id", F.timestamp_seconds(F.col("id") * 60).alias("ts"), (F.col("id") % 2).cast("string").alias("g"))
     rows.repartition(4).write.parquet(f"{tmp_path}/in")
