@@ -1,17 +1,19 @@
 """Mixing sources to target weights by hash-threshold histograms.
 
-Every document gets a 60-bit hash of its id. A source's budget is met by whole
-copies of all of its documents plus one more copy of those whose hash lies below
-a threshold. The threshold is found without sorting the documents: sizes are
+Every document gets a 60-bit hash of its id and text. A source's budget is met by
+whole copies of all of its documents plus one more copy of those whose hash lies
+below a threshold. The threshold is found without sorting the documents: sizes are
 summed by (source, leading hash digits), a running sum over at most 4,096 bucket
 sums per source finds the bucket that the budget ends in, and only that bucket's
-documents are summed again by their next digits, until all 60 bits are fixed.
+documents are summed again by their next digits, until it holds one document. Rows
+that share id and text go on by the digits of a row number, so they are taken one
+by one; as they are alike, the result does not depend on which of them are.
 
 Defined cases: a null text has size 0; null sources form one source, last in
-order; a null doc_id hashes like the empty text; rows that repeat a doc_id share
-its hash, so they are taken together; of two thresholds around the budget the
-nearer one is used, the lower on a tie; a source without words takes nothing; an
-empty table gives no rows. Further columns of the input are ignored.
+order; a null doc_id hashes like the empty text; rows that repeat are rows of their
+own; of two thresholds around the budget the nearer one is used, the lower on a tie;
+a source without words takes nothing; an empty table gives no rows. Further columns
+of the input are ignored.
 """
 
 from __future__ import annotations
@@ -26,8 +28,8 @@ from quotaforge.llm.common import cut, table
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 MOST_COPIES = 3
-#: Hexadecimal digits of the hash, and how many of them each histogram resolves.
-DIGITS, STEP = 15, 3
+#: Hexadecimal digits of the hash and of the row number, and how many of them each histogram resolves.
+DIGITS, NUMBER, STEP = 15, 16, 3
 #: Sources (rows of a few dozen bytes) up to which the per-source table is broadcast; beyond it the joins shuffle.
 BROADCAST_SOURCES = 10_000
 
@@ -77,8 +79,9 @@ def _place(level: int) -> Column:
 
 def mix(docs: DataFrame, weights=WEIGHTS, most: float = MOST_COPIES, share: float = 1.0) -> DataFrame:
     """One row per row of `docs`: doc_id, size, source_size, target, taken and `copies` (taken = copies * size)."""
-    hashed = F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, DIGITS)
-    slim = cut(docs.select("doc_id", "source", words(F.col("text")).alias("size"), hashed.alias("_hash")))
+    about = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("|"), F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    number = F.lower(F.lpad(F.hex(F.monotonically_increasing_id()), NUMBER, "0"))
+    slim = cut(docs.select("doc_id", "source", words(F.col("text")).alias("size"), F.concat(F.substring(F.md5(about), 1, DIGITS), number).alias("_hash")))
     sizes = slim.groupBy("source").agg(F.sum("size").alias("source_size"))
     # whole copies for all, and what is left of the target for the threshold
     plan = (
@@ -91,11 +94,11 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: float = MOST_COPIES, share: floa
     small = plan.count() <= BROADCAST_SOURCES
     held = F.broadcast if small else lambda frame: frame
     inside = slim
-    for level in range(DIGITS // STEP):
-        last = level == DIGITS // STEP - 1
+    level = 0
+    while True:
         key = plan.select(F.col("source").alias("_s"), F.col("_prefix").alias("_p"), F.col("_left").alias("_l"))
         inside = inside.join(held(key), F.col("source").eqNullSafe(F.col("_s")) & F.startswith(F.col("_hash"), F.col("_p")), "inner")
-        sums = inside.groupBy("source", _place(level).alias("_bucket")).agg(F.sum("size").alias("_sum"), F.first("_l").alias("_l"))
+        sums = inside.groupBy("source", _place(level).alias("_bucket")).agg(F.sum("size").alias("_sum"), F.count(F.lit(1)).alias("_n"), F.first("_l").alias("_l"))
         inside = inside.drop("_s", "_p", "_l")
         run = F.sum("_sum").over(Window.partitionBy("source").orderBy("_bucket"))
         # the bucket in which the budget ends: the first that reaches it
@@ -103,25 +106,28 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: float = MOST_COPIES, share: floa
             sums.withColumn("_run", run)
             .filter(F.col("_run") >= F.col("_l"))
             .groupBy("source")
-            .agg(F.min(F.struct("_bucket", "_sum", "_run")).alias("_end"))
+            .agg(F.min(F.struct("_bucket", "_sum", "_run", "_n")).alias("_end"))
         )
         renamed = ends.select(F.col("source").alias("_s"), "_end")
         before = F.col("_end._run") - F.col("_end._sum")
-        left = F.when(F.col("_end").isNotNull(), F.col("_left") - before).otherwise(F.col("_left"))
-        plan = plan.join(renamed, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
         found = F.col("_end").isNotNull()
-        if last:
-            # either side of the boundary's documents; the nearer sum wins, the lower on a tie
-            over = F.col("_end._run") - F.col("_left")
-            plan = plan.withColumn("_take_end", F.coalesce(over < left, F.lit(False)))
+        left = F.when(found, F.col("_left") - before).otherwise(F.col("_left"))
+        # once the bucket is one document, either side of it: the nearer sum wins, the lower on a tie
+        over = F.col("_end._run") - F.col("_left")
         plan = (
-            plan.withColumn("_left", left)
+            plan.drop("_take_end", "_n").join(held(renamed), F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
+            .withColumn("_take_end", F.coalesce(over < left, F.lit(False)))
+            .withColumn("_n", F.coalesce("_end._n", F.lit(0)))
+            .withColumn("_left", left)
             .withColumn("_prefix", F.when(found, F.concat("_prefix", F.col("_end._bucket"))).otherwise(F.concat("_prefix", F.lit("z"))))
             .drop("_end")
-        )
+        )
         plan = cut(plan)
+        level += 1
+        if level * STEP >= DIGITS + NUMBER or (plan.agg(F.max("_n")).first()[0] or 0) <= 1:
+            break
     rule = plan.select(F.col("source").alias("_s"), "source_size", "target", "_whole", "_prefix", "_take_end")
-    below = (F.col("_hash") < F.col("_prefix")) | ((F.col("_hash") == F.col("_prefix")) & F.col("_take_end"))
+    below = (F.startswith(F.col("_hash"), F.col("_prefix")) & F.col("_take_end")) | (F.col("_hash") < F.col("_prefix"))
     copies = (F.col("_whole") + F.when(below & (F.col("_whole") < most), 1).otherwise(0)).cast("long")
     return (
         slim.join(held(rule), F.col("source").eqNullSafe(F.col("_s")))
@@ -139,7 +145,7 @@ def mixing_sql(documents: str = "documents") -> str:
 WITH d AS (
   SELECT doc_id, source,
          coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
-         substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15) AS h
+         substr(md5(coalesce(doc_id::VARCHAR, '') || '|' || md5(coalesce(text, ''))), 1, 15) AS h, row_number() OVER () AS k
   FROM {documents}
 ), s AS (
   SELECT source, sum(size)::BIGINT AS source_size,
@@ -151,18 +157,17 @@ WITH d AS (
   SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY ratio, source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
             / (sum(w) OVER () - coalesce(sum(w) OVER (ORDER BY ratio, source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS level
   FROM r
-), x AS (SELECT arg_min(level, ratio) AS level FROM l WHERE level < ratio),
+), x AS (SELECT level FROM l WHERE level < ratio ORDER BY ratio, source ASC NULLS LAST LIMIT 1),
 t AS (
-  SELECT l.source, l.source_size, coalesce(least(l.cap, x.level * l.w), l.cap) AS target FROM l CROSS JOIN x
+  SELECT l.source, l.source_size, coalesce(least(l.cap, x.level * l.w), l.cap) AS target FROM l LEFT JOIN x ON true
 ), g AS (
   SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole FROM t
 ), c AS (
   SELECT d.*, g.source_size, g.target, g.whole, g.target - g.whole * g.source_size AS budget,
-         sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run,
-         sum(d.size) OVER (PARTITION BY d.source, d.h) AS same
+         sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h, d.k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run
   FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source
 )
 SELECT doc_id, size, source_size, round(target, 6) AS target, copies * size AS taken, copies
-FROM (SELECT *, (whole + CASE WHEN whole < 3 AND (run < budget OR (run - same < budget AND run - budget < budget - (run - same)))
+FROM (SELECT *, (whole + CASE WHEN whole < 3 AND (run < budget OR (run - size < budget AND run - budget < budget - (run - size)))
                          THEN 1 ELSE 0 END)::BIGINT AS copies FROM c)
 """
