@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import random
 import re
+from bisect import bisect_left
 from functools import lru_cache
 
 import numpy as np
@@ -32,6 +33,9 @@ KINDS = ("email", "ip", "card", "phone")
 #: Fixed by the query's contract.
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+#: The same matches in linear time: what follows the @ of an address, and what stands before it; numbers from their first digit only.
+DOMAIN, LOCAL = re.compile(r"[A-Za-z0-9-]++(\.[A-Za-z0-9-]+)+"), "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
+WHOLE_IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: Candidates: each format and looser ones.
@@ -64,13 +68,31 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def emails(text: str):
+    """(start, end) of the matches of `EMAIL`, leftmost and non-overlapping, in linear time.
+
+    A match holds all of the run of characters before its @ (less what an earlier match took), so each @ is tried once.
+    """
+    done, at = 0, text.find("@")
+    while at >= 0:
+        low, start = at, at
+        while start == low and low > done:
+            low = max(done, low - 64)
+            start = low + len(text[low:start].rstrip(LOCAL))
+        if start < at and (m := DOMAIN.match(text, at + 1)):
+            yield start, m.end()
+            done = m.end()
+        else:
+            done = at + 1
+        at = text.find("@", done)
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(kind, start, end) of the fixed formats, by kind and start."""
-    out = []
-    if "@" in text:
-        out += [(0, m.start(), m.end()) for m in EMAIL.finditer(text)]
+    out = [(0, start, end) for start, end in emails(text)]
     if DIGIT.search(text):
-        out += [(1, m.start(), m.end()) for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split("."))]
+        small = lambda p: len(p := p.lstrip("0")) <= 3 and int(p or 0) <= 255
+        out += [(1, m.start(), m.end()) for m in WHOLE_IP.finditer(text) if all(map(small, m.group().split(".")))]
         for m in CARD.finditer(text):
             digits = m.group().replace(" ", "").replace("-", "")
             if 13 <= len(digits) <= 19 and luhn(digits):
@@ -80,6 +102,29 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
+class Cover:
+    """Disjoint spans in order; spans that overlap are merged."""
+
+    def __init__(self, spans=()):
+        self.starts, self.ends = [], []
+        for start, end in sorted(spans):
+            if self.ends and start < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], end)
+            else:
+                self.starts.append(start)
+                self.ends.append(end)
+
+    def meets(self, start: int, end: int) -> bool:
+        k = bisect_left(self.starts, end)
+        return bool(k) and self.ends[k - 1] > start
+
+    def add(self, start: int, end: int) -> None:
+        """Adds a span that meets none."""
+        k = bisect_left(self.starts, start)
+        self.starts.insert(k, start)
+        self.ends.insert(k, end)
+
+
 def candidates(text: str) -> list[tuple[int, int, int]]:
     """(kind, start, end) of all proposals; they may overlap."""
     out = []
@@ -243,7 +288,8 @@ def find(texts: list[str | None], model: Model) -> list[list[tuple[int, int, int
     """Per text all (kind, start, end): base spans and accepted candidates, by kind and start."""
     base = [base_spans(t) if t else [] for t in texts]
     made = [(n, c) for n, t in enumerate(texts) if t for c in candidates(t)]
-    open_ = [(n, c) for n, c in made if not any(s < c[2] and c[1] < e for _, s, e in base[n])]
+    covers = [Cover((s, e) for _, s, e in b) for b in base]
+    open_ = [(n, c) for n, c in made if not covers[n].meets(c[1], c[2])]
     out = [list(b) for b in base]
     for at in range(0, len(open_), 4096):
         part = open_[at : at + 4096]
@@ -254,10 +300,10 @@ def find(texts: list[str | None], model: Model) -> list[list[tuple[int, int, int
         if p >= model.thresholds[kind]:
             chosen.setdefault(n, []).append((-p, start, -end, kind))
     for n, every in chosen.items():
-        taken: list[tuple[int, int]] = []
+        taken = Cover()
         for _, start, end, kind in sorted(every):
-            if not any(s < -end and start < e for s, e in taken):
-                taken.append((start, -end))
+            if not taken.meets(start, -end):
+                taken.add(start, -end)
                 out[n].append((kind, start, -end))
         out[n].sort()
     return out
