@@ -34,6 +34,8 @@ TRACK, NUMBER, UID, TYPE, LACES, CODEC, AUDIO, RATE, CHANNELS, DEPTH = 0xAE, 0xD
 TIME, SIMPLE, GROUP, BLOCK = 0xE7, 0xA3, 0xA0, 0xA1
 CUE, CUE_TIME, CUE_PLACES, CUE_TRACK, CUE_CLUSTER = 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
 PARENTS = {SEGMENT, INFO, TRACKS, TRACK, AUDIO, CLUSTER, GROUP, CUES, CUE, CUE_PLACES}
+#: Elements whose values are read, whatever their size; others (frames, titles, attachments) are only passed over.
+READ = {DOC_TYPE, SCALE, NUMBER, CODEC, RATE, DEPTH, TIME, CUE_TIME, CUE_CLUSTER}
 NONE, XIPH, FIXED, VARIED = 0, 1, 2, 3
 
 UNIT, FRAME, LACE, BLOCKS = 64, 512, 8, 32
@@ -177,7 +179,7 @@ def demux(buf: bytes | None, frame_ms: dict[int, int] | None = None) -> Media:
                 stop = end if unknown else body + size
                 if stop > end:
                     raise ValueError("element beyond its parent")
-                value = buf[body:stop] if size <= 64 and kind not in PARENTS else b""
+                value = buf[body:stop] if kind in READ else b""
                 if kind == CLUSTER:
                     cluster_at, cluster_time, out.clusters = at, 0, out.clusters + 1
                 elif kind == SEGMENT:
@@ -204,7 +206,7 @@ def demux(buf: bytes | None, frame_ms: dict[int, int] | None = None) -> Media:
                 elif kind == CODEC:
                     track["codec"] = value.decode("ascii", "replace")
                 elif kind == RATE:
-                    track["rate"] = struct.unpack(">f" if size == 4 else ">d", value)[0]
+                    track["rate"] = struct.unpack(">f" if size == 4 else ">d", value)[0] if size else 0.0
                 elif kind == DEPTH:
                     track["depth"] = int.from_bytes(value, "big")
                 elif kind == TIME:
