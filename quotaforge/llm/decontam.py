@@ -5,10 +5,11 @@ shorter item: all of its words) becomes one pattern of the automaton. A document
 is normalised the same way into blank-separated words, scanned once, and every
 match is mapped back through the word positions to byte offsets of the original.
 
-The automaton is built in the workers from broadcast patterns. Items are dealt
-into shards of at most `shard_bytes` of text, one automaton at a time: a benchmark
-within the bound is one shard and one scan, a larger one is scanned shard by shard,
-each written to the shared folder before the next, with the same result.
+The automaton is built in the workers from broadcast patterns. A benchmark is dealt
+into shards of at most `SHARD_BYTES` of text. Up to `ROUND_SHARDS` of them are broadcast
+at a time: a task holds a part of its texts and takes one automaton after the other over
+it. That is one scan for most benchmarks; for a larger one the texts get row numbers and
+are written once, each round adds a table of hits alone, and its broadcasts are removed.
 
 Defined cases: null or wordless texts have no words and are never contaminated;
 null or wordless items have no windows; windows that several items share count
@@ -29,8 +30,8 @@ from pyspark.sql import functions as F
 from quotaforge.llm.common import cut, table
 
 WINDOW = 13
-#: Bytes of benchmark text in one automaton.
-SHARD_BYTES = 4_000_000
+#: Bytes of benchmark text in one automaton, shards that are broadcast at a time, and bytes of texts that a task holds.
+SHARD_BYTES, ROUND_SHARDS, HELD_BYTES = 4_000_000, 8, 64_000_000
 #: Lower case and blanks: what is no word byte (words: [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ after A-Z were lowered) is a blank.
 FOLD = bytes(
     b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256)
@@ -97,89 +98,140 @@ def byte_spans(text: str, hit: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(where[a][0], where[b - 1][1]) for a, b in hit]
 
 
-@lru_cache(maxsize=1)
-def _scanner(key) -> Scanner:
-    return Scanner(key.items)
+def rounds(items: DataFrame, shard_bytes: int = SHARD_BYTES, round_shards: int = ROUND_SHARDS):
+    """Broadcasts of lists of shards, each a list of (item id, text): the items, dealt by hash, of one round after the other."""
+    slim = items.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).filter("item_id is not null and text is not null")
+    total = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = -(-total // shard_bytes) or 1
+    slim = slim.withColumn("shard", F.pmod(F.xxhash64("item_id", "text"), F.lit(n)))
+    for low in range(0, n, round_shards):
+        held: list[list[tuple[str, str]]] = [[] for _ in range(min(round_shards, n - low))]
+        for r in slim.filter((F.col("shard") >= low) & (F.col("shard") < low + round_shards)).toLocalIterator():
+            held[r["shard"] - low].append((r["item_id"], r["text"]))
+        yield items.sparkSession.sparkContext.broadcast(held), n <= round_shards
 
 
-class _Key:
-    """Cache key of a broadcast shard: one automaton is kept in a worker."""
+@lru_cache(maxsize=1)
+def _only_scanner(key: int, items: tuple) -> Scanner:
+    return Scanner(items[0])
+
 
-    def __init__(self, shard):
-        self.shard, self.items = shard.id, shard.value
+class _Once(tuple):
+    """A round's shards as a cache argument: equal if they are the same broadcast."""
 
     def __hash__(self):
-        return hash(self.shard)
+        return 0
 
     def __eq__(self, other):
-        return self.shard == other.shard
-
+        return True
+
+
+def scanned(given, number: int, texts: list[str | None]) -> list[tuple[int, list[tuple[int, int]], set[str]]]:
+    """Per text the number of words, the hit runs and the items, over all shards of the broadcast with that number."""
+    shards = given.value
+    if len(shards) == 1:
+        return list(map(_only_scanner(number, _Once(shards)), texts))
+    found = [(0, [], set())] * len(texts)
+    for items in shards:
+        find = Scanner(items)
+        for k, text in enumerate(texts):
+            n, hit, ids = find(text)
+            found[k] = (n, joined(n, found[k][1], hit), found[k][2] | ids)
+    return found
+
+
+def joined(n: int, a: list[tuple[int, int]], b: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Union of two lists of runs among `n` words."""
+    if not a or not b:
+        return a or b
+    mask = np.zeros(n, bool)
+    for x, y in [*a, *b]:
+        mask[x:y] = True
+    return runs(mask)
+
+
+def parts(batches, text: str = "text"):
+    """(batches, their texts), as many together as hold about `HELD_BYTES` of text."""
+    held, texts, size = [], [], 0
+    for batch in batches:
+        held.append(batch)
+        texts += batch[text].to_pylist()
+        size += batch[text].nbytes
+        if size >= HELD_BYTES:
+            yield held, texts
+            held, texts, size = [], [], 0
+    if held:
+        yield held, texts
+
+
+SPAN = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+HITS = "array<struct<start:int,end:int>>"
 
-class _Shard:
-    def __init__(self, broadcast, number: int):
-        self.broadcast, self.id = broadcast, number
 
-    @property
-    def value(self):
-        return self.broadcast.value
+def _spans(every) -> pa.Array:
+    return pa.array([[{"start": a, "end": b} for a, b in runs_] for runs_ in every], SPAN)
 
 
-def shards(items: DataFrame, shard_bytes: int = SHARD_BYTES) -> list[_Shard]:
-    """The items, dealt by hash into broadcast shards of about `shard_bytes` of text each; each is fetched by itself."""
-    slim = items.select(F.col("item_id").cast("string").alias("item_id"), "text").filter("item_id is not null and text is not null")
-    total = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = -(-total // shard_bytes) or 1
-    out = []
-    for k in range(n):
-        part = slim if n == 1 else slim.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
-        pairs = [(r[0], r[1]) for r in part.collect()]
-        broadcast = items.sparkSession.sparkContext.broadcast(pairs)
-        out.append(_Shard(broadcast, broadcast._jbroadcast.id() if broadcast._jbroadcast is not None else k))
-    return out
+def _hits_by_round(rows: DataFrame, items: DataFrame, shard_bytes: int, round_shards: int, first) -> DataFrame:
+    """(row, hits, items): what all rounds find in `rows` (row, text), for rows with hits."""
+    tables, given = [], first
+    more = rounds(items, shard_bytes, round_shards)
+    next(more)[0].destroy()
+    while given is not None:
+        number = int(given._jbroadcast.id())
 
+        def run(batches, given=given, number=number):
+            for held, texts in parts(batches):
+                found = scanned(given, number, texts)
+                at = [k for k, x in enumerate(found) if x[1]]
+                row = pa.concat_arrays([b["row"] for b in held]).take(pa.array(at, pa.int64()))
+                yield pa.RecordBatch.from_arrays([row, _spans(found[k][1] for k in at), pa.array([sorted(found[k][2]) for k in at], pa.list_(pa.string()))], ["row", "hits", "items"])
 
-HITS = "array<struct<start:int,end:int>>"
+        tables.append(cut(rows.select("row", "text").mapInArrow(run, f"row long, hits {HITS}, items array<string>")))
+        given.destroy()
+        given = next(more, (None, None))[0]
+    every = tables[0]
+    for t in tables[1:]:
+        every = every.union(t)
+    # a row has at most one entry a round
+    return every.groupBy("row").agg(F.flatten(F.collect_list("hits")).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
 
 
-def scan(docs: DataFrame, items: DataFrame, shard_bytes: int = SHARD_BYTES, spans: bool = True) -> DataFrame:
+def scan(docs: DataFrame, items: DataFrame, shard_bytes: int = SHARD_BYTES, spans: bool = True, round_shards: int = ROUND_SHARDS) -> DataFrame:
     """doc_id, n_words, `hits` (word runs), `items` (ids) and, by choice, `spans` (byte spans in the original text)."""
+    given, alone = next(rounds(items, shard_bytes, round_shards))
+    number = int(given._jbroadcast.id())
+    schema = f"doc_id long, n_words long, hits {HITS}, items array<string>, spans {HITS}"
+    names = ["doc_id", "n_words", "hits", "items", "spans"]
+    frame = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+
+    def answer(ids, texts, found):
+        where = [byte_spans(t, x[1]) if spans else [] for t, x in zip(texts, found, strict=True)]
+        return pa.RecordBatch.from_arrays(
+            [ids, pa.array([x[0] for x in found], pa.int64()), _spans(x[1] for x in found), pa.array([sorted(x[2]) for x in found], pa.list_(pa.string())), _spans(where)], names
+        )
+
+    if alone:
 
-    def scanned(shard, keep):
         def run(batches):
-            for batch in batches:
-                find = _scanner(_Key(shard))
-                n, hits, ids, where = [], [], [], []
-                old = zip(batch["hits"].to_pylist(), batch["items"].to_pylist(), strict=True) if keep else None
-                for text in batch["text"]:
-                    text = text.as_py()
-                    words, hit, which = find(text)
-                    if old is not None:
-                        was, had = next(old)
-                        if was:
-                            mask = np.zeros(words, bool)
-                            for a, b in hit + [(x["start"], x["end"]) for x in was]:
-                                mask[a:b] = True
-                            hit, which = runs(mask), which | set(had)
-                    n.append(words)
-                    hits.append([{"start": a, "end": b} for a, b in hit])
-                    ids.append(sorted(which))
-                    where.append([{"start": a, "end": b} for a, b in (byte_spans(text, hit) if spans else [])])
-                span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-                yield pa.RecordBatch.from_arrays(
-                    [batch["doc_id"], batch["text"], pa.array(n, pa.int64()), pa.array(hits, span), pa.array(ids, pa.list_(pa.string())), pa.array(where, span)],
-                    ["doc_id", "text", "n_words", "hits", "items", "spans"],
-                )
-
-        return run
+            for held, texts in parts(batches):
+                yield answer(pa.concat_arrays([b["doc_id"] for b in held]), texts, scanned(given, number, texts))
 
-    frame = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    schema = f"doc_id long, text string, n_words long, hits {HITS}, items array<string>, spans {HITS}"
-    every = shards(items, shard_bytes)
-    for k, shard in enumerate(every):
-        frame = frame.mapInArrow(scanned(shard, k > 0), schema)
-        if k + 1 < len(every):
-            frame = cut(frame)
-    return frame.drop("text")
+        return frame.mapInArrow(run, schema)
+
+    rows = cut(frame.withColumn("row", F.monotonically_increasing_id()))
+    found = _hits_by_round(rows, items, shard_bytes, round_shards, given)
+
+    def merged(batches):
+        for batch in batches:
+            texts, out = batch["text"].to_pylist(), []
+            for text, hits, ids in zip(texts, batch["hits"].to_pylist(), batch["items"].to_pylist(), strict=True):
+                n = len(fold_words(text))
+                every = [(h["start"], h["end"]) for h in hits or []]
+                out.append((n, joined(n, every[:1], every), set(ids or [])))
+            yield answer(batch["doc_id"], texts, out)
+
+    return rows.join(found, "row", "left").select("doc_id", "text", "hits", "items").mapInArrow(merged, schema)
 
 
 def judged(found: DataFrame) -> DataFrame:
@@ -187,25 +239,37 @@ def judged(found: DataFrame) -> DataFrame:
     return found.withColumn("n_hit", hit).withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * 20 >= F.col("n_words")))
 
 
-def clean(docs: DataFrame, items: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def clean(docs: DataFrame, items: DataFrame, shard_bytes: int = SHARD_BYTES, round_shards: int = ROUND_SHARDS) -> DataFrame:
     """The rows of `docs` that are not contaminated, all columns as they were."""
-    every = shards(items, shard_bytes)
+    given, alone = next(rounds(items, shard_bytes, round_shards))
+    number = int(given._jbroadcast.id())
+    good = lambda n, hit: not hit or 20 * sum(b - a for a, b in hit) < n
+    if alone:
+
+        def kept(batches):
+            for held, texts in parts(batches):
+                keep = [good(n, hit) for n, hit, _ in scanned(given, number, texts)]
+                for batch in held:
+                    yield batch.filter(pa.array(keep[: batch.num_rows], pa.bool_()))
+                    keep = keep[batch.num_rows :]
+
+        return docs.mapInArrow(kept, docs.schema)
+
+    rows = cut(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")))
+    texts = rows.select("row", F.col("doc.text").cast("string").alias("text"))
+    found = _hits_by_round(texts, items, shard_bytes, round_shards, given)
 
-    def kept(batches):
+    def bad(batches):
         for batch in batches:
-            texts = [t.as_py() for t in batch["text"]]
-            masks: list = [None] * len(texts)
-            for shard in every:
-                find = _scanner(_Key(shard))
-                for k, text in enumerate(texts):
-                    words, hit, _ = find(text)
-                    if hit:
-                        masks[k] = np.zeros(words, bool) if masks[k] is None else masks[k]
-                        for a, b in hit:
-                            masks[k][a:b] = True
-            yield batch.filter(pa.array([m is None or 20 * int(m.sum()) < len(m) for m in masks], pa.bool_()))
-
-    return docs.mapInArrow(kept, docs.schema)
+            at = []
+            for k, (text, hits) in enumerate(zip(batch["text"].to_pylist(), batch["hits"].to_pylist(), strict=True)):
+                n, every = len(fold_words(text)), [(h["start"], h["end"]) for h in hits]
+                if not good(n, joined(n, every[:1], every)):
+                    at.append(k)
+            yield pa.RecordBatch.from_arrays([batch["row"].take(pa.array(at, pa.int64()))], ["row"])
+
+    drop = texts.join(found, "row").select("row", "text", "hits").mapInArrow(bad, "row long")
+    return rows.join(drop, "row", "left_anti").select(*[F.col(f"doc.`{c}`").alias(c) for c in docs.columns])
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
