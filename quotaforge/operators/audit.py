@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quotaforge.operators.order import cut, rank_in_groups
+
 
 def every():
     """The window of all rows; made when used, as it needs a session."""
@@ -16,6 +18,7 @@ def group_audit(rows: DataFrame, fields: list[str], selected: str = "selected")
     """Per field and group: counts, shares, propensity, predicted and actual share of the selection, and their error.
 
     All fields are audited in one aggregation; only one row per group is looked at afterwards.
+    A selection without rows has no shares: it is an error.
     """
     pairs = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("group")) for f in fields])
     each = rows.select(F.inline(pairs), F.col(selected).cast("boolean").alias("_s"))
@@ -26,7 +29,7 @@ def group_audit(rows: DataFrame, fields: list[str], selected: str = "selected")
         "field", "group", "pool_count", "selected_count",
         (F.col("pool_count") / pool).alias("pool_share"),
         (F.col("selected_count") / F.col("pool_count")).alias("propensity"),
-        F.coalesce(F.try_divide(F.col("selected_count"), taken), F.lit(0.0)).alias("selected_share"),
+        F.when(taken == 0, F.raise_error(F.lit("the selection has no rows")).cast("double")).otherwise(F.col("selected_count") / taken).alias("selected_share"),
         F.coalesce(F.try_divide(taken, pool), F.lit(0.0)).alias("_rate"),
     )
     predicted = F.coalesce(F.try_divide(F.col("pool_share") * F.col("propensity"), F.col("_rate")), F.lit(0.0))
@@ -59,16 +62,29 @@ def class_shift(rows: DataFrame, label: str, selected: str = "selected") -> Data
 
 
 def numeric_shift(rows: DataFrame, fields: list[str], selected: str = "selected") -> DataFrame:
-    """Per field: counts, means and medians of pool and selection, nulls skipped."""
+    """Per field: counts, means and medians of pool and selection, nulls skipped.
+
+    Medians come from ranks of range-sorted values, so no task holds a whole field.
+    """
     pairs = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("double").alias("value")) for f in fields])
     each = rows.select(F.inline(pairs), F.col(selected).cast("boolean").alias("_s")).filter("value is not null")
     own = F.when(F.col("_s"), F.col("value"))
-    return each.groupBy("field").agg(
+    each = cut(each)
+    means = each.groupBy("field").agg(
         F.count("value").alias("pool_count"), F.count(own).alias("selected_count"),
         F.avg("value").alias("pool_mean"), F.avg(own).alias("selected_mean"),
-        F.median("value").alias("pool_median"), F.median(own).alias("selected_median"),
         (F.avg(own) - F.avg("value")).alias("mean_delta"),
     )
+    middle = _medians(each, means, "pool").join(_medians(each.filter("_s"), means, "selected"), "field", "left")
+    return means.join(middle, "field").select("field", "pool_count", "selected_count", "pool_mean", "selected_mean", "pool_median", "selected_median", "mean_delta")
+
+
+def _medians(each: DataFrame, counts: DataFrame, name: str) -> DataFrame:
+    """(field, `name`_median): the mean of the one or two values in the middle of each field."""
+    n = counts.select(F.col("field").alias("_f"), F.col(f"{name}_count").alias("_n"))  # a row a field
+    ranked = rank_in_groups(each.select("field", "value"), "field", [F.col("value")], "_r").join(F.broadcast(n), F.col("field") == F.col("_f"))
+    middle = ranked.filter((F.col("_r") >= F.floor((F.col("_n") + 1) / 2)) & (F.col("_r") <= F.ceil((F.col("_n") + 1) / 2)))
+    return middle.groupBy("field").agg(F.avg("value").alias(f"{name}_median"))
 
 
 def token_shift(rows: DataFrame, text: str, selected: str = "selected", top: int = 20) -> DataFrame:

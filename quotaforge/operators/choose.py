@@ -12,6 +12,10 @@ from quotaforge.operators.order import first_of_groups, global_rank
 SORTED, BANDS = 100_000, 32
 
 
+class Infeasible(ValueError):
+    """No selection of the wanted size meets the constraints; wrong arguments raise a plain ValueError."""
+
+
 def top_budget(rows: DataFrame, score: str, id_: str, budget: int) -> DataFrame:
     """The `budget` rows of largest score, ties by the id's string.
 
@@ -44,6 +48,19 @@ def top_budget(rows: DataFrame, score: str, id_: str, budget: int) -> DataFrame:
     return last if sure is None else sure.unionByName(last)
 
 
+def marked_top(rows: DataFrame, score: str, id_: str, budget: int) -> DataFrame:
+    """All rows with the boolean `selected` for the `budget` rows of largest score, ties by the id's string; ids must be unique.
+
+    The last selected row, one (score, id), tells the others: a filter, not a join over the pool.
+    """
+    place = F.col(id_).cast("string")
+    last = top_budget(rows.select(score, id_), score, id_, budget).agg(F.max(F.struct((-F.col(score)).alias("s"), place.alias("i"))).alias("last")).first()["last"]
+    if last is None:
+        return rows.withColumn("selected", F.lit(False))
+    edge = F.lit(-last["s"]).cast(rows.schema[score].dataType)
+    return rows.withColumn("selected", F.coalesce((F.col(score) > edge) | ((F.col(score) == edge) & (place <= F.lit(last["i"]))), F.lit(False)))
+
+
 def marked(rows: DataFrame, chosen: DataFrame, id_: str) -> DataFrame:
     """All rows with the boolean `selected`."""
     keys = chosen.select(F.col(id_).alias("_chosen"))
@@ -112,9 +129,9 @@ def constrained(rows: DataFrame, utility: str, id_: str, group: str, budget: int
     )
     limits = bounds.agg(F.sum("_low"), F.sum("_high")).first()
     if limits[0] > budget or limits[1] < budget:
-        raise ValueError(f"no selection of {budget} rows keeps all groups within {slack}")
+        raise Infeasible(f"no selection of {budget} rows keeps all groups within {slack}")
     best = first_of_groups(rows, group, [F.desc(utility), F.col(id_).cast("string")], budget, id_)
-    ranked = best.join(F.broadcast(bounds), F.col(group).eqNullSafe(F.col("_g"))).filter("_place <= _high")
+    ranked = best.join(bounds, F.col(group).eqNullSafe(F.col("_g"))).filter("_place <= _high")
     must = ranked.filter("_place <= _low")
     rest = ranked.filter("_place > _low").orderBy(F.desc(utility), F.col(id_).cast("string")).limit(budget - int(limits[0]))
     return must.unionByName(rest).select(*rows.columns)
@@ -131,7 +148,7 @@ def frontier(rows: DataFrame, utility: str, id_: str, group: str, budget: int, s
             good = retained >= 1 - loss
             trace.append((float(slack), float(retained), "chosen" if good and not done else "feasible"))
             done |= good
-        except ValueError:
+        except Infeasible:
             trace.append((float(slack), None, "infeasible"))
     return rows.sparkSession.createDataFrame(trace, "slack double, retained double, status string")
 

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quotaforge.functions.expr import coin
 from quotaforge.operators.audit import slope
+from quotaforge.operators.order import global_rank
 
 
 def _ratio(a, b):
@@ -90,6 +94,15 @@ def paired(rows: DataFrame, method: str, seed: str, metric: str, baseline: str,
     return rows.groupBy(F.col(seed).cast("string").alias("seed")).agg(pick(baseline).alias("base"), pick(treatment).alias("treat")).filter("base is not null and treat is not null")
 
 
+def poisson(u):
+    """Poisson(1) counts, up to 6, from uniform numbers."""
+    edges, term = [math.exp(-1)], math.exp(-1)
+    for k in range(1, 6):
+        term /= k
+        edges.append(edges[-1] + term)
+    return sum(F.when(u >= e, 1).otherwise(0) for e in edges)
+
+
 def bootstrap_mean(rows: DataFrame, value: str, id_: str, by: list[str], resamples: int, seed: int, confidence: float = 0.95) -> DataFrame:
     """Percentile bootstrap of the mean: each row is drawn a hash-seeded Poisson(1) number of times in each resample.
 
@@ -97,9 +110,7 @@ def bootstrap_mean(rows: DataFrame, value: str, id_: str, by: list[str], resampl
     """
     rep = F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("_rep")
     drawn = rows.select(*by, F.col(value).cast("double").alias("_v"), F.col(id_).alias("_i"), rep)
-    u = coin(seed, F.col("_rep"), F.col("_i"))
-    edges = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183]
-    weight = sum(F.when(u >= e, 1).otherwise(0) for e in edges)
+    weight = poisson(coin(seed, F.col("_rep"), F.col("_i")))
     means = drawn.groupBy(*by, "_rep").agg(F.try_divide(F.sum(F.col("_v") * weight), F.sum(weight)).alias("_m"))
     tail = (1 - confidence) / 2
     found = means.groupBy(*by).agg(F.percentile("_m", tail).alias("lower"), F.percentile("_m", 1 - tail).alias("upper"))
@@ -117,34 +128,103 @@ def sign_flip_test(pairs: DataFrame, permutations: int, seed: int) -> DataFrame:
     return means.agg(F.first("observed").alias("mean_delta"), ((F.count_if(hit) + 1) / (F.count(F.lit(1)) + 1)).alias("p_value"))
 
 
+def paired_delta(pairs: DataFrame, permutations: int, resamples: int, seed: int, confidence: float = 0.95) -> DataFrame:
+    """One row of (seed, base, treat): the mean delta, its bootstrap interval and the p-value of `sign_flip_test`."""
+    spread = bootstrap_mean(pairs.select("seed", (F.col("treat") - F.col("base")).alias("d")), "d", "seed", [], resamples, seed, confidence)
+    return sign_flip_test(pairs, permutations, seed).crossJoin(spread.select("n", "lower", "upper"))  # one row each
+
+
+def capability_regression(rows: DataFrame, baseline: str, policy: str) -> DataFrame:
+    """One row: the mean loss of the policy against the baseline, positive where the policy is worse."""
+    return rows.agg(F.avg(F.col(baseline).cast("double") - F.col(policy).cast("double")).alias("capability_regression"), F.count(F.lit(1)).alias("n"))
+
+
+def preference_metrics(rows: DataFrame, label: str, prediction: str, group: str, win: str, length_bin: str, baseline: str, policy: str) -> DataFrame:
+    """One row: accuracy, that of the worst group, raw and length-controlled win rates, and the capability regression."""
+    groups = group_accuracy(rows, group, label, prediction).agg((F.sum(F.col("accuracy") * F.col("n")) / F.sum("n")).alias("accuracy"), F.first("worst").alias("worst_group_accuracy"), F.sum("n").alias("n"))
+    return groups.crossJoin(length_controlled_win(rows, win, length_bin)).crossJoin(capability_regression(rows, baseline, policy).drop("n"))  # one row each
+
+
 def response_statistics(rows: DataFrame, setting: str, x: str, y: str) -> DataFrame:
-    """Per setting: Spearman correlation (average ranks) and least-squares slope of a response to an intervention."""
-    def rank(c):
-        w = Window.partitionBy(setting)
-        return F.rank().over(w.orderBy(c)) + (F.count(F.lit(1)).over(Window.partitionBy(setting, c)) - 1) / 2
+    """Per setting: points and values of the intervention, ranges, Spearman correlation (average ranks) and least-squares slope.
 
-    ranked = rows.select(setting, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), rank(x).alias("rx"), rank(y).alias("ry"))
+    Ranks are taken in one range-sorted order by (setting, value); inside a setting they
+    differ from its own ranks by a constant, which no correlation sees.
+    """
+    named = rows.select(F.col(setting).alias("setting"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    for c in ("x", "y"):
+        ranked = global_rank(named, [F.col("setting").asc_nulls_first(), F.col(c).asc_nulls_first()], "_at")
+        mean = ranked.groupBy(F.col("setting").alias("_s"), F.col(c).alias("_v")).agg(F.avg("_at").alias(f"r{c}"))
+        named = ranked.drop("_at").join(mean, F.col("setting").eqNullSafe(F.col("_s")) & F.col(c).eqNullSafe(F.col("_v"))).drop("_s", "_v")
     spread = F.stddev_pop("rx") * F.stddev_pop("ry")
-    return ranked.groupBy(F.col(setting).alias("setting")).agg(
-        F.count(F.lit(1)).alias("n"), F.coalesce(F.try_divide(F.covar_pop("rx", "ry"), spread), F.lit(0.0)).alias("spearman"), slope(F.col("x"), F.col("y")).alias("slope")
-    )
+    return named.groupBy("setting").agg(
+        F.count(F.lit(1)).alias("n"), F.coalesce(F.try_divide(F.covar_pop("rx", "ry"), spread), F.lit(0.0)).alias("spearman"), slope(F.col("x"), F.col("y")).alias("slope"),
+        F.count_distinct("x").alias("values"), F.min("x").alias("least_x"), F.max("x").alias("most_x"), F.min("y").alias("least_y"), F.max("y").alias("most_y"),
+    )
 
 
-def random_envelope(rows: DataFrame, id_: str, label: str, budget: int, repetitions: int, seed: int, quantile: float = 0.95) -> DataFrame:
-    """Total variation of seeded random selections of about `budget` rows: mean, deviation and quantile.
+def slope_intervals(rows: DataFrame, setting: str, x: str, y: str, id_: str, resamples: int, seed: int, confidence: float = 0.95) -> DataFrame:
+    """Percentile bootstrap of each setting's slope; as in `bootstrap_mean`, only sums of each resample are shuffled.
+
+    A setting of fewer than two points has the interval (0, 0).
+    """
+    rep = F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("_rep")
+    drawn = rows.select(F.col(setting).alias("setting"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), F.col(id_).alias("_i"), rep)
+    w = poisson(coin(seed, F.col("_rep"), F.col("_i"))).cast("double")
+    add = lambda v: F.sum(w * v)
+    sums = drawn.groupBy("setting", "_rep").agg(F.sum(w).alias("w"), add(F.col("x")).alias("x"), add(F.col("y")).alias("y"), add(F.col("x") * F.col("y")).alias("xy"), add(F.col("x") * F.col("x")).alias("xx"), F.count(F.lit(1)).alias("n"))
+    spread = F.col("w") * F.col("xx") - F.col("x") * F.col("x")
+    one = F.when(spread > 1e-9 * F.col("w") * F.col("xx"), (F.col("w") * F.col("xy") - F.col("x") * F.col("y")) / spread).otherwise(0.0)
+    tail = (1 - confidence) / 2
+    pick = lambda q: F.when(F.max("n") < 2, 0.0).otherwise(F.percentile("_b", q))
+    return sums.withColumn("_b", one).groupBy("setting").agg(pick(tail).alias("lower"), pick(1 - tail).alias("upper"), F.max("n").alias("n"))
+
 
-    A repetition takes the ids whose coin lies below budget / n, so only (repetition, class)
-    counts are shuffled, never the rows.
+def random_trajectories(rows: DataFrame, label: str, budgets: list[int], repetitions: int, seed: int) -> DataFrame:
+    """(repetition, budget, label, pool, own): class counts of nested random selections of exactly each budget.
+
+    The counts of a uniform selection without replacement follow the multivariate
+    hypergeometric law, and a larger budget adds a draw from what is left, so only the pool's
+    class counts (a row a class) reach the driver, never the rows.
     """
-    n = rows.count()
-    rep = F.explode(F.sequence(F.lit(1), F.lit(repetitions))).alias("rep")
-    drawn = rows.select(F.col(id_).alias("_i"), F.col(label).cast("string").alias("label"), rep)
-    taken = coin(seed, F.col("rep"), F.col("_i")) < F.lit(budget / max(n, 1))
-    counts = drawn.groupBy("rep", "label").agg(F.count(F.lit(1)).alias("pool"), F.count_if(taken).alias("own"))
-    whole = Window.partitionBy("rep")
-    share = counts.select("rep", F.abs(F.col("pool") / F.sum("pool").over(whole) - F.coalesce(F.try_divide("own", F.sum("own").over(whole)), F.lit(0.0))).alias("d"))
-    tv = share.groupBy("rep").agg((F.sum("d") / 2).alias("tv"))
-    return tv.agg(F.avg("tv").alias("mean_tv"), F.stddev_pop("tv").alias("std_tv"), F.percentile("tv", quantile).alias("quantile_tv"), F.count("tv").alias("repetitions"))
+    pool = rows.groupBy(F.col(label).cast("string").alias("label")).agg(F.count(F.lit(1)).alias("n")).orderBy("label").collect()
+    size, steps = np.array([r["n"] for r in pool], np.int64), sorted(set(budgets))
+    if not steps or steps[0] < 1 or steps[-1] > size.sum():
+        raise ValueError(f"budgets lie between 1 and the pool's {size.sum()} rows")
+    rng = np.random.default_rng(seed)
+    out = []
+    for rep in range(1, repetitions + 1):
+        own = np.zeros_like(size)
+        for before, budget in zip([0, *steps], steps, strict=False):
+            own = own + rng.multivariate_hypergeometric(size - own, budget - before, method="marginals")
+            out += [(rep, budget, r["label"], int(n), int(k)) for r, n, k in zip(pool, size, own, strict=True)]
+    return rows.sparkSession.createDataFrame(out, "repetition int, budget long, label string, pool long, own long")
+
+
+def _distances(trajectories: DataFrame) -> DataFrame:
+    share = F.abs(F.col("pool") / F.sum("pool").over(Window.partitionBy("repetition", "budget")) - F.col("own") / F.col("budget"))
+    return trajectories.withColumn("d", share).groupBy("repetition", "budget").agg((F.sum("d") / 2).alias("tv"))
+
+
+def envelope(trajectories: DataFrame, quantile: float = 0.95) -> DataFrame:
+    """Per budget: mean, deviation and quantile of the total variation of random selections, and the quantile of the largest z of a trajectory."""
+    tv = _distances(trajectories)
+    law = tv.groupBy("budget").agg(F.avg("tv").alias("mean_tv"), F.stddev_pop("tv").alias("std_tv"), F.percentile("tv", quantile).alias("quantile_tv"), F.count("tv").alias("repetitions"))
+    z = F.coalesce(F.try_divide(F.col("tv") - F.col("mean_tv"), F.col("std_tv")), F.lit(0.0))
+    largest = tv.join(law.select("budget", "mean_tv", "std_tv"), "budget").groupBy("repetition").agg(F.max(z).alias("z")).agg(F.percentile("z", quantile).alias("largest_z"))
+    return law.crossJoin(F.broadcast(largest))  # one row
+
+
+def enrichment_envelope(trajectories: DataFrame, quantile: float = 0.95) -> DataFrame:
+    """Per budget and class: mean and quantile of the enrichment (selected over pool share) of random selections."""
+    pool = F.col("pool") / F.sum("pool").over(Window.partitionBy("repetition", "budget"))
+    each = trajectories.select("budget", "label", (F.col("own") / F.col("budget") / pool).alias("e"))
+    return each.groupBy("budget", "label").agg(F.avg("e").alias("mean_enrichment"), F.percentile("e", quantile).alias("quantile_enrichment"))
+
+
+def random_envelope(rows: DataFrame, id_: str, label: str, budget: int, repetitions: int, seed: int, quantile: float = 0.95) -> DataFrame:
+    """Total variation of random selections of exactly `budget` rows: mean, deviation and quantile. `id_` is not needed for the law."""
+    return envelope(random_trajectories(rows, label, [budget], repetitions, seed), quantile).select("mean_tv", "std_tv", "quantile_tv", "repetitions")
 
 
 def metric_deltas(metrics: DataFrame, by: str, baseline: str) -> DataFrame:

@@ -13,10 +13,13 @@ SALTS = 64
 
 
 def cut(frame: DataFrame) -> DataFrame:
-    """`frame` written to the folder of `spark.checkpoint.dir` (one of our own only where it is unset, as in tests)."""
+    """`frame` written to the folder of `spark.checkpoint.dir`; where it is unset, one of our own on a local master, an error on a cluster."""
     spark = frame.sparkSession
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        where = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quotaforge-")
+        where = spark.conf.get("spark.checkpoint.dir", None)
+        if not where and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        where = where or "file://" + tempfile.mkdtemp(prefix="quotaforge-")
         spark.sparkContext.setCheckpointDir(where)
     return frame.checkpoint()
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quotaforge.functions.expr import entropy, gradient_preference, length_bin, length_gap, reward_margin, word_count
+from quotaforge.operators.audit import group_audit, numeric_shift, shift_summary, token_divergence
 from quotaforge.operators.choose import best_of_groups, top_budget
 from quotaforge.operators.order import cut, global_rank
 
@@ -72,13 +73,13 @@ def pair_scores(
     - `update_size`: distance of the policy's gap from the reference's, over the tokens if `by_length`, and weighted novelty
     - `cheap_gradient`: uncertainty over 1 + that distance, the filter before gradients are taken
 
-    The probability that the first response wins is the column `probability` where given
-    and not null, else the sigmoid of the implicit gap, clamped at 60.
+    The probability that the first response wins is the sigmoid of the implicit gap, clamped
+    at 60, where that is not null, else the column `probability`, if given.
     """
     clamped = F.greatest(F.lit(-60.0), F.least(F.lit(60.0), F.col("implicit_gap")))
     margin = reward_margin(clamped)
     if probability:
-        margin = F.coalesce(1 - F.abs(2 * F.col(probability) - 1), margin)
+        margin = F.coalesce(margin, 1 - F.abs(2 * F.col(probability) - 1))
     spread = F.coalesce(entropy(F.col(clusters)), F.lit(0.0)) if clusters else F.lit(0.0)
     distance = F.abs("implicit_gap")
     size = distance / F.greatest(tokens, F.lit(1)) if by_length else distance
@@ -90,6 +91,33 @@ def pair_scores(
     )
 
 
+def preference_shift(rows: DataFrame, numbers: dict[str, str], prompt: str, direction: str = "preferred_response", selected: str = "selected") -> DataFrame:
+    """Long report (domain, field, statistic, value) of how a selection of pairs shifts.
+
+    `numbers` maps numeric columns to their domain (such as length, attributes or scoring);
+    directions are compared as categories, prompts by their words.
+    """
+    long = lambda frame, names: frame.select("domain", "field", F.inline(F.array(*[F.struct(F.lit(c).alias("statistic"), F.col(c).cast("double").alias("value")) for c in names])))
+    domain = F.create_map(*[F.lit(x) for c, d in numbers.items() for x in (c, d)])
+    shifts = numeric_shift(rows, list(numbers), selected).withColumn("domain", domain[F.col("field")])
+    out = long(shifts, ["pool_count", "selected_count", "pool_mean", "selected_mean", "mean_delta", "pool_median", "selected_median"])
+    kinds = rows.withColumn("_kind", F.coalesce(F.col(direction).cast("string"), F.lit("0")))
+    tv = shift_summary(group_audit(kinds, ["_kind"], selected)).withColumn("domain", F.lit("preference_direction")).withColumn("field", F.lit(direction))
+    words = token_divergence(rows.withColumn("_words", F.coalesce(F.col(prompt), F.lit(""))), "_words", selected).withColumn("domain", F.lit("prompt_distribution")).withColumn("field", F.lit(prompt))
+    return out.unionByName(long(tv, ["tv"])).unionByName(long(words, ["js", "vocabulary"]))
+
+
+def preference_effects(report: DataFrame) -> DataFrame:
+    """(domain, effect) of `preference_shift`: the largest relative length change, the largest other mean change, the divergences."""
+    wide = report.groupBy("domain", "field").pivot("statistic", ["mean_delta", "pool_mean", "tv", "js"]).agg(F.first("value"))
+    moved = F.abs(F.coalesce("mean_delta", F.lit(0.0)))
+    effect = (
+        F.when(F.col("domain") == "length", moved / F.greatest(F.abs(F.coalesce("pool_mean", F.lit(0.0))), F.lit(1.0)))
+        .when(F.col("domain") == "preference_direction", F.abs("tv")).when(F.col("domain") == "prompt_distribution", F.abs("js")).otherwise(moved)
+    )
+    return wide.groupBy("domain").agg(F.max(F.coalesce(effect, F.lit(0.0))).alias("effect"))
+
+
 def covering_candidates(rows: DataFrame, score: str, id_: str, budget: int, multiplier: int, coverage: list[str]) -> DataFrame:
     """`multiplier * budget` rows: first the best row of every value of each coverage column, then the best others."""
     first = None

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quotaforge.functions.expr import coin, dot, seeded
-from quotaforge.operators.choose import marked, top_budget
+from quotaforge.operators.choose import Infeasible, marked, top_budget
 from quotaforge.operators.order import cut, first_of_groups
 
 #: Most groups; pools that are enumerated; core rows a side; swaps; Newton steps for each smoothing.
@@ -47,6 +47,18 @@ def _table(rows: DataFrame, utility: str, id_: str, lower: str, upper: str, grou
     return usable.select(F.col(id_).cast("string").alias("id"), F.col(utility).cast("double").alias("u"), charges.alias("a"))
 
 
+def all_groups(rows: DataFrame, targets: dict[str, float], *memberships: str) -> list[str]:
+    """The groups of `targets` and of the map columns, in order; at most `GROUPS`."""
+    seen = None
+    for m in dict.fromkeys(memberships):
+        own = rows.select(F.explode(F.map_keys(m)).cast("string").alias("g")).distinct().limit(GROUPS + 1)
+        seen = own if seen is None else seen.union(own)
+    groups = sorted({*targets, *(r["g"] for r in seen.distinct().collect())})
+    if not 0 < len(groups) <= GROUPS:
+        raise ValueError(f"between 1 and {GROUPS} groups")
+    return groups
+
+
 def invalid_memberships(rows: DataFrame, membership: str) -> DataFrame:
     """The rows with a membership that is null, not finite or outside [0, 1]."""
     bad = F.exists(F.map_values(F.col(membership)), lambda v: v.isNull() | F.isnan(v) | (v < 0) | (v > 1))
@@ -133,7 +145,7 @@ def multipliers(table: DataFrame, limits: np.ndarray, start: float) -> tuple[np.
             gained = value - (part + limits @ trial)
             point, value, taken, bend = trial, part + limits @ trial, near, curve
             if value < -1e-6 * limits[0]:
-                raise ValueError("no selection keeps all groups within the tolerance")
+                raise Infeasible("no selection keeps all groups within the tolerance")
             if gained <= 1e-9 * max(1.0, abs(value)):
                 break
     return np.round(point, 9), float(value)
@@ -162,15 +174,13 @@ def _swaps(inside: list, outside: list, sums: np.ndarray, limits: np.ndarray, sl
 
 
 def select(rows: DataFrame, utility: str, id_: str, lower: str, upper: str, targets: dict[str, float], budget: int, tolerance: float) -> Selection:
-    """`budget` ids of most utility with all groups of `targets` within `tolerance`; `lower` and `upper` are map columns (the same one where memberships are known).
+    """`budget` ids of most utility with all groups within `tolerance`; `lower` and `upper` are map columns (the same one where memberships are known).
 
-    Rows without a utility are left out; ids must be unique; ties go to the lesser id. Raises
+    A group of the memberships that `targets` does not list has the target 0. Rows without a utility are left out; ids must be unique; ties go to the lesser id. Raises
     where the bounds cannot hold together; a breach that only whole rows cause is reported.
     """
-    groups = sorted(targets)
-    if not 0 < len(groups) <= GROUPS:
-        raise ValueError(f"between 1 and {GROUPS} groups")
-    want = np.array([targets[g] for g in groups])
+    groups = all_groups(rows, targets, lower, upper)
+    want = np.array([targets.get(g, 0.0) for g in groups])
     limits = budget * np.concatenate([want + tolerance, tolerance - want])
     raw = _table(rows, utility, id_, lower, upper, groups)
     has = raw.agg(F.count(F.lit(1)).alias("n"), F.min("u").alias("least"), F.max("u").alias("most")).first()
@@ -179,7 +189,7 @@ def select(rows: DataFrame, utility: str, id_: str, lower: str, upper: str, targ
     if has["n"] <= EXACT:
         ids = _enumerated(raw, has["n"], budget, limits)
         if ids is None:
-            raise ValueError("no selection keeps all groups within the tolerance")
+            raise Infeasible("no selection keeps all groups within the tolerance")
         chosen = raw.filter(F.col("id").isin(ids))
         total = float(chosen.agg(F.sum("u")).first()[0])
         return Selection(chosen.select("id"), total, total, 0.0)
@@ -209,7 +219,7 @@ def frontier(rows: DataFrame, utility: str, id_: str, lower: str, upper: str, ta
     for slack in sorted(slacks):
         try:
             got = select(rows, utility, id_, lower, upper, targets, budget, slack)
-        except ValueError:
+        except Infeasible:
             trace.append((float(slack), None, None, "infeasible"))
             continue
         kept = got.utility / best if best > 0 else 1.0
@@ -246,15 +256,15 @@ def matched_random(rows: DataFrame, id_: str, membership: str, targets: dict[str
     ids. Larger pools maximise seeded uniform utilities under the bounds, which is random
     but not uniform over subsets.
     """
-    groups = sorted(targets)
+    groups = all_groups(rows, targets, membership)
     n = rows.count()
     drawn = rows.withColumn("_u", coin(seed, F.col(id_)))
     if n > EXACT:
         return select(drawn, "_u", id_, membership, membership, targets, budget, tolerance).ids
-    want = np.array([targets[g] for g in groups])
+    want = np.array([targets.get(g, 0.0) for g in groups])
     table = _table(drawn, "_u", id_, membership, membership, groups)
     fits = _fitting(table, n, budget, budget * np.concatenate([want + tolerance, tolerance - want]))
     found = fits.orderBy(seeded(seed, F.array_join("ids", "\n")), "ids").limit(1).first()
     if found is None:
-        raise ValueError("no selection keeps all groups within the tolerance")
+        raise Infeasible("no selection keeps all groups within the tolerance")
     return table.filter(F.col("id").isin(found["ids"])).select("id")

@@ -13,11 +13,16 @@ from quotaforge.operators.order import first_of_groups, rank_in_groups
 HIDDEN_FIELDS = (
     "label", "groundtruth", "ground_truth", "gold_label", "oracle_label", "oracle_preference", "hidden_label", "true_label",
     "preferred_response", "preference_strength", "human_preference", "teacher_label", "parsed_answer", "answer",
+    "chosen", "rejected", "preference_label", "preference_magnitude", "preference_statement", "preference_elaboration", "justification",
+    "true_class", "true_label_name", "label_name", "prediction_correct", "is_correct", "test_metric",
 )
 
 
 def hidden_columns(frame: DataFrame) -> list[str]:
-    """Hidden fields in the schema, nested ones too; no job is run."""
+    """Hidden fields in the schema, those nested in structs, arrays and maps too; no job is run.
+
+    The keys of a map are data: `hidden_keys` tells whether any is a hidden name.
+    """
     found: list[str] = []
 
     def walk(kind, path):
@@ -25,19 +30,50 @@ def hidden_columns(frame: DataFrame) -> list[str]:
             if f.name.lower() in HIDDEN_FIELDS:
                 found.append(".".join([*path, f.name]))
             walk(f.dataType, [*path, f.name])
-        if hasattr(kind, "elementType"):
-            walk(kind.elementType, path)
+        for part in ("elementType", "keyType", "valueType"):
+            if hasattr(kind, part):
+                walk(getattr(kind, part), path)
 
     walk(frame.schema, [])
     return found
 
 
+def hidden_keys(frame: DataFrame) -> list[str]:
+    """Map columns with a key that is a hidden name; one scan, where there are maps with string keys."""
+    maps = [f.name for f in frame.schema if f.dataType.typeName() == "map" and f.dataType.keyType.typeName() == "string"]
+    if not maps:
+        return []
+    bad = lambda c: F.bool_or(F.coalesce(F.exists(F.map_keys(F.col(f"`{c}`")), lambda k: F.lower(k).isin(*HIDDEN_FIELDS)), F.lit(False)))
+    row = frame.agg(*[bad(c).alias(f"m{k}") for k, c in enumerate(maps)]).first()
+    return [c for k, c in enumerate(maps) if row[f"m{k}"]]
+
+
+def _without_hidden(column, kind):
+    """`column` without hidden fields in any struct, array or map of it."""
+    name = kind.typeName()
+    if name == "struct" and kind.fields:
+        kept = [f for f in kind.fields if f.name.lower() not in HIDDEN_FIELDS]
+        made = F.struct(*[_without_hidden(column.getField(f.name), f.dataType).alias(f.name) for f in kept]) if kept else F.lit(None).cast("void")
+        return F.when(column.isNotNull(), made)
+    if name == "array":
+        return F.transform(column, lambda x: _without_hidden(x, kind.elementType))
+    if name == "map":
+        kept = F.map_filter(column, lambda k, v: ~F.lower(k.cast("string")).isin(*HIDDEN_FIELDS)) if kind.keyType.typeName() == "string" else column
+        return F.transform_values(kept, lambda k, v: _without_hidden(v, kind.valueType))
+    return column
+
+
 def safe_view(frame: DataFrame) -> DataFrame:
-    return frame.drop(*[c for c in frame.columns if c.lower() in HIDDEN_FIELDS])
+    """`frame` without hidden fields: columns, nested fields and map entries."""
+    nested = ("struct", "array", "map")
+    return frame.select(*[
+        (_without_hidden(F.col(f"`{f.name}`"), f.dataType) if f.dataType.typeName() in nested else F.col(f"`{f.name}`")).alias(f.name)
+        for f in frame.schema if f.name.lower() not in HIDDEN_FIELDS
+    ])
 
 
 def assert_safe(frame: DataFrame) -> DataFrame:
-    if bad := hidden_columns(frame):
+    if bad := hidden_columns(frame) or hidden_keys(frame):
         raise ValueError(f"a selector must not see {', '.join(bad)}")
     return frame
 

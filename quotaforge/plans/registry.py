@@ -2,7 +2,7 @@
 
 Pools: lineitem is the large pool (score: price), documents with labels the labelled one,
 embeddings the one with representations (probabilities: softmax of ten times the cosine to
-the class centroids of a seed subset), assistant turns of conversations the preference
+the class centroids), assistant turns of conversations the preference
 pairs, orders the run records.
 """
 
@@ -56,7 +56,7 @@ marked AS (SELECT *, row_number() OVER (ORDER BY score DESC, id) <= (SELECT coun
 
 def line_marked(spark, d):
     pool = line_pool(spark, d)
-    return choose.marked(pool, choose.top_budget(pool, "score", "id", pool.count() // 10), "id")
+    return choose.marked_top(pool, "score", "id", pool.count() // 10)
 
 
 def labelled(spark, d):
@@ -64,9 +64,9 @@ def labelled(spark, d):
 
 
 def class_pool(spark, d):
-    """id, label, embedding, p: probabilities by the centroids of every fifth row; a centroid is a few hundred bytes a class."""
+    """id, label, embedding, p: probabilities by the centroids of all labelled rows; a centroid is a few hundred bytes a class."""
     rows = _t(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("id"), "vec_id", "label", "embedding")
-    each = rows.filter("vec_id % 5 = 0").select("label", F.posexplode("embedding").alias("k", "x"))
+    each = rows.filter("label is not null").select("label", F.posexplode("embedding").alias("k", "x"))
     means = each.groupBy("label", "k").agg(F.avg(F.col("x").cast("double")).alias("m"))
     centres = means.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "m"))), lambda s: s["m"]).alias("c"))
     table = centres.agg(F.array_sort(F.collect_list(F.struct("label", "c"))).alias("centres"))  # one row
@@ -77,7 +77,7 @@ def class_pool(spark, d):
 
 CLASS_SQL = """
 rows_ AS (SELECT vec_id::VARCHAR AS id, vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
-dims AS (SELECT label, k, avg(e[k]) AS m FROM rows_, range(1, 65) r(k) WHERE vec_id % 5 = 0 GROUP BY label, k),
+dims AS (SELECT label, k, avg(e[k]) AS m FROM rows_, range(1, 65) r(k) WHERE label IS NOT NULL GROUP BY label, k),
 centres AS (SELECT label, list(m ORDER BY k) AS c FROM dims GROUP BY label),
 z AS (SELECT r.id, r.label, c.label AS own, 10 * list_dot_product(c.c, r.e) / (sqrt(list_dot_product(c.c, c.c)) * sqrt(list_dot_product(r.e, r.e))) AS z,
              sqrt(list_dot_product(r.e, r.e)) AS n FROM rows_ r CROSS JOIN centres c),

@@ -30,7 +30,7 @@ def test_log_gaps_and_scores(spark):
     assert (audit["policy_gap"]["mean"], audit["policy_gap"]["variance"], audit["policy_gap"]["positive"], audit["policy_gap"]["zero"]) == (0.5, 0.25, 1, 1)
     got = {r["id"]: r for r in preference.pair_scores(_gaps(spark), F.col("t"), "c", "p", 0.5, 2.0, True).collect()}
     p = 1 / (1 + math.exp(-1.0))
-    assert got["a"]["reward_margin"] == pytest.approx(1 - abs(2 * p - 1)) and got["b"]["reward_margin"] == pytest.approx(0.2)
+    assert got["a"]["reward_margin"] == pytest.approx(1 - abs(2 * p - 1)) and got["b"]["reward_margin"] == 1.0  # the gap, here 0, comes before a given probability
     assert got["a"]["margin_entropy"] == pytest.approx(1 - abs(2 * p - 1) + 0.5 * math.log(2))
     assert got["a"]["update_size"] == pytest.approx(0.1 + 2 * math.log(2)) and got["b"]["update_size"] == 0.0
     assert got["a"]["cheap_gradient"] == pytest.approx((1 - abs(2 * p - 1)) / 2)
