@@ -1,0 +1,55 @@
+"""One entry to the selections: a pool, the name of a method and a budget."""
+
+from __future__ import annotations
+
+import re
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from quotaforge.functions.expr import entropy, gradient_embedding, gradient_utility, margin_uncertainty
+from quotaforge.operators import choose, cluster, soft
+from quotaforge.operators.tables import assert_safe
+
+#: Methods, and the columns that each needs beside the id.
+NEEDS = {
+    "random": (), "entropy": ("p",), "margin": ("p",), "entropy_gradient": ("p", "embedding"), "badge": ("p", "embedding"), "galaxy": ("p", "embedding"),
+    "matched_random": ("membership",),
+}
+
+
+def method_name(name: str) -> str:
+    """Lower case, with one underscore for whatever separates words (also before a capital inside, as in EntropyGradient)."""
+    split = re.sub(r"(?<=[a-z0-9])(?=[A-Z])", "_", name.strip())
+    found = re.sub(r"[^a-z0-9]+", "_", split.lower()).strip("_")
+    if found not in NEEDS:
+        raise ValueError(f"no method {name!r}; there are {', '.join(NEEDS)}")
+    return found
+
+
+def select(pool: DataFrame, method: str, budget: int, seed: int = 0, id_: str = "id", targets: dict[str, float] | None = None, tolerance: float = 0.05) -> DataFrame:
+    """The `budget` rows that `method` selects, all columns as they were.
+
+    Columns: p (class probabilities), embedding, membership (a map of groups). Hidden fields
+    in the pool are an error. Uncertainty methods take the highest scores, ties by id;
+    `badge` spreads over gradient embeddings, `galaxy` covers the pool's embeddings; `random`
+    and `matched_random` are seeded.
+    """
+    name = method_name(method)
+    assert_safe(pool)
+    if missing := [c for c in NEEDS[name] if c not in pool.columns]:
+        raise ValueError(f"{name} needs the columns {', '.join(missing)}")
+    if name == "random":
+        return choose.random_budget(pool, id_, budget, seed)
+    if name in ("entropy", "margin", "entropy_gradient"):
+        score = {"entropy": entropy, "margin": margin_uncertainty}[name](F.col("p")) if name != "entropy_gradient" else gradient_utility(F.col("p"), F.col("embedding"))
+        return choose.top_budget(pool.withColumn("_score", score), "_score", id_, budget).drop("_score")
+    if name == "badge":
+        ids = choose.farthest_points(pool.select(id_, gradient_embedding(F.col("p"), F.col("embedding")).alias("_g")), "_g", id_, budget)
+    elif name == "galaxy":
+        scored = pool.select(id_, "embedding", entropy(F.col("p")).alias("_entropy"))
+        ids = cluster.facility_location(scored, scored, "embedding", id_, "_entropy", budget)
+    else:
+        want = targets or {r["group"]: r["target"] for r in soft.target_moments(pool, "membership").collect()}  # a row a group
+        ids = soft.matched_random(pool, id_, "membership", want, budget, tolerance, seed)
+    return pool.join(ids.select(F.col("id").alias("_chosen")).distinct(), F.col(id_).cast("string") == F.col("_chosen"), "left_semi")

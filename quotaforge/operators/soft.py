@@ -51,7 +51,7 @@ def all_groups(rows: DataFrame, targets: dict[str, float], *memberships: str) ->
     """The groups of `targets` and of the map columns, in order; at most `GROUPS`."""
     seen = None
     for m in dict.fromkeys(memberships):
-        own = rows.select(F.explode(F.map_keys(m)).cast("string").alias("g")).distinct().limit(GROUPS + 1)
+        own = rows.select(F.explode(F.transform(F.map_keys(m), lambda k: k.cast("string"))).alias("g")).distinct().limit(GROUPS + 1)
         seen = own if seen is None else seen.union(own)
     groups = sorted({*targets, *(r["g"] for r in seen.distinct().collect())})
     if not 0 < len(groups) <= GROUPS:

@@ -735,3 +735,5 @@ def positioned_pairs(spark, d):
 def classification_records(spark, d):
     made = templates.classification_records(labelled(spark, d), "doc_id", "text", "quality", ["low", "high"])
     return made.select("id", F.sha2(F.col("messages")[1]["content"], 256).alias("said_sha256"), "answer")
+
+from quotaforge.plans import extra  # noqa: E402, F401 (registers its queries here)
