@@ -15,13 +15,16 @@ with about one suffix in 40 bytes.
    (8-byte characters, all runs of equal prefixes refined together), their reversed left
    contexts likewise, and finds the classes of equal windows from the common prefixes.
    The first window of each class stays, later ones are removed.
-4. Windows of tokens that own several buckets are compared across these boundaries:
-   each bucket sends the first place of each of their classes, the least place is
-   taken by key, and windows after it are removed.
+4. Windows of tokens that own several buckets, or that a bucket holds more than `STEP`
+   times and takes in parts, are compared across these boundaries: each bucket or part
+   sends the first place of each of their classes, the least place is taken by key, and
+   windows after it are removed.
 5. Removed windows meet their documents again by key, and the rest is cut out.
 
-Memory: a bucket's pieces (about seven times its share of the text, so the number
-of buckets follows the shuffle width); the splitters are at most `SPLITTERS` numbers.
+Memory: a bucket's pieces (a few times its share of the text, so the number of buckets
+follows the shuffle width) and tables for `STEP` suffixes; the splitters are at most
+`SPLITTERS` numbers. In a run of equal bytes every place is an anchor; their pieces
+overlap, and shared bytes are sent and held once.
 
 Defined cases: null and empty texts have no bytes; texts shorter than `length` stay;
 the order is doc_id (null last), then a hash of the text, then the start, so rows that
@@ -43,6 +46,8 @@ from quotaforge.llm.common import cut, shuffle_width, table
 LENGTH, GRAM = 100, 16
 #: Bounds of the splitters: documents in the sample, anchors taken of each, buckets.
 SAMPLE, PER_DOC, SPLITTERS = 4000, 50, 100_000
+#: Suffixes that a bucket compares at once.
+STEP = 100_000
 LAST = np.iinfo(np.int64).max
 #: Bytes of text that a worker cuts at once.
 CHUNK = 16_000_000
@@ -169,26 +174,32 @@ def ranks_by_prefix(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return rank, shared
 
 
-HEAD = np.dtype([("doc", "<i8"), ("hash", "<i4"), ("anchor", "<i8"), ("lead", "<u8"), ("low", "u1"), ("high", "u1")])
+HEAD = np.dtype([("doc", "<i8"), ("hash", "<i4"), ("anchor", "<i8"), ("lead", "<u8"), ("low", "u1"), ("high", "u1"), ("lap", "u1")])
 #: What is sent of it: the lead is made again from the bytes.
-SENT = ("doc", "hash", "anchor", "low", "high")
+SENT = ("doc", "hash", "anchor", "low", "high", "lap")
 LEVEL = 3
 
 
 def pack(rows: np.ndarray, flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> bytes:
-    """One bucket's pieces as a compressed block."""
+    """One bucket's pieces as a compressed block; bytes that a piece shares with the one before it (`lap`) are sent once."""
     import zstandard
 
-    at = np.repeat(starts - np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes) + np.arange(sizes.sum())
+    stops = starts + sizes
+    rows["lap"][1:] = (starts[1:] >= starts[:-1]) & (starts[1:] < stops[:-1])
+    rows["lap"][:1] = 0
+    begin = np.where(rows["lap"] > 0, np.concatenate((starts[:1], stops[:-1])), starts)
+    more = stops - begin
+    at = np.repeat(begin - np.concatenate(([0], np.cumsum(more)[:-1])), more) + np.arange(more.sum())
     # bytes of one weight together, numbers as differences, compress better
     plain = [rows["doc"], rows["hash"], rows["anchor"]]
     split = [np.diff(c, prepend=c.dtype.type(0)).view(np.uint8).reshape(len(rows), -1).T.tobytes() for c in plain]
-    columns = [*split, rows["low"].tobytes(), rows["high"].tobytes()]
+    columns = [*split, *(rows[c].tobytes() for c in ("low", "high", "lap"))]
     raw = len(rows).to_bytes(8, "little") + b"".join(columns) + flat[at].tobytes()
     return zstandard.ZstdCompressor(level=LEVEL).compress(raw)
 
 
-def unpack(block: bytes) -> tuple[np.ndarray, np.ndarray]:
+def unpack(block: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, their bytes, and how many of these each row adds: its piece ends where the sum of these stands."""
     import zstandard
 
     raw = zstandard.ZstdDecompressor().decompress(block)
@@ -199,7 +210,11 @@ def unpack(block: bytes) -> tuple[np.ndarray, np.ndarray]:
         part = np.frombuffer(raw, np.uint8, n * kind.itemsize, at)
         rows[c] = part if kind.itemsize == 1 else np.cumsum(np.ascontiguousarray(part.reshape(-1, n).T).view(kind).ravel(), dtype=kind)
         at += n * kind.itemsize
-    return rows, np.frombuffer(raw, np.uint8, offset=at)
+    more = rows["high"].astype(np.int64) - rows["low"] + length
+    stop = rows["anchor"] - rows["low"] + length
+    lap = rows["lap"][1:] > 0
+    more[1:][lap] = np.diff(stop)[lap]
+    return rows, np.frombuffer(raw, np.uint8, offset=at), more
 
 
 def deal(lead: np.ndarray, spread: np.ndarray, splitters: np.ndarray) -> np.ndarray:
@@ -303,28 +318,30 @@ def first_places(rows: np.ndarray, group: np.ndarray, rank: np.ndarray) -> np.nd
 def contexts(flat: np.ndarray, ends: np.ndarray, rows: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Right contexts (from the anchor) and reversed left contexts, zero-filled to equal widths."""
     high, low = rows["high"].astype(np.int64), rows["low"].astype(np.int64)
-    anchor = ends - (high - low + length) + high
-    span = np.arange(length)
-    right_size = length - low
-    right = np.where(span < right_size[:, None], flat[np.minimum(anchor[:, None] + span, len(flat) - 1)], 0).astype(np.uint8)
-    back = np.arange(1, length - GRAM + 1)
-    left = np.where(back <= high[:, None], flat[np.maximum(anchor[:, None] - back, 0)], 0).astype(np.uint8)
+    anchor = ends - (length - low)
+    span, back = np.arange(length), np.arange(1, length - GRAM + 1)
+    right, left = np.zeros((len(rows), length), np.uint8), np.zeros((len(rows), len(back)), np.uint8)
+    for a in range(0, len(rows), 4096):  # the places take eight times the room of the bytes
+        own = slice(a, a + 4096)
+        at = anchor[own, None]
+        right[own] = np.where(span < (length - low)[own, None], flat[np.minimum(at + span, len(flat) - 1)], 0)
+        left[own] = np.where(back <= high[own, None], flat[np.maximum(at - back, 0)], 0)
     return right, left
 
 
-def compared(blocks: list[bytes], wide: np.ndarray, length: int = LENGTH):
+def compared(blocks: list[bytes], wide: np.ndarray, length: int = LENGTH, step: int = STEP):
     """Of one bucket: (doc, hash, start, end) of removed runs of windows, and the windows to compare across boundaries.
 
-    The latter are (key, doc, hash, start), one for each window of the shared leads that is first here.
+    The latter are (key, doc, hash, start), one for each window that is first here of the
+    leads that other buckets hold too, or that hold more than `step` suffixes and are cut.
     """
-    parts = [unpack(b) for b in blocks]
-    rows, flat = np.concatenate([r for r, _ in parts]), np.concatenate([f for _, f in parts])
+    parts = [unpack(b, length) for b in blocks]
+    rows, flat, ends = (np.concatenate([p[k] for p in parts]) for k in range(3))
+    ends = np.cumsum(ends)
     del parts
-    sizes = rows["high"].astype(np.int64) - rows["low"] + length
-    ends = np.cumsum(sizes)
-    for a in range(0, len(rows), 100_000):
-        at = (ends - sizes + rows["high"])[a : a + 100_000]
-        rows["lead"][a : a + 100_000] = leads(flat, at, hashes_at(flat, at))
+    for a in range(0, len(rows), step):
+        at = (ends - length + rows["low"])[a : a + step]
+        rows["lead"][a : a + step] = leads(flat, at, hashes_at(flat, at))
     # tokens held once are no repeats, unless other buckets hold them too
     _, at, many = np.unique(rows["lead"], return_inverse=True, return_counts=True)
     keep = (many[at] > 1) | np.isin(rows["lead"], wide)
@@ -333,14 +350,19 @@ def compared(blocks: list[bytes], wide: np.ndarray, length: int = LENGTH):
     order = np.argsort(rows["lead"], kind="stable")
     rows, ends = rows[order], ends[order]
     head = np.flatnonzero(np.concatenate(([True], rows["lead"][1:] != rows["lead"][:-1]))) if len(rows) else np.zeros(0, np.int64)
-    # whole tokens at a time, about 100,000 suffixes, bound the width of the context tables
+    # `step` suffixes at a time bound the context tables: whole leads, but a lead of more is cut, and its parts are compared like buckets
     at = 0
     while at < len(rows):
-        stop = np.searchsorted(head, at + 100_000, "right") - 1
-        stop = int(head[stop]) if head[stop] > at else int(head[stop + 1]) if stop + 1 < len(head) else len(rows)
-        if stop <= at or len(rows) - at <= 100_000:
-            stop = len(rows)
-        found, shared = _classes(rows[at:stop], flat, ends[at:stop], wide, length)
+        stop, own = min(at + step, len(rows)), wide
+        if stop < len(rows) and rows["lead"][stop] == rows["lead"][stop - 1]:
+            first = int(head[np.searchsorted(head, stop, "right") - 1])
+            if first > at:
+                stop = first
+            else:
+                own = np.append(own, rows["lead"][at])
+        if at and rows["lead"][at] == rows["lead"][at - 1]:
+            own = np.append(own, rows["lead"][at])
+        found, shared = _classes(rows[at:stop], flat, ends[at:stop], own, length)
         out.append(found)
         across.append(shared)
         at = stop
@@ -411,7 +433,7 @@ def _columns(made: np.ndarray) -> list[pa.Array]:
     return [pa.array(np.ascontiguousarray(made[c])) for c in made.dtype.names]
 
 
-def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def repeats(docs: DataFrame, length: int = LENGTH, step: int = STEP) -> DataFrame:
     """(doc, hash, start, end): byte runs to remove; they may touch or overlap. A null doc_id is the largest long."""
     if length != LENGTH and length < GRAM + 1:
         raise ValueError(f"length must exceed {GRAM}")
@@ -433,7 +455,7 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             yield from done(blocks)
 
     def done(blocks):
-        found, across = compared(blocks, wide, length)
+        found, across = compared(blocks, wide, length, step)
         none = lambda n, kind: pa.nulls(n, kind)
         if len(found):
             yield pa.RecordBatch.from_arrays([none(len(found), pa.int64())] * 2 + _columns(found), ["key", "key2", "doc", "hash", "start", "end"])
@@ -442,19 +464,19 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     buckets = dealt(docs, splitters, length).repartitionById(len(splitters) + 1, F.col("bucket")).sortWithinPartitions("bucket")
     found = buckets.mapInArrow(run, "key long, key2 long, doc long, hash int, start long, `end` long")
-    if not len(wide):
-        return found.select("doc", "hash", "start", "end")
     found = cut(found)
     across = found.filter("key is not null")
+    if across.isEmpty():
+        return found.select("doc", "hash", "start", "end")
     place = F.struct("doc", "hash", "start")
     least = across.groupBy("key", "key2").agg(F.min(place).alias("first"))
     later = across.join(least, ["key", "key2"]).filter(place > F.col("first"))
     return found.filter("key is null").select("doc", "hash", "start", "end").union(later.select("doc", "hash", "start", (F.col("start") + length).alias("end")))
 
 
-def removed_runs(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def removed_runs(docs: DataFrame, length: int = LENGTH, step: int = STEP) -> DataFrame:
     """(doc, hash, runs): the maximal removed byte runs of each document that has any, sorted."""
-    listed = repeats(docs, length).groupBy("doc", "hash").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_runs"))
+    listed = repeats(docs, length, step).groupBy("doc", "hash").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_runs"))
 
     def run(batches):
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
@@ -473,10 +495,10 @@ def removed_runs(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     return listed.mapInArrow(run, "doc long, hash int, runs array<struct<start:long,end:long>>")
 
 
-def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def dedup(docs: DataFrame, length: int = LENGTH, step: int = STEP) -> DataFrame:
     """doc_id, n_bytes, `kept` (the remaining bytes) and `runs` (what was removed) for each row of `docs`."""
     slim = docs.select(F.col("doc_id").cast("long"), text_hash().alias("_hash"), F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("_bytes"))
-    runs = removed_runs(docs, length)
+    runs = removed_runs(docs, length, step)
     both = slim.join(runs, (F.coalesce("doc_id", F.lit(int(LAST))) == F.col("doc")) & (F.col("_hash") == F.col("hash")), "left")
 
     def run(batches):

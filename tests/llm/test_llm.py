@@ -117,6 +117,25 @@ def test_suffix_dedup_against_brute_force(spark, width):
     assert got == brute_removed(rows)
 
 
+def test_suffix_dedup_cuts_hot_leads_and_long_runs(spark):
+    r = random.Random(9)
+    hot = "every one of these rows holds this same sentence, which is well over one hundred bytes long, and then goes on alone "
+    rows = [(k, "".join(r.choice("abcdef ") for _ in range(r.randint(0, 40))) + hot + "".join(r.choice("abcdef ") for _ in range(150))) for k in range(80)]
+    rows += [(200, " " * 1500), (201, "ab" * 700 + "x"), (202, "-" * 400 + hot + "-" * 400), (203, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for step in (7, 50, suffixes.STEP):
+        assert {x["doc_id"]: bytes(x["kept"]) for x in suffixes.dedup(docs, step=step).collect()} == brute_removed(rows)
+
+
+def test_pieces_of_a_run_share_their_bytes():
+    x = np.frombuffer(b" " * 20_000, np.uint8)
+    p = suffixes.pieces(x)
+    rows = np.zeros(len(p.anchor), suffixes.HEAD)
+    rows["anchor"], rows["low"], rows["high"] = p.anchor, p.low, p.high
+    again, flat, more = suffixes.unpack(suffixes.pack(rows, x, p.anchor - p.high, p.high - p.low + suffixes.LENGTH), suffixes.LENGTH)
+    assert len(flat) == 20_000 == more.sum() and (again["anchor"] == p.anchor).all()
+
+
 def test_suffix_dedup_edge_cases(odd, empty):
     assert suffixes.dedup(odd).count() == len(ODD)
     assert suffixes.dedup(empty).count() == 0
