@@ -8,21 +8,27 @@ from pyspark.sql import functions as F
 from quotaforge.functions.expr import seeded
 from quotaforge.operators.order import cut, rank_in_groups
 
+#: A key with more than so great a part of all rows, and more rows than the least, is hot.
+HOT_PART, HOT_LEAST = 1000, 256
+
 
 def key_components(rows: DataFrame, id_: str, keys: list[str]) -> DataFrame:
     """(id, component): the least id reachable over rows that share a value of any of `keys`; null keys join nothing.
 
     Rounds of least ids per key and a jump to the component's own component, until none
-    changes; keys are aggregated before they are joined, so a hot key costs one row.
+    changes. Keys are aggregated before they are joined back; those that hold more than one
+    row in `HOT_PART` (there are fewer than that) meet their rows by broadcast.
     """
+    total = rows.count()
     now = cut(rows.select(F.col(id_), *keys, F.col(id_).alias("component")))
     while True:
         new = now.withColumn("_was", F.col("component"))
         for key in keys:
-            least = new.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("_k")).agg(F.min("component").alias("_least"))
-            new = new.join(least, F.col(key) == F.col("_k"), "left").withColumn("component", F.least("component", "_least")).drop("_k", "_least")
-        up = new.groupBy(F.col(id_).alias("_i")).agg(F.min("component").alias("_up"))
-        new = new.join(up, F.col("component") == F.col("_i"), "left").withColumn("component", F.least("component", "_up")).drop("_i", "_up")
+            least = new.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("_k")).agg(F.min("component").alias("_least"), F.count(F.lit(1)).alias("_n"))
+            new = _lowered(new, key, least, total)
+        up = new.groupBy(F.col(id_).alias("_i")).agg(F.min("component").alias("_least"))
+        known = new.groupBy(F.col("component").alias("_k")).agg(F.count(F.lit(1)).alias("_n"))
+        new = _lowered(new, "component", known.join(up, F.col("_k") == F.col("_i")).drop("_i"), total)
         new = cut(new)
         changed = new.filter("component <> _was").limit(1).count()
         now = new.drop("_was")
@@ -30,6 +36,19 @@ def key_components(rows: DataFrame, id_: str, keys: list[str]) -> DataFrame:
             return now.select(id_, "component")
 
 
+def _lowered(rows: DataFrame, key: str, least: DataFrame, total: int) -> DataFrame:
+    """`rows` with the lesser of their component and that of their key in `least` (_k, _least, and _n rows)."""
+    lower = lambda frame: frame.withColumn("component", F.least("component", "_least")).drop("_k", "_least")
+    least, most = cut(least), max(total // HOT_PART, HOT_LEAST)
+    rest = least.filter(F.col("_n") <= most).drop("_n")
+    if least.filter(F.col("_n") > most).isEmpty():
+        return lower(rows.join(rest, F.col(key) == F.col("_k"), "left"))
+    seen = cut(rows.join(F.broadcast(least.filter(F.col("_n") > most).drop("_n")), F.col(key) == F.col("_k"), "left"))
+    open_ = F.col("_k").isNull() & F.col(key).isNotNull()
+    others = seen.filter(open_).drop("_k", "_least").join(rest, F.col(key) == F.col("_k"), "left")
+    return lower(seen.filter(~open_)).unionByName(lower(others))
+
+
 def take_exact(have: dict[int, int], target: int) -> dict[int, int] | None:
     """How many components of each size add up to `target` rows, near the pool's mix of sizes; None if none do.
 

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quotaforge.functions.expr import entropy, gradient_embedding, gradient_utility, margin_uncertainty
-from quotaforge.operators import choose, cluster, soft
-from quotaforge.operators.tables import assert_safe
+from quotaforge.operators import choose, cluster, influence, soft
+from quotaforge.operators.order import cut
+from quotaforge.operators.tables import assert_safe, stratified_split
 
 #: Methods, and the columns that each needs beside the id.
 NEEDS = {
@@ -53,3 +54,48 @@ def select(pool: DataFrame, method: str, budget: int, seed: int = 0, id_: str =
         want = targets or {r["group"]: r["target"] for r in soft.target_moments(pool, "membership").collect()}  # a row a group
         ids = soft.matched_random(pool, id_, "membership", want, budget, tolerance, seed)
     return pool.join(ids.select(F.col("id").alias("_chosen")).distinct(), F.col(id_).cast("string") == F.col("_chosen"), "left_semi")
+
+
+
+def length_memberships(rows: DataFrame, length: str) -> DataFrame:
+    """`rows` with `length_group`: short, middle or long by the terciles of a column (approximate ones, to a thousandth of the rows); null for null."""
+    low, high = (rows.agg(F.percentile_approx(length, [1 / 3, 2 / 3], 10_000)).first()[0] or [0, 0])[:2]
+    return rows.withColumn("length_group", F.when(F.col(length) <= low, "length:short").when(F.col(length) <= high, "length:middle").when(F.col(length).isNotNull(), "length:long"))
+
+
+def by_influence(
+    pool: DataFrame, seeds: DataFrame, budget: int, tolerance: float, seed: int, id_: str = "id", features: str = "embedding", label: str = "label",
+    length: str | None = None, grid: tuple[float, ...] = (0.01, 0.1), heads: int = 4,
+) -> soft.Selection:
+    """`budget` pool rows of most expected influence on validation loss, with class (and length) shares near the pool's.
+
+    The labelled seeds are split into fit, calibration and validation rows, stratified by
+    label (class numbers from 0). A head is fitted, its l2 and temperature chosen on the
+    calibration rows; utilities are expected influences along the validation gradient.
+    Class memberships are the head's probabilities, bounded by the quantiles of resampled
+    heads; length terciles are known memberships. Targets are the pool's means, and the
+    selection is the robust one of `soft.select`. Labels of the pool are never read.
+    """
+    assert_safe(pool)
+    n = seeds.count()
+    if n < 10:
+        raise ValueError("at least ten labelled seeds")
+    sizes = {"fit": n - 2 * (n // 5), "calibration": n // 5, "validation": n // 5}
+    split = stratified_split(seeds.select(id_, F.col(label).cast("int").alias(label)), id_, label, sizes, seed).select(id_, "split")
+    placed = cut(seeds.join(split, id_))
+    part = lambda name: placed.filter(F.col("split") == name)
+    head, l2 = influence.choose_l2(part("fit"), part("calibration"), features, label, list(grid))
+    head = influence.calibrated(head, part("calibration"), features, label)
+    gradient = influence.mean_gradient(head, part("validation"), features, label)
+    resampled = influence.bootstrap_heads(part("fit"), part("calibration"), id_, features, label, l2, heads, seed)
+    bounds = influence.posterior(head, resampled, pool, id_, features)
+    gain = influence.expected_influence(head, gradient, pool, id_, features).select(F.col("id").alias("_i"), "utility")
+    names = F.transform(F.sequence(F.lit(0), F.size("p") - 1), lambda k: F.concat(F.lit("class:"), k.cast("string")))
+    rows = bounds.select("id", *[F.map_from_arrays(names, c).alias(c) for c in ("p", "lower", "upper")])
+    if length:
+        known = length_memberships(pool.select(F.col(id_).cast("string").alias("_l"), length), length).select("_l", "length_group")
+        one = F.when(F.col("length_group").isNotNull(), F.map_from_arrays(F.array("length_group"), F.array(F.lit(1.0)))).otherwise(F.create_map().cast("map<string,double>"))
+        rows = rows.join(known, F.col("id") == F.col("_l")).select("id", *[F.map_concat(c, one).alias(c) for c in ("p", "lower", "upper")])
+    rows = cut(rows.join(gain, F.col("id") == F.col("_i")).drop("_i"))
+    targets = {r["group"]: r["target"] for r in soft.target_moments(rows, "p").collect()}  # a row a group
+    return soft.select(rows, "utility", "id", "lower", "upper", targets, budget, tolerance)

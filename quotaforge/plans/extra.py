@@ -202,6 +202,15 @@ for _name, _score in _SCORES.items():
 query("selector_random", "SELECT vec_id::VARCHAR AS id FROM embeddings ORDER BY ('0x' || substr(md5('3:' || vec_id), 1, 13))::BIGINT, vec_id::VARCHAR LIMIT 8")(_by_method("random"))
 query("selector_badge")(_by_method("badge"))
 
+
+@query("influence_selection")
+def influence_selection(spark, d):
+    """Seeds are the embeddings whose id leaves 0 to 2 of ten; all others are the pool."""
+    rows = _t(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("id"), F.col("label").cast("int").alias("label"), "embedding", F.col("vec_id").alias("_n"))
+    got = selectors.by_influence(rows.filter("_n % 10 > 2").select("id", "embedding"), rows.filter("_n % 10 <= 2").drop("_n"), 20, 0.1, 3, heads=2, grid=(0.1,))
+    return got.ids
+
+
 # --- decisions, gates, guards ----------------------------------------------------------
 
 SHIFTS = """y AS (SELECT o_orderstatus AS method, year(o_orderdate) AS budget, o_orderpriority AS class, count(*) AS n FROM orders GROUP BY ALL),
@@ -284,3 +293,9 @@ def preference_effects(spark, d):
     marked = choose.marked_top(pairs, "words", "id", max(1, pairs.count() // 2))
     report = preference.preference_shift(marked, {"words_a": "length", "words_b": "length", "gap": "attributes"}, "response_a")
     return _rounded(preference.preference_effects(report))
+
+
+ORACLE_SQL["key_components"] = """WITH RECURSIVE d AS (SELECT doc_id, sha256(text) AS copy, source || ':' || n_chars AS shape FROM documents),
+e AS (SELECT a.doc_id AS x, b.doc_id AS y FROM d a JOIN d b ON a.copy = b.copy UNION SELECT a.doc_id, b.doc_id FROM d a JOIN d b ON a.shape = b.shape),
+r AS (SELECT x, y FROM e UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x)
+SELECT d.doc_id, least(d.doc_id, coalesce(min(r.y), d.doc_id)) AS component FROM d LEFT JOIN r ON r.x = d.doc_id GROUP BY d.doc_id"""

@@ -707,7 +707,7 @@ def influence_posterior(spark, d):
     fit, side = rows.filter(fold == 0), rows.filter(fold == 1)
     head, l2 = influence.choose_l2(fit, side, "embedding", "label", [0.001, 0.01, 0.1])
     heads = influence.bootstrap_heads(fit, side, "vec_id", "embedding", "label", l2, 10, 7)
-    found = influence.posterior(influence.calibrated(head, side, "embedding", "label"), heads, rows.filter(fold > 2).drop("label"), "vec_id", "embedding")
+    found = influence.posterior(influence.calibrated(head, side, "embedding", "label"), heads, rows.filter(fold > 1).drop("label"), "vec_id", "embedding")
     three = lambda c: F.transform(c, lambda v: F.round(v, 4))
     return found.select("id", three("p").alias("p"), three("lower").alias("lower"), three("upper").alias("upper"))
 

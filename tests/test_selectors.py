@@ -141,3 +141,43 @@ def test_paired_delta_and_capability(spark):
     row = evaluate.paired_delta(pairs, 200, 200, 3).first()
     assert row["mean_delta"] == pytest.approx(0.45) and row["lower"] < 0.45 < row["upper"] and row["n"] == 10
     assert evaluate.capability_regression(pairs, "base", "treat").first()["capability_regression"] == pytest.approx(-0.45)
+
+
+def test_influence_selection_end_to_end(spark):
+    rng = np.random.default_rng(6)
+    rows = []
+    for k in range(240):
+        y = k % 2
+        rows.append((f"i{k:03d}", y, (rng.normal(size=3) + (1.5 if y else -1.5)).tolist(), int(rng.integers(1, 100))))
+    every = spark.createDataFrame(rows, "id string, label int, embedding array<double>, n int")
+    seeds, pool = every.filter("id < 'i060'"), every.filter("id >= 'i060'").drop("label")
+    got = selectors.by_influence(pool, seeds, 30, 0.25, 4, length="n", grid=(0.1,), heads=2)
+    ids = [r["id"] for r in got.ids.collect()]
+    assert len(set(ids)) == 30 and min(ids) >= "i060" and got.breach == 0 and 0 < got.utility <= got.bound + 1e-9
+    groups = selectors.length_memberships(pool, "n").groupBy("length_group").count().collect()
+    assert sorted(r["length_group"] for r in groups) == ["length:long", "length:middle", "length:short"] and all(50 <= r["count"] <= 70 for r in groups)
+    with pytest.raises(ValueError, match="must not see label"):
+        selectors.by_influence(every, seeds, 30, 0.25, 4)
+    with pytest.raises(ValueError, match="ten labelled"):
+        selectors.by_influence(pool, seeds.limit(3), 30, 0.25, 4)
+
+
+def test_hot_keys_and_components(spark):
+    from quotaforge.operators.components import key_components
+
+    rows = [(k, "hot" if k < 700 else f"k{k // 3}", f"s{k // 2}" if k >= 650 else None) for k in range(900)]
+    got = {r["id"]: r["component"] for r in key_components(spark.createDataFrame(rows, "id int, a string, b string"), "id", ["a", "b"]).collect()}
+    root = list(range(900))
+
+    def top(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for at in (1, 2):
+        first: dict = {}
+        for r in rows:
+            if r[at] is not None:
+                x, y = sorted((top(first.setdefault(r[at], r[0])), top(r[0])))
+                root[y] = x
+    assert got == {k: top(k) for k in range(900)}
