@@ -331,3 +331,30 @@ def test_pipeline_stages_against_brute_force(spark):
     total = sum(r["size"] for r in rows.values())
     assert abs(sum(r["taken"] for r in rows.values()) - total) < 0.2 * total
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
+
+
+@pytest.mark.parametrize("name", ["op7_chat", "op9_decontamination", "op10_mixing"])
+def test_queries_match_their_sql(spark, name):
+    import duckdb
+
+    from quotaforge.llm.queries import ORACLE_SQL, QUERIES
+
+    where, con = "/root/testdata/sf0.001", duckdb.connect()
+    for t in ("documents", "benchmark", "conversations"):
+        con.sql(f"create view {t} as select * from '{where}/{t}.parquet'")
+    got, want = QUERIES[name](spark, where), con.sql(ORACLE_SQL[name])
+    order = sorted(got.columns)
+    assert order == sorted(want.columns)
+    at = [want.columns.index(c) for c in order]
+    assert sorted(tuple(str(r[c]) for c in order) for r in got.collect()) == sorted(tuple(str(r[k]) for k in at) for r in want.fetchall())
+
+
+def test_chat_and_mixing_with_repeats_ties_and_clashing_columns(spark):
+    rows = [(1, 0, "user", "hi"), (1, 0, "user", "hi"), (1, 1, "assistant", "yes"), (None, None, None, None), (2, 5, "assistant", "x")]
+    docs = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("turns", F.lit(1)).withColumn("formatted", F.lit("f"))
+    done = {r["conv_id"]: r for r in chat.format_conversations(docs).withColumn("t", chat.parse(F.col("formatted"))).collect()}
+    assert set(done) == {1, None, 2} and [t["role"] for t in done[1]["t"]][-1] == "assistant"
+    assert chat.format_conversations(docs.limit(0)).count() == 0
+    mixed = mixing.mix(spark.createDataFrame([(1, "a b", "s")] * 5 + [(2, None, None)], "doc_id long, text string, source string").withColumn("taken", F.lit("x")).withColumn("_hash", F.lit("y")))
+    rows = mixed.collect()
+    assert len(rows) == 6 and sum(r["taken"] for r in rows) == 10
