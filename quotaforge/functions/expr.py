@@ -80,6 +80,24 @@ def dual_order(p12: Column, p21: Column) -> Column:
     return (p12 + 1 - p21) / 2
 
 
+def margin_confidence(margin: Column, temperature: float) -> Column:
+    """sigma(|margin| / T): the confidence of a judge with that logit margin."""
+    if not 0 < temperature < float("inf"):
+        raise ValueError("the temperature is positive and finite")
+    return F.lit(1.0) / (F.lit(1.0) + F.exp(-F.abs(margin.cast("double")) / temperature))
+
+
+def mean_pooled(vectors: Column) -> Column:
+    """Unit mean of an array of vectors of one length; the plain mean where its norm is at most 1e-12, empty for none."""
+    def pooled(vs):
+        zero = F.transform(vs[0], lambda _: F.lit(0.0))
+        total = F.aggregate(vs, zero, lambda a, v: F.zip_with(a, v, lambda x, y: x + y.cast("double")))
+        mean = F.transform(total, lambda x: x / F.size(vs))
+        return let(mean, lambda m: let(norm(m), lambda n: F.when(n > 1e-12, F.transform(m, lambda x: x / n)).otherwise(m)))
+
+    return F.when(F.size(vectors) > 0, pooled(vectors)).otherwise(F.array().cast("array<double>"))
+
+
 def reward_margin(gap: Column) -> Column:
     """1 - |2 sigma(gap) - 1|: largest where two responses are judged alike."""
     return F.lit(1.0) - F.abs(F.lit(2.0) / (F.lit(1.0) + F.exp(-gap)) - 1)

@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quotaforge.functions.expr import seeded
-from quotaforge.operators.order import first_of_groups, global_rank
+from quotaforge.operators.order import cut, first_of_groups, global_rank
 
 #: Rows of the undecided band that are sorted at once, and bands into which a band is cut.
 SORTED, BANDS = 100_000, 32
+#: Steps of a greedy cover after which its distances are written.
+WRITTEN = 16
 
 
 class Infeasible(ValueError):
@@ -154,20 +156,27 @@ def frontier(rows: DataFrame, utility: str, id_: str, group: str, budget: int, s
 
 
 def farthest_points(rows: DataFrame, vector: str, id_: str, budget: int) -> DataFrame:
-    """Greedy k-centre: starts at the largest norm, adds the row farthest from all chosen ones, ties by id. One job a step."""
+    """Greedy k-centre: starts at the largest norm, adds the row farthest from all chosen ones, ties by id. One job a step.
+
+    Every `WRITTEN` steps the distances to the points chosen so far are written, so that a
+    step's plan holds no more than that many points.
+    """
     from quotaforge.functions.expr import dot, norm
 
-    state = rows.select(F.col(id_).cast("string").alias("id"), F.col(vector).alias("v"), norm(F.col(vector)).alias("d"))
+    state = rows.select(F.col(id_).cast("string").alias("id"), F.col(vector).alias("v"), F.lit(None).cast("double").alias("m"))
     chosen: list[str] = []
-    points: list = []
-    for _ in range(budget):
-        gap = F.col("d")
-        for p in points:
-            far = F.sqrt(F.greatest(F.lit(0.0), dot(F.col("v"), F.col("v")) + float(sum(x * x for x in p)) - 2 * dot(F.col("v"), F.array(*[F.lit(float(x)) for x in p]))))
-            gap = far if gap is None or p is points[0] else F.least(gap, far)
-        row = state.filter(~F.col("id").isin(chosen) if chosen else F.lit(True)).select("id", "v", gap.alias("g")).orderBy(F.desc("g"), "id").limit(1).first()
+    recent: list[tuple[str, list[float]]] = []
+    for step in range(budget):
+        away = [F.sqrt(F.greatest(F.lit(0.0), dot(F.col("v"), F.col("v")) + sum(x * x for x in p) - 2 * dot(F.col("v"), F.array(*[F.lit(x) for x in p])))) for _, p in recent]
+        gap = F.least(F.col("m"), *away) if away else F.col("m")
+        left = state.filter(~F.col("id").isin([i for i, _ in recent])) if recent else state
+        if len(recent) == WRITTEN:
+            left = cut(left.withColumn("m", gap))
+            recent, gap = [], F.col("m")
+        row = left.select("id", "v", (gap if step else norm(F.col("v"))).alias("g")).orderBy(F.desc("g"), "id").limit(1).first()
         if row is None:
             break
+        state = left if not recent else state
         chosen.append(row["id"])
-        points.append([float(x) for x in row["v"]])
+        recent.append((row["id"], [float(x) for x in row["v"]]))
     return rows.sparkSession.createDataFrame([(k + 1, i) for k, i in enumerate(chosen)], "step int, id string")

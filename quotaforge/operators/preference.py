@@ -118,6 +118,26 @@ def preference_effects(report: DataFrame) -> DataFrame:
     return wide.groupBy("domain").agg(F.max(F.coalesce(effect, F.lit(0.0))).alias("effect"))
 
 
+def pair_groups(rows: DataFrame, required: tuple[str, ...] = ()) -> DataFrame:
+    """`rows` with the group fields that can be derived: length_gap_bin, prompt_cluster and length_by_prompt_cluster.
+
+    A field's own value comes first; then the bin of length_gap, or that of the texts
+    response_a and response_b, and prompt_cluster_id. A required field that a row lacks is an error.
+    """
+    has = lambda c: F.col(c) if c in rows.columns else F.lit(None)
+    gap = has("length_gap").cast("double")
+    if {"response_a", "response_b"} <= set(rows.columns):
+        own = length_gap(word_count(F.col("response_a")), word_count(F.col("response_b")))
+        gap = F.coalesce(gap, F.when(F.col("response_a").isNotNull() & F.col("response_b").isNotNull(), own))
+    bin_ = F.coalesce(has("length_gap_bin").cast("string"), F.when(gap.isNotNull(), length_bin(gap)))
+    cluster = F.coalesce(has("prompt_cluster").cast("string"), has("prompt_cluster_id").cast("string"))
+    both = F.coalesce(has("length_by_prompt_cluster").cast("string"), F.when(bin_.isNotNull() & cluster.isNotNull(), F.concat_ws("|", bin_, cluster)))
+    out = rows.withColumns({"length_gap_bin": bin_, "prompt_cluster": cluster, "length_by_prompt_cluster": both})
+    for field in required:
+        out = out.withColumn(field, F.when(F.col(field).isNull(), F.raise_error(F.lit(f"a row lacks the group field {field}")).cast("string")).otherwise(F.col(field)))
+    return out
+
+
 def covering_candidates(rows: DataFrame, score: str, id_: str, budget: int, multiplier: int, coverage: list[str]) -> DataFrame:
     """`multiplier * budget` rows: first the best row of every value of each coverage column, then the best others."""
     first = None

@@ -107,6 +107,11 @@ def pending(rows: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return rows.join(done.select(key), key, "left_anti")
 
 
+def restore_order(scored: DataFrame, source: DataFrame, key: str, position: str) -> DataFrame:
+    """`scored` in the order of `source`, by its column `position`; ids must match exactly, once each."""
+    return exact_cover_join(scored.drop(position), source.select(key, position), key).orderBy(position).drop(position)
+
+
 def distinct_documents(rows: DataFrame, text: str, id_: str, label: str | None = None) -> DataFrame:
     """Least id of each white-space-normalised text by its SHA-256, its copies, and whether labels of copies disagree."""
     h = F.sha2(collapsed(F.col(text)), 256)
@@ -137,7 +142,7 @@ def stratified_split(rows: DataFrame, id_: str, label: str, sizes: dict[str, int
         own = allocation(counts, total).select("label", F.col("quota").alias(name))
         quotas = own if quotas is None else quotas.join(own, "label")
     named = rows.select(F.col(id_), F.col(label).cast("string").alias("label"))
-    placed = rank_in_groups(named, "label", [seeded(seed, F.col(id_)), F.col(id_).cast("string")], "_place").join(F.broadcast(quotas), "label")
+    placed = rank_in_groups(named, "label", [seeded(seed, F.col(id_)), F.col(id_).cast("string")], "_place").join(quotas, "label")
     split = F.coalesce(*[F.when(F.col("_place") <= F.col(name), F.lit(name)) for name in sizes])
     return placed.select(id_, "label", split.alias("split")).filter("split is not null")
 

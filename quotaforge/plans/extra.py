@@ -203,6 +203,36 @@ query("selector_random", "SELECT vec_id::VARCHAR AS id FROM embeddings ORDER BY
 query("selector_badge")(_by_method("badge"))
 
 
+@query(
+    "pair_groups",
+    f"""WITH {PAIR_SQL} SELECT id, bin AS length_gap_bin, (conv_id // 10)::VARCHAR AS prompt_cluster, bin || '|' || (conv_id // 10) AS length_by_prompt_cluster FROM binned""",
+)
+def pair_groups(spark, d):
+    pairs = preference_pairs(spark, d).select("id", "response_a", "response_b", F.floor(F.col("conv_id") / 10).cast("long").alias("prompt_cluster_id"))
+    return preference.pair_groups(pairs, ("length_by_prompt_cluster",)).select("id", "length_gap_bin", "prompt_cluster", "length_by_prompt_cluster")
+
+
+@query(
+    "pooled_vectors",
+    """WITH x AS (SELECT label, k, avg(embedding[k]::DOUBLE) AS m FROM embeddings, range(1, 65) r(k) GROUP BY ALL), n AS (SELECT label, sqrt(sum(m * m)) AS n FROM x GROUP BY label)
+SELECT label, k::INT AS k, round(m / n, 6) + 0.0 AS value FROM x JOIN n USING (label)""",
+)
+def pooled_vectors(spark, d):
+    """Unit mean vector of each class, from arrays of bounded parts of it: the parts' means, weighted by their sizes."""
+    rows = _t(spark, d, "embeddings").select("label", F.posexplode("embedding").alias("k", "x"))
+    means = rows.groupBy("label", "k").agg(F.avg(F.col("x").cast("double")).alias("m")).groupBy("label").agg(F.array_sort(F.collect_list(F.struct("k", "m"))).alias("s"))
+    unit = E.mean_pooled(F.array(F.transform("s", lambda s: s["m"])))
+    return _rounded(means.select("label", F.posexplode(unit).alias("k", "value")).withColumn("k", F.col("k") + 1))
+
+
+@query(
+    "teacher_confidence",
+    f"WITH {PAIR_SQL} SELECT id, round(1 / (1 + exp(-abs(words_a - words_b) / 20.0)), 6) AS confidence FROM pairs",
+)
+def teacher_confidence(spark, d):
+    return _rounded(preference_pairs(spark, d).select("id", E.margin_confidence(F.col("words_a") - F.col("words_b"), 20.0).alias("confidence")))
+
+
 @query("influence_selection")
 def influence_selection(spark, d):
     """Seeds are the embeddings whose id leaves 0 to 2 of ten; all others are the pool."""

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quotaforge.functions import expr
 from quotaforge.operators import audit, choose, evaluate, preference, selectors, soft, tables
 
 
@@ -181,3 +182,29 @@ def test_hot_keys_and_components(spark):
                 x, y = sorted((top(first.setdefault(r[at], r[0])), top(r[0])))
                 root[y] = x
     assert got == {k: top(k) for k in range(900)}
+
+
+def test_farthest_points_beyond_one_written_block(spark):
+    rng = np.random.default_rng(3)
+    vectors = {f"i{k:03d}": rng.normal(size=5) for k in range(90)}
+    rows = spark.createDataFrame([(k, v.tolist()) for k, v in vectors.items()], "id string, v array<double>")
+    order = [max(sorted(vectors), key=lambda k: np.linalg.norm(vectors[k]))]
+    while len(order) < 40:
+        order.append(max((k for k in sorted(vectors) if k not in order), key=lambda k: min(np.linalg.norm(vectors[k] - vectors[o]) for o in order)))
+    assert [r["id"] for r in choose.farthest_points(rows, "v", "id", 40).orderBy("step").collect()] == order
+    assert choose.farthest_points(rows.limit(3), "v", "id", 9).count() == 3
+
+
+def test_groups_orders_and_pooling(spark):
+    rows = spark.createDataFrame([(1, "a b c", "a", None, 4), (2, None, "x", 0.0, 5), (3, None, None, None, None)], "id int, response_a string, response_b string, length_gap double, prompt_cluster_id int")
+    got = {r["id"]: (r["length_gap_bin"], r["prompt_cluster"], r["length_by_prompt_cluster"]) for r in preference.pair_groups(rows).collect()}
+    assert got == {1: ("a_longer", "4", "a_longer|4"), 2: ("balanced", "5", "balanced|5"), 3: (None, None, None)}
+    with pytest.raises(Exception, match="lacks the group field"):
+        preference.pair_groups(rows, ("prompt_cluster",)).collect()
+    source = spark.createDataFrame([(7, 2), (8, 0), (9, 1)], "id int, at int")
+    assert [r["id"] for r in tables.restore_order(spark.createDataFrame([(7, "x"), (8, "y"), (9, "z")], "id int, v string"), source, "id", "at").collect()] == [8, 9, 7]
+    vectors = spark.createDataFrame([([[3.0, 0.0], [3.0, 8.0]],), ([[1.0], [-1.0]],), ([],)], "v array<array<double>>")
+    assert [r[0] for r in vectors.select(expr.mean_pooled(F.col("v"))).collect()] == [[0.6, 0.8], [0.0], []]
+    assert spark.range(1).select(expr.margin_confidence(F.lit(-2.0), 1.0)).first()[0] == pytest.approx(1 / (1 + math.exp(-2)))
+    with pytest.raises(ValueError, match="positive"):
+        expr.margin_confidence(F.lit(1.0), 0.0)
