@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quotaforge.llm.common import cut, shuffle_width, table
+from quotaforge.llm.common import shuffle_width, table, written
 
 LENGTH, GRAM = 100, 16
 #: Bounds of the splitters: documents in the sample, anchors taken of each, buckets.
@@ -464,7 +464,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, step: int = STEP) -> DataFram
 
     buckets = dealt(docs, splitters, length).repartitionById(len(splitters) + 1, F.col("bucket")).sortWithinPartitions("bucket")
     found = buckets.mapInArrow(run, "key long, key2 long, doc long, hash int, start long, `end` long")
-    found = cut(found)
+    found = written(found)
     across = found.filter("key is not null")
     if across.isEmpty():
         return found.select("doc", "hash", "start", "end")
