@@ -1,6 +1,6 @@
 """Queries and oracle SQL of the training-data operators."""
 
-from quotaforge.llm import chat, decontam, language, matroska, maxent, mixing, pii, secrets, simhash, suffixes
+from quotaforge.llm import chat, decontam, importance, language, matroska, maxent, mixing, pii, secrets, simhash, suffixes
 
 QUERIES = {
     "op1_maxent": maxent.op1_maxent,
@@ -13,10 +13,12 @@ QUERIES = {
     "op8_simhash": simhash.op8_simhash,
     "op9_decontamination": decontam.op9_decontamination,
     "op10_mixing": mixing.op10_mixing,
+    "op11_importance": importance.op11_importance,
 }
 
 ORACLE_SQL = {
     "op7_chat": chat.chat_sql(),
     "op9_decontamination": decontam.decontamination_sql(),
     "op10_mixing": mixing.mixing_sql(),
+    "op11_importance": importance.importance_sql(),
 }
