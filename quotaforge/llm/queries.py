@@ -1,6 +1,6 @@
 """Queries and oracle SQL of the training-data operators."""
 
-from quotaforge.llm import chat, decontam, importance, language, matroska, maxent, mixing, pii, secrets, simhash, suffixes
+from quotaforge.llm import bpe, chat, decontam, importance, language, matroska, maxent, mixing, pii, secrets, simhash, suffixes
 
 QUERIES = {
     "op1_maxent": maxent.op1_maxent,
@@ -14,6 +14,7 @@ QUERIES = {
     "op9_decontamination": decontam.op9_decontamination,
     "op10_mixing": mixing.op10_mixing,
     "op11_importance": importance.op11_importance,
+    "op12_bpe": bpe.op12_bpe,
 }
 
 ORACLE_SQL = {
