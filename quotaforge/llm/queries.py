@@ -1,6 +1,6 @@
 """Queries and oracle SQL of the training-data operators."""
 
-from quotaforge.llm import bpe, chat, decontam, importance, language, matroska, maxent, mixing, pii, secrets, simhash, suffixes
+from quotaforge.llm import bpe, chat, decontam, importance, language, matroska, maxent, mixing, negatives, pii, secrets, simhash, suffixes
 
 QUERIES = {
     "op1_maxent": maxent.op1_maxent,
@@ -15,6 +15,7 @@ QUERIES = {
     "op10_mixing": mixing.op10_mixing,
     "op11_importance": importance.op11_importance,
     "op12_bpe": bpe.op12_bpe,
+    "op13_negatives": negatives.op13_negatives,
 }
 
 ORACLE_SQL = {
@@ -22,4 +23,5 @@ ORACLE_SQL = {
     "op9_decontamination": decontam.decontamination_sql(),
     "op10_mixing": mixing.mixing_sql(),
     "op11_importance": importance.importance_sql(),
+    "op13_negatives": negatives.negatives_sql(),
 }
