@@ -23,6 +23,17 @@ def normalised(p: Column) -> Column:
     return let(p, lambda p: let(_sum(p), lambda total: F.transform(p, lambda x: F.try_divide(x, total))))
 
 
+def checked_probabilities(p: Column) -> Column:
+    """`normalised(p)`; fewer than two classes, a null, negative or infinite part, or a sum of zero is an error (null stays null)."""
+    bad = F.exists(p, lambda x: F.coalesce(F.isnan(x) | (x < 0) | (x == float("inf")), F.lit(True)))
+    fail = lambda text: F.raise_error(F.lit(text)).cast("array<double>")
+    return (
+        F.when(F.size(p) < 2, fail("probabilities must contain at least two classes"))
+        .when(bad | (_sum(p) <= 0), fail("probabilities must be non-negative and sum to a positive value"))
+        .otherwise(normalised(p))
+    )
+
+
 def softmax(z: Column) -> Column:
     return let(z, lambda z: let(F.array_max(z), lambda top: normalised(F.transform(z, lambda x: F.exp(x - top)))))
 

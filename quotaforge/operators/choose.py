@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quotaforge.functions.expr import seeded
-from quotaforge.operators.order import cut, first_of_groups, global_rank
+from quotaforge.operators.order import cut, global_rank, rank_in_groups
 
 #: Rows of the undecided band that are sorted at once, and bands into which a band is cut.
 SORTED, BANDS = 100_000, 32
+#: Id strings of a single score that are sampled for edges.
+SAMPLED = 2048
 #: Steps of a greedy cover after which its distances are written.
 WRITTEN = 16
 
@@ -18,36 +20,76 @@ class Infeasible(ValueError):
     """No selection of the wanted size meets the constraints; wrong arguments raise a plain ValueError."""
 
 
-def top_budget(rows: DataFrame, score: str, id_: str, budget: int) -> DataFrame:
-    """The `budget` rows of largest score, ties by the id's string.
+def _place(id_: str):
+    """What breaks ties: the id's string; a null id counts as the empty one."""
+    return F.coalesce(F.col(id_).cast("string"), F.lit(""))
+
 
-    The whole pool is never sorted: counts above `BANDS` quantile edges narrow the band in
-    which the last row lies, pass by pass, until what is left of it fits a bounded sort.
+def narrowed(rows: DataFrame, score: str, id_: str, budget: int):
+    """Two predicates and a number: rows surely taken, the band of at most `SORTED` rows in which the last one lies, and how many of the band are taken.
+
+    Counts around `BANDS` quantile edges narrow the band pass by pass, by the score alone,
+    so ids are not even built; once one score is left, edges from a sample of about
+    `SAMPLED` id strings go on. Only counts reach the driver, and no pass sorts. A band may
+    be larger than `SORTED` only where score and id are the same throughout.
     """
-    if budget < 1:
-        raise ValueError("a budget selects at least one row")
-    sure, band, left = None, rows.filter(F.col(score).isNotNull()), budget
+    s, i = F.col(score), _place(id_)
+    before, band, left = F.lit(False), s.isNotNull(), budget
     while True:
+        held = rows.filter(band)
         marks = [k / BANDS for k in range(1, BANDS)]
-        row = band.agg(F.count(F.lit(1)).alias("n"), F.percentile_approx(score, marks, 1000).alias("edges")).first()
-        if row["n"] <= max(SORTED, left):
+        row = held.agg(F.count(F.lit(1)).alias("n"), F.min(s).eqNullSafe(F.max(s)).alias("one"), F.max(s).alias("top"), F.percentile_approx(score, marks, 1000).alias("edges")).first()
+        if row["n"] <= left:
+            return before | band, F.lit(False), 0
+        if row["n"] <= SORTED:
+            return before, band, left
+        if row["one"]:
+            value = F.lit(row["top"])
+            break
+        edges = list(dict.fromkeys(row["edges"]))
+        counts = held.agg(*[c.alias(f"{n}{k}") for k, e in enumerate(edges) for n, c in (("over", F.count_if(s > F.lit(e))), ("from", F.count_if(s >= F.lit(e))))]).first()
+        held_by = next((e for k, e in enumerate(edges) if counts[f"over{k}"] < left <= counts[f"from{k}"]), None)
+        if held_by is not None:
+            k = edges.index(held_by)
+            before, band, left = before | (band & (s > F.lit(held_by))), s == F.lit(held_by), left - counts[f"over{k}"]
+            continue
+        full = [k for k in range(len(edges)) if counts[f"from{k}"] < left]
+        short = [k for k in range(len(edges)) if counts[f"over{k}"] >= left]
+        inner = band
+        if full:
+            before, inner, left = before | (band & (s >= F.lit(edges[full[0]]))), inner & (s < F.lit(edges[full[0]])), left - counts[f"from{full[0]}"]
+        band = inner & (s > F.lit(edges[short[-1]])) if short else inner
+    band, size = s == value, row["n"]
+    while size > SORTED:
+        held = rows.filter(band).select(i.alias("i"))
+        sample = sorted(r["i"] for r in held.filter(F.pmod(F.xxhash64("i"), F.lit(max(1, size // SAMPLED))) == 0).distinct().collect())  # about SAMPLED strings
+        ends = held.agg(F.min("i").alias("a"), F.max("i").alias("b")).first()
+        if ends["a"] == ends["b"]:
             break
-        edges = sorted(set(row["edges"]))
-        above = band.agg(*[F.count_if(F.col(score) > e).alias(f"c{k}") for k, e in enumerate(edges)]).first()
-        low = [e for k, e in enumerate(edges) if above[f"c{k}"] >= left]
-        high = [(e, above[f"c{k}"]) for k, e in enumerate(edges) if above[f"c{k}"] < left]
-        part = band
-        if high:
-            part, left = part.filter(F.col(score) <= high[0][0]), left - high[0][1]
-            over = band.filter(F.col(score) > high[0][0])
-            sure = over if sure is None else sure.unionByName(over)
-        if low:
-            part = part.filter(F.col(score) > low[-1])
-        if not high and not low or part.count() == row["n"]:
+        edges = sorted({ends["a"], ends["b"], *(sample[k * len(sample) // BANDS] for k in range(1, BANDS) if sample)})
+        counts = held.agg(*[c.alias(f"{n}{k}") for k, e in enumerate(edges) for n, c in (("under", F.count_if(F.col("i") < e)), ("upto", F.count_if(F.col("i") <= e)))]).first()
+        k = next(k for k in range(len(edges)) if counts[f"upto{k}"] >= left)
+        if counts[f"under{k}"] < left:
+            before, band, left, size = before | (band & (i < edges[k])), band & (i == edges[k]), left - counts[f"under{k}"], counts[f"upto{k}"] - counts[f"under{k}"]
             break
-        band = part
-    last = band.orderBy(F.desc(score), F.col(id_).cast("string")).limit(left)
-    return last if sure is None else sure.unionByName(last)
+        taken = counts[f"upto{k - 1}"]
+        before, band, left, size = before | (band & (i <= edges[k - 1])), band & (i > edges[k - 1]) & (i < edges[k]), left - taken, counts[f"under{k}"] - taken
+    return before, band, left
+
+
+def top_budget(rows: DataFrame, score: str, id_: str, budget: int) -> DataFrame:
+    """The `budget` rows of largest score, ties by the id's string; rows without a score are never taken.
+
+    The pool is never sorted whole, and no task merges more than `SORTED` rows, however
+    many scores tie: see `narrowed`. Rows equal in score and id are interchangeable.
+    """
+    if budget < 1:
+        raise ValueError("a budget selects at least one row")
+    before, band, left = narrowed(rows, score, id_, budget)
+    sure = rows.filter(before)
+    if not left:
+        return sure
+    return sure.unionByName(rows.filter(band).orderBy(F.desc(score), _place(id_)).limit(left))
 
 
 def marked_top(rows: DataFrame, score: str, id_: str, budget: int) -> DataFrame:
@@ -55,11 +97,12 @@ def marked_top(rows: DataFrame, score: str, id_: str, budget: int) -> DataFrame:
 
     The last selected row, one (score, id), tells the others: a filter, not a join over the pool.
     """
-    place = F.col(id_).cast("string")
-    last = top_budget(rows.select(score, id_), score, id_, budget).agg(F.max(F.struct((-F.col(score)).alias("s"), place.alias("i"))).alias("last")).first()["last"]
-    if last is None:
-        return rows.withColumn("selected", F.lit(False))
-    edge = F.lit(-last["s"]).cast(rows.schema[score].dataType)
+    place = _place(id_)
+    before, band, left = narrowed(rows, score, id_, budget)
+    if not left:
+        return rows.withColumn("selected", F.coalesce(before, F.lit(False)))
+    last = rows.filter(band).select(F.col(score).alias("s"), place.alias("i")).orderBy(F.desc("s"), "i").offset(left - 1).limit(1).first()
+    edge = F.lit(last["s"])
     return rows.withColumn("selected", F.coalesce((F.col(score) > edge) | ((F.col(score) == edge) & (place <= F.lit(last["i"]))), F.lit(False)))
 
 
@@ -94,9 +137,12 @@ def random_by_group(rows: DataFrame, id_: str, group: str, budget: int, seed: in
 
 def coverage_first(rows: DataFrame, score: str, id_: str, cluster: str, budget: int) -> DataFrame:
     """The best row of each cluster first, then the best of the rest."""
-    first = best_of_groups(rows, score, id_, cluster).select(F.col(id_).alias("_first"))
-    ordered = rows.join(first, F.col(id_) == F.col("_first"), "left").withColumn("_tier", F.when(F.col("_first").isNotNull(), 1).otherwise(0)).drop("_first")
-    return ordered.orderBy(F.desc("_tier"), F.desc(score), F.col(id_).cast("string")).limit(budget).drop("_tier")
+    first = cut(best_of_groups(rows.filter(F.col(score).isNotNull()), score, id_, cluster))
+    n = first.count()
+    if n >= budget:
+        return top_budget(first, score, id_, budget)
+    rest = rows.join(first.select(F.col(id_).alias("_first")), F.col(id_) == F.col("_first"), "left_anti")
+    return first.unionByName(top_budget(rest, score, id_, budget - n))
 
 
 def rank_normalised(rows: DataFrame, score: str, id_: str, name: str = "utility") -> DataFrame:
@@ -118,25 +164,35 @@ def constrained(rows: DataFrame, utility: str, id_: str, group: str, budget: int
 
     Groups exclude each other here, so shares are counts between two bounds: each group
     gives its lower bound of best rows, and the rest of the budget goes to the best other
-    rows below the upper bounds. That exchange is optimal for disjoint groups. Large groups
-    are cut into parts before their first rows are taken.
+    rows below the upper bounds. That exchange is optimal for disjoint groups. Ranks come from
+    one order by ranges, so neither a group nor the budget goes through one task.
     """
     sizes = rows.groupBy(F.col(group).alias("_g")).agg(F.count(F.lit(1)).alias("_n"))
     total = rows.count()
     share = F.col("_n") / F.lit(float(total))
     bounds = sizes.select(
-        "_g",
+        "_g", "_n",
         F.greatest(F.lit(0), F.ceil((share - slack) * budget - 1e-9)).alias("_low"),
         F.least(F.col("_n"), F.floor((share + slack) * budget + 1e-9)).alias("_high"),
     )
     limits = bounds.agg(F.sum("_low"), F.sum("_high")).first()
     if limits[0] > budget or limits[1] < budget:
         raise Infeasible(f"no selection of {budget} rows keeps all groups within {slack}")
-    best = first_of_groups(rows, group, [F.desc(utility), F.col(id_).cast("string")], budget, id_)
-    ranked = best.join(bounds, F.col(group).eqNullSafe(F.col("_g"))).filter("_place <= _high")
-    must = ranked.filter("_place <= _low")
-    rest = ranked.filter("_place > _low").orderBy(F.desc(utility), F.col(id_).cast("string")).limit(budget - int(limits[0]))
-    return must.unionByName(rest).select(*rows.columns)
+    ranked = rank_in_groups(_within_reach(rows, utility, group, bounds), group, [F.desc(utility), _place(id_)], "_place")
+    ranked = cut(ranked.join(bounds, F.col(group).eqNullSafe(F.col("_g"))).filter("_place <= _high"))
+    must, left = ranked.filter("_place <= _low").select(*rows.columns), budget - int(limits[0])
+    return must.unionByName(top_budget(ranked.filter("_place > _low").select(*rows.columns), utility, id_, left)) if left else must
+
+
+def _within_reach(rows: DataFrame, utility: str, group: str, bounds: DataFrame) -> DataFrame:
+    """`rows` without those that surely lie beyond their group's upper bound, by quantiles that are exact to a five-hundredth of the group."""
+    marks = [k / 200 for k in range(201)]
+    quantiles = rows.groupBy(F.col(group).alias("_q")).agg(F.percentile_approx(utility, marks, 2000).alias("_marks"))
+    known = bounds.join(quantiles, F.col("_g").eqNullSafe(F.col("_q")))
+    at = F.greatest(F.lit(0), F.floor((1 - F.col("_high") / F.col("_n") - 0.002) * 200)).cast("int")
+    least = known.select("_q", F.when(at > 0, F.get("_marks", at)).alias("_least"))
+    near = rows.join(least, F.col(group).eqNullSafe(F.col("_q")))
+    return near.filter(F.col("_least").isNull() | (F.col(utility) >= F.col("_least"))).select(*rows.columns)
 
 
 def frontier(rows: DataFrame, utility: str, id_: str, group: str, budget: int, slacks: list[float], loss: float = 0.05):

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quotaforge.functions.expr import entropy, gradient_embedding, gradient_utility, margin_uncertainty
+from quotaforge.functions.expr import checked_probabilities, entropy, gradient_embedding, gradient_utility, margin_uncertainty
 from quotaforge.operators import choose, cluster, influence, soft
 from quotaforge.operators.order import cut
 from quotaforge.operators.tables import assert_safe, stratified_split
@@ -32,7 +32,8 @@ def select(pool: DataFrame, method: str, budget: int, seed: int = 0, id_: str =
     """The `budget` rows that `method` selects, all columns as they were.
 
     Columns: p (class probabilities), embedding, membership (a map of groups). Hidden fields
-    in the pool are an error. Uncertainty methods take the highest scores, ties by id;
+    in the pool are an error, and so are probabilities that are negative, without a positive
+    sum or of one class; others are brought to a sum of 1. Uncertainty methods take the highest scores, ties by id;
     `badge` spreads over gradient embeddings, `galaxy` covers the pool's embeddings; `random`
     and `matched_random` are seeded.
     """
@@ -40,15 +41,16 @@ def select(pool: DataFrame, method: str, budget: int, seed: int = 0, id_: str =
     assert_safe(pool)
     if missing := [c for c in NEEDS[name] if c not in pool.columns]:
         raise ValueError(f"{name} needs the columns {', '.join(missing)}")
+    p = checked_probabilities(F.col("p").cast("array<double>")) if "p" in NEEDS[name] else None
     if name == "random":
         return choose.random_budget(pool, id_, budget, seed)
     if name in ("entropy", "margin", "entropy_gradient"):
-        score = {"entropy": entropy, "margin": margin_uncertainty}[name](F.col("p")) if name != "entropy_gradient" else gradient_utility(F.col("p"), F.col("embedding"))
+        score = {"entropy": entropy, "margin": margin_uncertainty}[name](p) if name != "entropy_gradient" else gradient_utility(p, F.col("embedding"))
         return choose.top_budget(pool.withColumn("_score", score), "_score", id_, budget).drop("_score")
     if name == "badge":
-        ids = choose.farthest_points(pool.select(id_, gradient_embedding(F.col("p"), F.col("embedding")).alias("_g")), "_g", id_, budget)
+        ids = choose.farthest_points(pool.select(id_, gradient_embedding(p, F.col("embedding")).alias("_g")), "_g", id_, budget)
     elif name == "galaxy":
-        scored = pool.select(id_, "embedding", entropy(F.col("p")).alias("_entropy"))
+        scored = pool.select(id_, "embedding", entropy(p).alias("_entropy"))
         ids = cluster.facility_location(scored, scored, "embedding", id_, "_entropy", budget)
     else:
         want = targets or {r["group"]: r["target"] for r in soft.target_moments(pool, "membership").collect()}  # a row a group
@@ -58,9 +60,9 @@ def select(pool: DataFrame, method: str, budget: int, seed: int = 0, id_: str =
 
 
 def length_memberships(rows: DataFrame, length: str) -> DataFrame:
-    """`rows` with `length_group`: short, middle or long by the terciles of a column (approximate ones, to a thousandth of the rows); null for null."""
-    low, high = (rows.agg(F.percentile_approx(length, [1 / 3, 2 / 3], 10_000)).first()[0] or [0, 0])[:2]
-    return rows.withColumn("length_group", F.when(F.col(length) <= low, "length:short").when(F.col(length) <= high, "length:middle").when(F.col(length).isNotNull(), "length:long"))
+    """`rows` with `length_group`: length_bin=short, =medium or =long, up to the exact terciles (interpolated between neighbours) of a column; null for null."""
+    low, high = rows.agg(F.percentile(length, [1 / 3, 2 / 3])).first()[0] or (0.0, 0.0)
+    return rows.withColumn("length_group", F.when(F.col(length) <= low, "length_bin=short").when(F.col(length) <= high, "length_bin=medium").when(F.col(length).isNotNull(), "length_bin=long"))
 
 
 def by_influence(
