@@ -7,7 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from quotaforge.functions import expr as E
-from quotaforge.operators import audit, choose, evaluate, preference, records, selectors
+from quotaforge.operators import audit, batches, choose, evaluate, preference, records, selectors
 from quotaforge.plans.registry import CLASS_SQL, ORACLE_SQL, PAIR_SQL, RUNS, _rounded, _t, class_pool, preference_pairs, query, run_rows
 
 # --- memberships -----------------------------------------------------------------------
@@ -329,3 +329,24 @@ ORACLE_SQL["key_components"] = """WITH RECURSIVE d AS (SELECT doc_id, sha256(tex
 e AS (SELECT a.doc_id AS x, b.doc_id AS y FROM d a JOIN d b ON a.copy = b.copy UNION SELECT a.doc_id, b.doc_id FROM d a JOIN d b ON a.shape = b.shape),
 r AS (SELECT x, y FROM e UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x)
 SELECT d.doc_id, least(d.doc_id, coalesce(min(r.y), d.doc_id)) AS component FROM d LEFT JOIN r ON r.x = d.doc_id GROUP BY d.doc_id"""
+
+
+# --- batches ---------------------------------------------------------------------------
+
+
+@query(
+    "token_batches",
+    """
+WITH RECURSIVE o AS MATERIALIZED (
+  SELECT doc_id, greatest(coalesce(n_chars, 1), 1)::BIGINT AS n, row_number() OVER (ORDER BY greatest(coalesce(n_chars, 1), 1), doc_id::VARCHAR) AS r FROM documents),
+f AS (
+  SELECT doc_id, r, 0::BIGINT AS batch, 0::BIGINT AS place FROM o WHERE r = 1
+  UNION ALL
+  SELECT o.doc_id, o.r, CASE WHEN f.place + 2 > 16 OR o.n * (f.place + 2) > 20000 THEN f.batch + 1 ELSE f.batch END,
+         CASE WHEN f.place + 2 > 16 OR o.n * (f.place + 2) > 20000 THEN 0 ELSE f.place + 1 END
+  FROM f JOIN o ON o.r = f.r + 1)
+SELECT doc_id, batch, place FROM f""",
+)
+def token_batches(spark, d):
+    """Padded batches of documents by their lengths: at most 16 rows and 20,000 characters."""
+    return batches.token_batches(_t(spark, d, "documents").select("doc_id", "n_chars"), "n_chars", "doc_id", 16, 20_000).drop("n_chars")
