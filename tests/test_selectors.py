@@ -156,7 +156,7 @@ def test_influence_selection_end_to_end(spark):
     ids = [r["id"] for r in got.ids.collect()]
     assert len(set(ids)) == 30 and min(ids) >= "i060" and got.breach == 0 and 0 < got.utility <= got.bound + 1e-9
     groups = selectors.length_memberships(pool, "n").groupBy("length_group").count().collect()
-    assert sorted(r["length_group"] for r in groups) == ["length:long", "length:middle", "length:short"] and all(50 <= r["count"] <= 70 for r in groups)
+    assert sorted(r["length_group"] for r in groups) == ["length_bin=long", "length_bin=medium", "length_bin=short"] and all(50 <= r["count"] <= 70 for r in groups)
     with pytest.raises(ValueError, match="must not see label"):
         selectors.by_influence(every, seeds, 30, 0.25, 4)
     with pytest.raises(ValueError, match="ten labelled"):
