@@ -11,6 +11,7 @@ bounded core of rows nearest to the cut is swapped until the bounds hold. Pools
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,11 +21,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quotaforge.functions.expr import coin, dot, seeded
+from quotaforge.operators import sampling
 from quotaforge.operators.choose import Infeasible, marked, top_budget
 from quotaforge.operators.order import cut, first_of_groups
 
 #: Most groups; pools that are enumerated; core rows a side; swaps; Newton steps for each smoothing.
 GROUPS, EXACT, CORE, SWAPS, STEPS = 64, 18, 480, 64, 20
+#: Most different memberships of a pool that are drawn as counts on the driver.
+CELLS = 10_000
 SMOOTHING = (0.3, 0.1, 0.03, 0.01, 0.003)
 SLIP = 1e-9
 
@@ -249,22 +253,57 @@ def error_audit(rows: DataFrame, utility: str, id_: str, estimated: str, lower:
     return every.join(F.broadcast(worst), "selection")
 
 
+def _cells(rows: DataFrame, id_: str, membership: str) -> DataFrame:
+    """id and cell: the positive memberships of a row as text, so that rows of equal memberships share a cell; no membership is the empty one."""
+    entries = F.array_sort(F.transform(F.map_entries(F.map_filter(membership, lambda k, v: v > 0)), lambda e: F.struct(e["key"].cast("string").alias("g"), e["value"].cast("double").alias("v"))))
+    return rows.select(F.col(id_).cast("string").alias("id"), F.coalesce(F.to_json(entries), F.lit("[]")).alias("cell"))
+
+
 def matched_random(rows: DataFrame, id_: str, membership: str, targets: dict[str, float], budget: int, tolerance: float, seed: int) -> DataFrame:
     """A seeded random selection whose group means are within `tolerance` of the targets: the ids.
 
-    Up to `EXACT` rows it is uniform over all subsets that fit: the one of least hash of its
-    ids. Larger pools maximise seeded uniform utilities under the bounds, which is random
-    but not uniform over subsets.
+    It is uniform over the subsets that fit where every row is wholly in one group at most,
+    whatever the number of rows and groups: see `sampling.draw_counts`. Other pools: up to
+    `EXACT` rows the subset of least hash of its ids, which is uniform; up to `CELLS`
+    different memberships a chain of swaps that starts from a fitting selection and tends to
+    the uniform law (`sampling.walk_counts`, `MOVES` steps for each row of the budget and doubling
+    of it); beyond that, seeded uniform utilities are maximised under the bounds, which is
+    random but follows another law. A group that `targets` does not list has the target 0.
     """
-    groups = all_groups(rows, targets, membership)
-    n = rows.count()
+    if budget < 1:
+        raise ValueError("a budget selects at least one row")
+    cells = _cells(rows, id_, membership)
+    seen = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).orderBy("cell").limit(CELLS + 1).collect()  # a row a cell
+    sizes = {r["cell"]: r["n"] for r in seen}
+    n = sum(sizes.values())
+    if len(sizes) <= CELLS:
+        if budget > n:
+            raise ValueError(f"{n} rows cannot give {budget}")
+        held = {c: {e["g"]: e["v"] for e in json.loads(c)} for c in sizes}
+        groups = sorted({*targets, *(g for m in held.values() for g in m)})
+        bounds = {g: sampling.limits(targets.get(g, 0.0), tolerance, budget) for g in groups}
+        if all(len(m) <= 1 and all(v == 1 for v in m.values()) for m in held.values()):
+            if any(bounds[g][0] > 0 for g in groups if g not in {x for m in held.values() for x in m}):
+                raise Infeasible("no selection keeps all groups within the tolerance")
+            own = [bounds[next(iter(m))] if m else (0, budget) for m in held.values()]
+            counts = sampling.draw_counts(list(sizes.values()), [a for a, _ in own], [b for _, b in own], budget, seed)
+            return sampling.rows_of_cells(cells, "id", "cell", dict(zip(sizes, counts, strict=True)), sizes, seed).select("id")
     drawn = rows.withColumn("_u", coin(seed, F.col(id_)))
-    if n > EXACT:
-        return select(drawn, "_u", id_, membership, membership, targets, budget, tolerance).ids
+    if n <= EXACT:
+        groups = all_groups(rows, targets, membership)
+        want = np.array([targets.get(g, 0.0) for g in groups])
+        table = _table(drawn, "_u", id_, membership, membership, groups)
+        fits = _fitting(table, n, budget, budget * np.concatenate([want + tolerance, tolerance - want]))
+        found = fits.orderBy(seeded(seed, F.array_join("ids", "\n")), "ids").limit(1).first()
+        if found is None:
+            raise Infeasible("no selection keeps all groups within the tolerance")
+        return table.filter(F.col("id").isin(found["ids"])).select("id")
+    start = select(drawn, "_u", id_, membership, membership, targets, budget, tolerance)
+    if len(sizes) > CELLS or start.breach:
+        return start.ids
+    began = {r["cell"]: r["n"] for r in cells.join(start.ids, "id", "left_semi").groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
+    member = np.array([[held[c].get(g, 0.0) for g in groups] for c in sizes])
     want = np.array([targets.get(g, 0.0) for g in groups])
-    table = _table(drawn, "_u", id_, membership, membership, groups)
-    fits = _fitting(table, n, budget, budget * np.concatenate([want + tolerance, tolerance - want]))
-    found = fits.orderBy(seeded(seed, F.array_join("ids", "\n")), "ids").limit(1).first()
-    if found is None:
-        raise Infeasible("no selection keeps all groups within the tolerance")
-    return table.filter(F.col("id").isin(found["ids"])).select("id")
+    moves = sampling.MOVES * budget * max(4, budget.bit_length())
+    ended = sampling.walk_counts(np.array(list(sizes.values())), member, budget * (want - tolerance), budget * (want + tolerance), np.array([began.get(c, 0) for c in sizes]), seed, moves)
+    return sampling.rows_of_cells(cells, "id", "cell", dict(zip(sizes, map(int, ended), strict=True)), sizes, seed).select("id")
