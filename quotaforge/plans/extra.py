@@ -7,8 +7,10 @@ import math
 from pyspark.sql import functions as F
 
 from quotaforge.functions import expr as E
-from quotaforge.operators import audit, batches, choose, evaluate, preference, records, selectors
+from quotaforge.operators import audit, batches, choose, evaluate, preference, records, sampling, selectors, soft
 from quotaforge.plans.registry import CLASS_SQL, ORACLE_SQL, PAIR_SQL, RUNS, _rounded, _t, class_pool, preference_pairs, query, run_rows
+from quotaforge.sources import vectors
+from quotaforge.streaming import shares
 
 # --- memberships -----------------------------------------------------------------------
 
@@ -350,3 +352,41 @@ SELECT doc_id, batch, place FROM f""",
 def token_batches(spark, d):
     """Padded batches of documents by their lengths: at most 16 rows and 20,000 characters."""
     return batches.token_batches(_t(spark, d, "documents").select("doc_id", "n_chars"), "n_chars", "doc_id", 16, 20_000).drop("n_chars")
+
+
+# --- random selections of known law, and vector files ------------------------------------
+
+
+@query(
+    "matched_random_orders",
+    """SELECT o_orderkey::VARCHAR AS id FROM orders QUALIFY row_number() OVER (PARTITION BY o_orderpriority ORDER BY md5('11:' || o_orderkey), o_orderkey::VARCHAR) <= 20""",
+)
+def matched_random_orders(spark, d):
+    """Twenty orders of each priority: equal targets and no tolerance leave the draw inside the groups alone."""
+    rows = _t(spark, d, "orders").select("o_orderkey", "o_orderpriority", F.create_map("o_orderpriority", F.lit(1.0)).alias("m"))
+    names = [r["p"] for r in rows.select(F.col("o_orderpriority").alias("p")).distinct().collect()]  # a row a priority
+    return soft.matched_random(rows, "o_orderkey", "m", {n: 1 / len(names) for n in names}, 20 * len(names), 0.0, 11)
+
+
+@query(
+    "systematic_orders",
+    """WITH w AS (SELECT o_orderkey, sum(o_totalprice) OVER (ORDER BY o_orderkey::VARCHAR) * 100 / sum(o_totalprice) OVER () AS t, o_totalprice * 100 / sum(o_totalprice) OVER () AS p FROM orders)
+SELECT o_orderkey FROM w WHERE ceil(t - 0.5) > ceil(t - p - 0.5)""",
+)
+def systematic_orders(spark, d):
+    """A hundred orders with probabilities in proportion to their price."""
+    return sampling.systematic(_t(spark, d, "orders"), "o_totalprice", "o_orderkey", 100).select("o_orderkey")
+
+
+@query(
+    "numpy_vectors",
+    """SELECT vec_id::VARCHAR AS id, len(embedding)::INT AS size, list_min(embedding)::DOUBLE AS least, list_max(embedding)::DOUBLE AS most, embedding[1]::DOUBLE AS first, embedding[-1]::DOUBLE AS last
+FROM embeddings WHERE embedding IS NOT NULL""",
+)
+def numpy_vectors(spark, d):
+    """The embeddings, written as numpy files with sidecar ids and read back."""
+    path = shares.fresh_folder(spark)
+    vectors.write_vectors(_t(spark, d, "embeddings").filter("embedding is not null"), "vec_id", "embedding", path)
+    v = F.col("embedding")
+    found = vectors.load_vectors(spark, path)
+    return found.select("id", F.size(v).alias("size"), *[c.cast("double").alias(n) for n, c in (("least", F.array_min(v)), ("most", F.array_max(v)), ("first", F.element_at(v, 1)), ("last", F.element_at(v, -1)))])
