@@ -173,3 +173,64 @@ def recommended_method(shifts: DataFrame, preferred: str = "entropy", comparable
     top = sure.agg(F.max("mean_tv_excess").alias("_top"))
     near = sure.crossJoin(F.broadcast(top)).withColumn("_first", (F.col("method") == preferred) & (F.col("_top") - F.col("mean_tv_excess") <= comparable))  # `top` is one row
     return near.orderBy(F.desc("_first"), F.desc("mean_tv_excess"), F.desc(F.size("stable_classes")), F.desc("method")).limit(1).select("method", "mean_tv_excess", "stable_classes")
+
+
+#: Domains of preference shifts that count, and the effect from which each is material.
+MATERIAL = {"length": 0.10, "attributes": 0.25, "preference_direction": 0.05, "prompt_distribution": 0.01}
+
+
+def preference_gate(effects: DataFrame, required: int = 2, material: dict[str, float] = MATERIAL) -> DataFrame:
+    """Per method: its material domains, their effects over the thresholds summed, and whether `required` domains are material.
+
+    `effects`: method, domain, effect, and `excess` over the upper quantile of random
+    selections (null where none were drawn: the effect alone decides). Random itself and
+    other domains are left out.
+    """
+    if required < 1:
+        raise ValueError("at least one domain is required")
+    bar = F.create_map(*[x for d, v in material.items() for x in (F.lit(d), F.lit(float(v)))])
+    known = effects.filter(F.col("method") != "random").withColumn("_bar", F.try_element_at(bar, F.col("domain")))
+    counts = F.coalesce((F.col("effect") >= F.col("_bar")) & (F.coalesce("excess", F.lit(1.0)) > 0), F.lit(False))
+    out = known.groupBy("method").agg(
+        F.array_sort(F.collect_set(F.when(counts, F.col("domain")))).alias("material_domains"),  # at most one entry a domain
+        F.coalesce(F.sum(F.when(counts, F.col("effect") / F.col("_bar"))), F.lit(0.0)).alias("gate_score"),
+    )
+    return out.withColumn("established", F.size("material_domains") >= required)
+
+
+def preference_decision(gates: DataFrame, disagreement: float | None, bias: float = 0.20) -> DataFrame:
+    """One row: whether a shift is established, the method of largest gate score among those, the warning of position bias, and the next step.
+
+    `disagreement` is the pool's mean disagreement between the two orders of a pair; from `bias` on, scoring comes first.
+    """
+    order = F.struct("gate_score", F.size("material_domains"), "method")
+    row = gates.agg(F.coalesce(F.bool_or("established"), F.lit(False)).alias("established"), F.max(F.when(F.col("established"), order)).alias("_best"))
+    warned = F.lit(disagreement is not None and disagreement >= bias)
+    step = F.when(warned, "repair_pairwise_scoring_first").when(F.col("established"), "run_random_vs_uncertainty_dpo").otherwise("collect_more_preference_evidence")
+    return row.select("established", F.col("_best")["method"].alias("method"), warned.alias("position_bias_warning"), (F.col("established") & ~warned).alias("training_ready"), step.alias("next_step"))
+
+
+def recommended_action(cases: DataFrame, drop: float = 0.01, repaired: float = 0.05) -> DataFrame:
+    """`cases` with `recommendation`: the first rule that holds.
+
+    Columns: classification_established, preference_established, position_bias (booleans, null:
+    no), order_delta (change of order disagreement by training, null: unknown), and
+    accuracy_delta, macro_f1_delta and preference_delta, uncertainty less random after training
+    (all of a task null: not compared yet). A loss of `drop` or more is an underperformance.
+    """
+    if drop < 0:
+        raise ValueError("drop must not be negative")
+    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
+    lost = lambda *names: F.coalesce(F.least(*[F.coalesce(n, F.lit(0.0)) for n in names], F.lit(0.0)) <= -drop, F.lit(False))
+    by_class, by_pair = yes("classification_established"), yes("preference_established")
+    open_ = (by_class & F.col("accuracy_delta").isNull() & F.col("macro_f1_delta").isNull()) | (by_pair & F.col("preference_delta").isNull())
+    worse_class, worse_pair = by_class & lost("accuracy_delta", "macro_f1_delta"), by_pair & lost("preference_delta")
+    rules = (
+        (yes("position_bias") & F.coalesce(F.col("order_delta") > -repaired, F.lit(True)), "repair_pairwise_scoring_first"),
+        (~by_class & ~by_pair, "keep_current_algorithm"),
+        (open_, "defer_algorithm_change_until_training"),
+        (worse_class & worse_pair, "restructure_algorithm"),
+        (worse_pair, "introduce_wsr"),
+        (worse_class, "refine_dcms_constraints"),
+    )
+    return cases.withColumn("recommendation", F.coalesce(*[F.when(rule, F.lit(name)) for rule, name in rules], F.lit("keep_current_algorithm_with_monitoring")))

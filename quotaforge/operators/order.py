@@ -36,6 +36,15 @@ def global_rank(rows: DataFrame, order: list, name: str = "rank") -> DataFrame:
     return placed.join(F.broadcast(offset), F.col("_part") == F.col("_p")).withColumn(name, F.col("_before") + F.col("_seq") - F.col("_least") + 1).drop("_part", "_p", "_seq", "_least", "_before")
 
 
+def running_sum(rows: DataFrame, order: list, value: str, name: str = "before") -> DataFrame:
+    """Sum of the whole numbers `value` over the rows before a row in `order`: ranges add up their own rows and start where the range before ends."""
+    placed = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()))
+    sizes = placed.groupBy("_part").agg(F.sum(value).alias("_n"))
+    offset = sizes.select(F.col("_part").alias("_p"), (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))  # a row per range
+    inside = F.sum(value).over(Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)) - F.col(value)
+    return placed.withColumn("_in", inside).join(F.broadcast(offset), F.col("_part") == F.col("_p")).withColumn(name, F.col("_before") + F.col("_in")).drop("_part", "_p", "_in", "_before")
+
+
 def rank_in_groups(rows: DataFrame, group: str, order: list, name: str = "rank") -> DataFrame:
     """1-based rank inside each group: one order by (group, order), less the rank of the group's first row."""
     ranked = global_rank(rows, [F.col(group).asc_nulls_first(), *order], "_at")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quotaforge.functions.expr import collapsed, seeded
-from quotaforge.operators.order import first_of_groups, rank_in_groups
+from quotaforge.operators.order import cut, first_of_groups, rank_in_groups, running_sum
 
 #: Names of hidden fields that a selector must not see.
 HIDDEN_FIELDS = (
@@ -147,6 +147,39 @@ def stratified_split(rows: DataFrame, id_: str, label: str, sizes: dict[str, int
     return placed.select(id_, "label", split.alias("split")).filter("split is not null")
 
 
+def three_way_split(rows: DataFrame, keys: list[str], label: str, train: float, validation: float, seed: int, stratified: bool = True) -> DataFrame:
+    """`rows` with `split` (train, validation, test); rows that repeat the `keys` stay together, so quotas hold within one such group.
+
+    The quotas are rounded shares of the rows (of each label, if `stratified`): at least one
+    row for train, and for validation where its share is not 0 and rows are left; test keeps
+    one if it can. Groups come in the order of a seeded hash; train takes them until it has its
+    quota, then validation. Nulls in keys count as empty; a null label is a label of its own.
+    Groups whose rows differ in label are an error. Only keys' hashes, labels and sizes are ordered.
+    """
+    if not 0 < train < 1 or not 0 <= validation < 1 - train:
+        raise ValueError("train must be above 0, validation not below, and both together below 1")
+    whole = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in keys]
+    key = F.sha2(F.concat(*[x for c in whole for x in (F.length(c).cast("string"), F.lit(":"), c)]), 256)
+    named = rows.withColumn("_key", key)
+    own = F.struct(F.col(label).isNull(), F.col(label).cast("string"))
+    groups = cut(named.groupBy("_key").agg(F.count(F.lit(1)).alias("_n"), F.min(own).alias("_label"), (F.min(own) != F.max(own)).alias("_mixed")))
+    if mixed := groups.filter("_mixed").count():
+        raise ValueError(f"{mixed} groups of equal keys have more than one label")
+    part = F.to_json("_label") if stratified else F.lit("")
+    ordered = running_sum(groups.select("_key", "_n", part.alias("_stratum")), [F.col("_stratum"), seeded(seed, F.col("_key")), F.col("_key")], "_n", "_at")
+    total = F.col("_total")
+    first = F.greatest(F.lit(1), F.bround(total * F.lit(train), 0).cast("long"))
+    second = F.bround(total * F.lit(validation), 0).cast("long")
+    if validation > 0:
+        second = F.when(total > F.col("_train"), F.greatest(F.lit(1), second)).otherwise(second)
+    quotas = ordered.groupBy(F.col("_stratum").alias("_s")).agg(F.sum("_n").alias("_total"), F.min("_at").alias("_zero")).withColumn("_train", first).withColumn("_second", second)
+    quotas = quotas.withColumn("_second", F.when(F.col("_train") + F.col("_second") >= total, F.greatest(F.lit(0), total - F.col("_train") - 1)).otherwise(F.col("_second")))
+    placed = ordered.join(quotas, F.col("_stratum") == F.col("_s")).withColumn("_at", F.col("_at") - F.col("_zero"))
+    ends = placed.filter(F.col("_at") < F.col("_train")).groupBy(F.col("_s").alias("_t")).agg(F.max(F.col("_at") + F.col("_n")).alias("_end"))  # a row a label
+    split = F.when(F.col("_at") < F.col("_train"), "train").when(F.col("_at") - F.col("_end") < F.col("_second"), "validation").otherwise("test")
+    return named.join(placed.join(ends, F.col("_s") == F.col("_t")).select(F.col("_key").alias("_k"), split.alias("split")), F.col("_key") == F.col("_k")).drop("_key", "_k")
+
+
 def reservoir(rows: DataFrame, id_: str, label: str, per_class: int, seed: int) -> DataFrame:
     """`per_class` seeded rows of each label: the ones of least hash; large labels are cut into parts first."""
     return first_of_groups(rows, label, [seeded(seed, F.col(id_)), F.col(id_).cast("string")], per_class, id_).drop("_place")

@@ -7,9 +7,9 @@ import math
 from pyspark.sql import functions as F
 
 from quotaforge.functions import expr as E
-from quotaforge.operators import audit, batches, choose, evaluate, preference, records, sampling, selectors, soft
+from quotaforge.operators import audit, batches, choose, evaluate, preference, records, sampling, selectors, soft, tables
 from quotaforge.plans.registry import CLASS_SQL, ORACLE_SQL, PAIR_SQL, RUNS, _rounded, _t, class_pool, preference_pairs, query, run_rows
-from quotaforge.sources import vectors
+from quotaforge.sources import jsonl, vectors
 from quotaforge.streaming import shares
 
 # --- memberships -----------------------------------------------------------------------
@@ -390,3 +390,67 @@ def numpy_vectors(spark, d):
     v = F.col("embedding")
     found = vectors.load_vectors(spark, path)
     return found.select("id", F.size(v).alias("size"), *[c.cast("double").alias(n) for n, c in (("least", F.array_min(v)), ("most", F.array_max(v)), ("first", F.element_at(v, 1)), ("last", F.element_at(v, -1)))])
+
+
+@query(
+    "three_way_split",
+    """WITH d AS (SELECT doc_id, coalesce(lang, '') AS q, coalesce(text, '') AS t, (length(coalesce(text, '')) % 3)::VARCHAR AS label FROM documents),
+k AS (SELECT *, sha256(length(q) || ':' || q || length(t) || ':' || t) AS k FROM d),
+g AS (SELECT k, min(label) AS label, count(*) AS n FROM k GROUP BY k),
+o AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY label ORDER BY md5('5:' || k), k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(n) OVER (PARTITION BY label) AS total FROM g),
+s AS (SELECT *, greatest(1, round_even(total * 0.1, 0)) AS a, greatest(1, round_even(total * 0.2, 0)) AS b FROM o),
+e AS (SELECT *, max(CASE WHEN before < a THEN before + n END) OVER (PARTITION BY label) AS stop, CASE WHEN a + b >= total THEN greatest(0, total - a - 1) ELSE b END AS v FROM s)
+SELECT doc_id, CASE WHEN before < a THEN 'train' WHEN before - stop < v THEN 'validation' ELSE 'test' END AS split FROM k JOIN e USING (k)""",
+)
+def three_way_split(spark, d):
+    """Documents of one language and text stay together; the label is their length modulo 3."""
+    text = F.coalesce("text", F.lit(""))
+    docs = _t(spark, d, "documents").select("doc_id", "lang", "text", (F.length(text) % 3).alias("label"))
+    return tables.three_way_split(docs, ["lang", "text"], "label", 0.1, 0.2, 5).select("doc_id", "split")
+
+
+@query("label_store", """SELECT doc_id::VARCHAR AS id, quality, toxic FROM labels""")
+def label_store(spark, d):
+    """The labels as JSON objects keyed by id, a thousand ids each, written and read back."""
+    path = shares.fresh_folder(spark)
+    value = F.struct(F.col("doc_id").cast("string").alias("key"), F.struct("quality", "toxic").alias("value"))
+    stores = _t(spark, d, "labels").groupBy(F.floor(F.col("doc_id") / 1000).alias("part")).agg(F.to_json(F.map_from_entries(F.collect_list(value))).alias("value"))
+    stores.write.partitionBy("part").text(path)
+    return jsonl.label_store(spark, path, "quality int, toxic int")
+
+
+EFFECTS = """e AS (SELECT o_orderpriority AS method, ['length', 'attributes', 'preference_direction', 'prompt_distribution', 'order_disagreement'][(o_custkey % 5) + 1] AS domain,
+ avg(o_totalprice) / 1e6 AS effect, avg(o_totalprice) / 1e6 - 0.12 AS excess FROM orders GROUP BY ALL)"""
+
+
+@query(
+    "preference_gate",
+    f"""WITH {EFFECTS}, b AS (SELECT *, map {{'length': 0.1, 'attributes': 0.25, 'preference_direction': 0.05, 'prompt_distribution': 0.01}}[domain] AS bar FROM e),
+m AS (SELECT *, coalesce(effect >= bar AND excess > 0, false) AS yes FROM b)
+SELECT method, coalesce(string_agg(CASE WHEN yes THEN domain END, ',' ORDER BY domain), '') AS material_domains, round(coalesce(sum(CASE WHEN yes THEN effect / bar END), 0), 6) AS gate_score,
+ count(*) FILTER (yes) >= 2 AS established FROM m GROUP BY method""",
+)
+def preference_gate(spark, d):
+    domain = F.get(F.array(*[F.lit(x) for x in ("length", "attributes", "preference_direction", "prompt_distribution", "order_disagreement")]), (F.col("o_custkey") % 5).cast("int"))
+    mean = _t(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("method"), domain.alias("domain")).agg((F.avg("o_totalprice") / 1e6).alias("effect"))
+    return _rounded(audit.preference_gate(mean.withColumn("excess", F.col("effect") - 0.12)).withColumn("material_domains", F.array_join("material_domains", ",")))
+
+
+@query(
+    "recommended_action",
+    """WITH c AS (SELECT c_custkey AS k, c_custkey % 2 = 0 AS ce, c_custkey % 3 = 0 AS pe, c_custkey % 5 = 0 AS bias, CASE WHEN c_custkey % 7 > 2 THEN -(c_custkey % 7) / 50.0 END AS od,
+ CASE WHEN c_custkey % 4 <> 1 THEN c_acctbal / 1e5 END AS acc, CASE WHEN c_custkey % 11 > 2 THEN -(c_custkey % 11) / 400.0 END AS f1, CASE WHEN c_custkey % 13 > 3 THEN (c_custkey % 13 - 9) / 200.0 END AS pd FROM customer),
+w AS (SELECT *, ce AND (coalesce(acc, 0) <= -0.01 OR coalesce(f1, 0) <= -0.01) AS wc, pe AND coalesce(pd, 0) <= -0.01 AS wp FROM c)
+SELECT k AS c_custkey, CASE WHEN bias AND (od IS NULL OR od > -0.05) THEN 'repair_pairwise_scoring_first' WHEN NOT ce AND NOT pe THEN 'keep_current_algorithm'
+ WHEN (ce AND acc IS NULL AND f1 IS NULL) OR (pe AND pd IS NULL) THEN 'defer_algorithm_change_until_training' WHEN wc AND wp THEN 'restructure_algorithm'
+ WHEN wp THEN 'introduce_wsr' WHEN wc THEN 'refine_dcms_constraints' ELSE 'keep_current_algorithm_with_monitoring' END AS recommendation FROM w""",
+)
+def recommended_action(spark, d):
+    """Customers as cases: what is established, biased and lost follows from their numbers and balances."""
+    k = F.col("c_custkey")
+    cases = _t(spark, d, "customer").select(
+        k, (k % 2 == 0).alias("classification_established"), (k % 3 == 0).alias("preference_established"), (k % 5 == 0).alias("position_bias"),
+        F.when(k % 7 > 2, -(k % 7) / 50.0).alias("order_delta"), F.when(k % 4 != 1, F.col("c_acctbal") / 1e5).alias("accuracy_delta"),
+        F.when(k % 11 > 2, -(k % 11) / 400.0).alias("macro_f1_delta"), F.when(k % 13 > 3, (k % 13 - 9) / 200.0).alias("preference_delta"),
+    )
+    return audit.recommended_action(cases).select("c_custkey", "recommendation")

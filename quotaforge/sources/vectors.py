@@ -243,7 +243,7 @@ def _ids_in_object(spark: SparkSession, path: str) -> DataFrame:
     value = F.col("value")
     listed = F.coalesce(*[F.from_json(F.get_json_object(value, p), "array<string>") for p in ("$.ids", "$.embedding_ids")], F.from_json(value, "array<string>"))
     item = F.when(F.ltrim("item").startswith("{"), F.coalesce(F.get_json_object("item", "$.id"), F.get_json_object("item", "$.sample_id"))).otherwise(F.col("item"))
-    each = spark.read.option("wholetext", True).text(path).select(F.posexplode(listed).alias("k", "item")).select("k", item.alias("id")).filter("id <> ''")
+    each = spark.read.text(path, wholetext=True).select(F.posexplode(listed).alias("k", "item")).select("k", item.alias("id")).filter("id <> ''")
     return global_rank(each, [F.col("k")], "_at").select((F.col("_at") - 1).alias("position"), "id")
 
 

@@ -37,7 +37,7 @@ def test_sidecars(spark, tmp_path, matrix, side):
     if side.endswith("l"):
         text = "\n".join(json.dumps({"sample_id" if k % 2 else "id": n}) + ("\n" if k % 9 == 0 else "") for k, n in enumerate(names))
     else:
-        text = json.dumps({"ids": [{"id": n} if k % 2 else n for k, n in enumerate(names)]})
+        text = json.dumps({"ids": [{"id": n} if k % 2 else n for k, n in enumerate(names)]}, indent=1)
         (tmp_path / "a.ids.jsonl").write_text('{"id": "too few"}\n')
     (tmp_path / side).write_text(text)
     found = held(vectors.load_vectors(spark, str(tmp_path / "a.npy")))
