@@ -233,6 +233,24 @@ def frontier(rows: DataFrame, utility: str, id_: str, lower: str, upper: str, ta
     return rows.sparkSession.createDataFrame(trace, "slack double, retained double, breach double, status string")
 
 
+def select_with_slack(rows: DataFrame, utility: str, id_: str, lower: str, upper: str, targets: dict[str, float], budget: int, slacks: tuple[float, ...], loss: float) -> tuple[Selection, float]:
+    """The selection of the least slack that keeps 1 - `loss` of the top budget's utility, and that slack; larger slacks are not tried.
+
+    A slack at which whole rows leave a breach does not count. Without any, `Infeasible`.
+    """
+    if not slacks or not 0 <= loss <= 1:
+        raise ValueError("slacks must be given, and the loss must lie in [0, 1]")
+    best = top_budget(rows, utility, id_, budget).agg(F.sum(utility)).first()[0]
+    for slack in sorted(slacks):
+        try:
+            got = select(rows, utility, id_, lower, upper, targets, budget, slack)
+        except Infeasible:
+            continue
+        if not got.breach and (best <= 0 or got.utility / best >= 1 - loss - 1e-12):
+            return got, float(slack)
+    raise Infeasible("no slack keeps the wanted utility")
+
+
 def error_audit(rows: DataFrame, utility: str, id_: str, estimated: str, lower: str, upper: str, observed: str, targets: dict[str, float], budget: int, tolerance: float) -> DataFrame:
     """The selection by estimated memberships and the one by their bounds, judged by the observed memberships.
 

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from quotaforge.functions import expr as E
-from quotaforge.operators import audit, batches, choose, evaluate, preference, records, sampling, selectors, soft, tables
+from quotaforge.operators import audit, batches, choose, evaluate, influence, preference, records, sampling, selectors, soft, tables
 from quotaforge.plans.registry import CLASS_SQL, ORACLE_SQL, PAIR_SQL, RUNS, _rounded, _t, class_pool, preference_pairs, query, run_rows
 from quotaforge.sources import jsonl, vectors
 from quotaforge.streaming import shares
@@ -243,6 +243,26 @@ def influence_selection(spark, d):
     return got.ids
 
 
+@query("selector_entropy_constrained")
+def selector_entropy_constrained(spark, d):
+    """Embeddings of most entropy with class and cluster shares near the pool's."""
+    return selectors.select(class_pool(spark, d).select("id", "p", "embedding"), "entropy_constrained", 40).select("id")
+
+
+@query(
+    "scaled_features",
+    """WITH x AS (SELECT vec_id, generate_subscripts(embedding, 1) AS k, unnest(embedding)::DOUBLE AS x FROM embeddings),
+m AS (SELECT k, avg(x) AS mean, sqrt(var_pop(x)) AS rms FROM x GROUP BY k), f AS (SELECT greatest(1e-6, median(rms) / 10) AS least FROM m WHERE rms > 1e-8),
+s AS (SELECT vec_id, k, (x - mean) / greatest(rms, least) AS v FROM x JOIN m USING (k), f)
+SELECT vec_id, round(max(v), 6) AS most, round(min(v), 6) AS least, round(sum(v * v), 4) AS squares FROM s GROUP BY vec_id""",
+)
+def scaled_features(spark, d):
+    rows = _t(spark, d, "embeddings").select("vec_id", "embedding")
+    v = F.col("embedding")
+    made = influence.scaled(rows, "embedding", *influence.feature_scale(rows, "embedding"))
+    return made.select("vec_id", F.round(F.array_max(v), 6).alias("most"), F.round(F.array_min(v), 6).alias("least"), F.round(E.dot(v, v), 4).alias("squares"))
+
+
 # --- decisions, gates, guards ----------------------------------------------------------
 
 SHIFTS = """y AS (SELECT o_orderstatus AS method, year(o_orderdate) AS budget, o_orderpriority AS class, count(*) AS n FROM orders GROUP BY ALL),
