@@ -7,7 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from quotaforge.functions import expr as E
-from quotaforge.operators import audit, batches, choose, evaluate, influence, preference, records, sampling, selectors, soft, tables
+from quotaforge.operators import audit, baselines, batches, choose, evaluate, influence, preference, records, sampling, selectors, soft, tables
 from quotaforge.plans.registry import CLASS_SQL, ORACLE_SQL, PAIR_SQL, RUNS, _rounded, _t, class_pool, preference_pairs, query, run_rows
 from quotaforge.sources import jsonl, vectors
 from quotaforge.streaming import shares
@@ -474,3 +474,11 @@ def recommended_action(spark, d):
         F.when(k % 11 > 2, -(k % 11) / 400.0).alias("macro_f1_delta"), F.when(k % 13 > 3, (k % 13 - 9) / 200.0).alias("preference_delta"),
     )
     return audit.recommended_action(cases).select("c_custkey", "recommendation")
+
+
+@query("preference_baseline")
+def preference_baseline(spark, d):
+    """Effects of 50 random halves of the preference pairs on lengths, gaps, directions and prompts."""
+    pairs = preference_pairs(spark, d).withColumn("preferred_response", F.when(F.col("words_a") > F.col("words_b"), 1).otherwise(2))
+    effects = baselines.random_effects(pairs, "id", {"words_a": "length", "words_b": "length", "gap": "attributes"}, "response_a", max(1, pairs.count() // 2), 50, 17)
+    return _rounded(baselines.random_baseline(effects))
