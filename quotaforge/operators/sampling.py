@@ -165,7 +165,7 @@ def systematic(rows: DataFrame, probability: str, id_: str, budget: int, seed: i
         return certain
     others = usable.filter(p < sure)
     key = F.col(id_).cast("string")
-    placed = cut(others.withColumn("_p", p).withColumn("_key", key).repartitionByRange("_key").sortWithinPartitions("_key").withColumn("_part", F.spark_partition_id()))
+    placed = cut(others.select(F.struct("*").alias("_row"), p.alias("_p"), key.alias("_key")).repartitionByRange("_key").sortWithinPartitions("_key").withColumn("_part", F.spark_partition_id()))
     ends, at = {}, 0.0
     for r in placed.groupBy("_part").agg(F.sum("_p").alias("s")).orderBy("_part").collect():  # one row a range
         ends[r["_part"]] = (at, at + r["s"])
@@ -178,4 +178,4 @@ def systematic(rows: DataFrame, probability: str, id_: str, budget: int, seed: i
     tiled = placed.join(F.broadcast(table), F.col("_part") == F.col("_range")).withColumn("_end", running)
     tiled = tiled.withColumn("_start", F.coalesce(F.lag("_end").over(own), F.col("_from")))
     marks = lambda c: F.ceil(F.when(F.col(c) >= at, F.lit(float(left))).otherwise(F.col(c) * left / at) - u)
-    return certain.unionByName(tiled.filter(marks("_end") > marks("_start")).select(*rows.columns))
+    return certain.unionByName(tiled.filter(marks("_end") > marks("_start")).select("_row.*"))

@@ -117,7 +117,7 @@ def test_systematic_inclusions_follow_the_probabilities(spark):
 def test_systematic_matches_a_loop_and_keeps_columns(spark):
     n, budget = 1000, 130
     w = {f"{k:04d}": 1 + k * 7919 % 97 for k in range(n)}
-    rows = spark.createDataFrame([(k, float(v), "x") for k, v in w.items()], "id string, w double, _p string").repartition(7).withColumnRenamed("_p", "extra")
+    rows = spark.createDataFrame([(k, float(v), "x") for k, v in w.items()], "id string, w double, _p string").repartition(7)
     total, at, marks, want = sum(w.values()), 0, 0.5, set()
     for k in sorted(w):
         at += w[k]
