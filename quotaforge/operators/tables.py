@@ -154,15 +154,15 @@ def three_way_split(rows: DataFrame, keys: list[str], label: str, train: float,
     row for train, and for validation where its share is not 0 and rows are left; test keeps
     one if it can. Groups come in the order of a seeded hash; train takes them until it has its
     quota, then validation. Nulls in keys count as empty; a null label is a label of its own.
-    Groups whose rows differ in label are an error. Only keys' hashes, labels and sizes are ordered.
+    Groups whose rows differ in label are an error; a column `split` is replaced. Only keys' hashes, labels and sizes are ordered.
     """
     if not 0 < train < 1 or not 0 <= validation < 1 - train:
         raise ValueError("train must be above 0, validation not below, and both together below 1")
     whole = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in keys]
     key = F.sha2(F.concat(*[x for c in whole for x in (F.length(c).cast("string"), F.lit(":"), c)]), 256)
-    named = rows.withColumn("_key", key)
     own = F.struct(F.col(label).isNull(), F.col(label).cast("string"))
-    groups = cut(named.groupBy("_key").agg(F.count(F.lit(1)).alias("_n"), F.min(own).alias("_label"), (F.min(own) != F.max(own)).alias("_mixed")))
+    named = rows.drop("split").select(F.struct("*").alias("_row"), key.alias("_key"), own.alias("_own"))
+    groups = cut(named.groupBy("_key").agg(F.count(F.lit(1)).alias("_n"), F.min("_own").alias("_label"), (F.min("_own") != F.max("_own")).alias("_mixed")))
     if mixed := groups.filter("_mixed").count():
         raise ValueError(f"{mixed} groups of equal keys have more than one label")
     part = F.to_json("_label") if stratified else F.lit("")
@@ -177,7 +177,7 @@ def three_way_split(rows: DataFrame, keys: list[str], label: str, train: float,
     placed = ordered.join(quotas, F.col("_stratum") == F.col("_s")).withColumn("_at", F.col("_at") - F.col("_zero"))
     ends = placed.filter(F.col("_at") < F.col("_train")).groupBy(F.col("_s").alias("_t")).agg(F.max(F.col("_at") + F.col("_n")).alias("_end"))  # a row a label
     split = F.when(F.col("_at") < F.col("_train"), "train").when(F.col("_at") - F.col("_end") < F.col("_second"), "validation").otherwise("test")
-    return named.join(placed.join(ends, F.col("_s") == F.col("_t")).select(F.col("_key").alias("_k"), split.alias("split")), F.col("_key") == F.col("_k")).drop("_key", "_k")
+    return named.join(placed.join(ends, F.col("_s") == F.col("_t")).select(F.col("_key").alias("_k"), split.alias("split")), F.col("_key") == F.col("_k")).select("_row.*", "split")
 
 
 def reservoir(rows: DataFrame, id_: str, label: str, per_class: int, seed: int) -> DataFrame:

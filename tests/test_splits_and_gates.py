@@ -16,7 +16,7 @@ def test_three_way_split_keeps_groups_and_quotas(spark):
         for _ in range(r.choice([1, 1, 1, 2, 5, 30 if g % 50 == 0 else 1])):
             rows.append((n, f"q{g % 7}" if g % 9 else None, f"d{g}", "yes" if g % 3 else None))
             n += 1
-    frame = spark.createDataFrame(rows, "id int, query string, document string, label string").repartition(5)
+    frame = spark.createDataFrame(rows, "id int, query string, document string, label string").selectExpr("*", "id _key", "id _k", "'old' split").repartition(5)
     for stratified in (True, False):
         got = tables.three_way_split(frame, ["query", "document"], "label", 0.2, 0.1, 8, stratified).collect()
         assert sorted(x["id"] for x in got) == list(range(n))
