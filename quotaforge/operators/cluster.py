@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quotaforge.operators.order import cut
 
+#: Points and candidates whose similarities are held at once; gains that differ by less, as a part of the greatest, tie.
+TILE, TIE = (256, 256), 1e-9
+
 
 def _units(column: pd.Series) -> np.ndarray:
     """Rows of length one; zero vectors stay zero."""
@@ -139,91 +144,123 @@ def _gain_bounds(points: DataFrame, offers: DataFrame, first: np.ndarray, parts:
     return offers.select("id", "v").mapInPandas(run, "id string, bound double")
 
 
+def _packed(rows: DataFrame, size: int, parts: int) -> DataFrame:
+    """Of (k, asof, v), v a unit vector's bytes: blocks (ks, asofs, vectors) of at most `size` rows each, as bytes, in `parts` partitions."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in itertools.chain(batches, [None]):
+            if batch is not None:
+                held.append(batch)
+            while (n := sum(len(b) for b in held)) >= size or batch is None and n:
+                own = pa.Table.from_batches(held).combine_chunks()
+                now, held = own[:size], own[size:].combine_chunks().to_batches()
+                # an Arrow column of one length a row, end to end
+                yield pa.RecordBatch.from_pydict({"ks": [now["k"].to_numpy().tobytes()], "asofs": [now["asof"].to_numpy().tobytes()], "vectors": [b"".join(now["v"].to_pylist())]})
+
+    return rows.select("k", "asof", "v").repartition(parts, "k").mapInArrow(run, "ks binary, asofs binary, vectors binary")
+
+
+def _gain_parts(units: np.ndarray, asofs: np.ndarray, points: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """What a block of points adds to the gains of `units` over the coverage by all `chosen` rows.
+
+    For a unit whose gain is known over the first `asof` of them (0: not known), it is the
+    change since then, to which only points that a later one covers better contribute.
+    """
+    total = np.zeros(len(units))
+    cover = np.maximum.accumulate(points @ chosen.T, axis=1)
+    for asof in np.unique(asofs):
+        own, new = np.flatnonzero(asofs == asof), cover[:, -1]
+        old = cover[:, asof - 1] if asof else new
+        moved = np.flatnonzero(new > old) if asof else np.arange(len(points))
+        for a in range(0, len(moved), TILE[0]):
+            at = moved[a : a + TILE[0]]
+            x, now, before = points[at], new[at, None], old[at, None]
+            for b in range(0, len(own), TILE[1]):
+                near = x @ units[own[b : b + TILE[1]]].T
+                part = np.maximum(near, before).sum(0) - before.sum() if asof else 0.0
+                total[own[b : b + TILE[1]]] += np.maximum(near, now, out=near).sum(0) - now.sum() - part
+    return total
+
+
 def facility_location(
-    rows: DataFrame, candidates: DataFrame, vector: str, id_: str, priority: str, budget: int, block: int = 512, held: int = 20_000
+    rows: DataFrame, candidates: DataFrame, vector: str, id_: str, priority: str, budget: int, block: int = 512, held: int = 4096
 ) -> DataFrame:
     """(step, id, gain): greedy choice from `candidates` of the most summed cosine similarity to every one of `rows`.
 
-    Starts at the candidate of most priority, the greatest id on a tie; later ties go to the
-    least id. `candidates` may be the whole pool: bounds on the gains are kept as a table, and
-    since gains only fall as coverage grows, a step scores only candidates whose bound or
-    earlier gain can still win, `block` of them a scan. The driver holds at most about twice `held`
-    scored candidates; beyond, their gains go back into the table as bounds. Negative
-    similarities count as they are.
+    Starts at the candidate of most priority, the greatest id on a tie; later ties (to one
+    part in 10^9) go to the least id. `candidates` may be the whole pool. A table keeps for
+    each candidate a bound on its gain or its gain over the first chosen rows; since gains
+    only fall as coverage grows, a step scores the `block` greatest first and then, in one
+    join of blocks of at most `held` vectors, those that can still win. A known gain is only
+    corrected by the points that have been covered better since. The driver holds the chosen
+    rows alone, a task two blocks and a tile of their similarities. Negative similarities
+    count as they are.
     """
     spark = rows.sparkSession
-    points = _ids(rows, vector, id_)
-    offers = candidates.filter(F.col(vector).isNotNull()).select(F.col(id_).cast("string").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.col(priority).alias("p"))
+    points = cut(_ids(rows, vector, id_))
+    offers = cut(candidates.filter(F.col(vector).isNotNull()).select(F.col(id_).cast("string").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.col(priority).alias("p")))
     start = offers.orderBy(F.desc_nulls_last("p"), F.desc("id")).limit(1).toPandas()
     if not len(start) or budget <= 0:
         return spark.createDataFrame([], "step int, id string, gain double")
     chosen = _units(start["v"])
 
-    def gains(units: np.ndarray, covered: bool = True) -> np.ndarray:
-        """Exact gains of `units` over the coverage by all chosen ones (or over none)."""
-        cover = chosen
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            total = np.zeros(len(units))
-            for b in batches:
-                for a in range(0, len(b), 2000):
-                    u = _units(b["v"].iloc[a : a + 2000])
-                    near = u @ units.T
-                    total += (np.maximum(0, near - (u @ cover.T).max(1, keepdims=True)) if covered else near).sum(0)
-            yield pd.DataFrame({"c": range(len(total)), "g": total})
-
-        found = points.mapInPandas(run, "c int, g double").groupBy("c").agg(F.sum("g").alias("g")).toPandas()
-        out = np.zeros(len(units))
-        out[found["c"]] = found["g"]
-        return out
-
-    steps = [(1, start["id"].iloc[0], float(gains(chosen, False)[0]))]
-    table = cut(_gain_bounds(points, offers, chosen[0]).filter(F.col("id") != steps[0][1]))
-    empty = pd.DataFrame({"id": pd.Series(dtype=str), "bound": pd.Series(dtype=float), "v": pd.Series(dtype=object)})
-
-    def put_back(table: DataFrame, scored: pd.DataFrame) -> DataFrame:
-        back = spark.createDataFrame(scored[["id", "bound"]].rename(columns={"id": "_id", "bound": "_b"}), "_id string, _b double")  # about `held` rows
-        return cut(table.join(F.broadcast(back), F.col("id") == F.col("_id"), "left").select("id", F.coalesce("_b", "bound").alias("bound")))
-
-    # the scored ones, the place in the table's order up to which they were taken, whether that is its end
-    pool, last, done = empty, None, False
+    def unit_bytes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                yield b.assign(v=[u.tobytes() for u in _units(b["v"])])
+
+    numbered = lambda frame: frame.withColumn("k", F.monotonically_increasing_id())
+    n = points.count()
+    size = max(1, min(held, -(-n // 64)))
+    parts = -(-n // (size * 8)) or 1
+    fixed = numbered(points).select("k", "v").mapInPandas(unit_bytes, "k long, v binary").withColumn("asof", F.lit(0))
+    blocks = cut(_packed(fixed, size, parts).select(F.col("vectors").alias("points")))
+    first = chosen[0]
+
+    def nearness(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = sum((np.frombuffer(x).reshape(-1, len(first)) @ first).sum() for b in batches for x in b.column(0).to_pylist())
+        yield pa.RecordBatch.from_pydict({"g": [float(total)]})
+
+    def scored(stale: DataFrame, many: int) -> DataFrame:
+        """The `many` rows of `stale` with exact gains over all chosen rows."""
+        now = chosen
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total: dict[bytes, np.ndarray] = {}
+            for batch in batches:
+                for ks, asofs, vectors, x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    units, others = (np.frombuffer(v).reshape(-1, now.shape[1]) for v in (vectors, x))
+                    part = _gain_parts(units, np.frombuffer(asofs, np.int32), others, now)
+                    total[ks] = total[ks] + part if ks in total else part
+            for ks, part in total.items():
+                yield pa.RecordBatch.from_pydict({"_k": np.frombuffer(ks, np.int64), "_part": part})
+
+        pairs = cut(_packed(stale, held, -(-many // held))).crossJoin(blocks)
+        sums = pairs.mapInArrow(run, "_k long, _part double").groupBy("_k").agg(F.sum("_part").alias("_part"))
+        gain = F.when(F.col("asof") == 0, 0.0).otherwise(F.col("gain")) + F.coalesce("_part", F.lit(0.0))
+        return stale.join(sums, F.col("k") == F.col("_k"), "left").select("k", "id", "v", gain.alias("gain"), F.lit(len(now)).alias("asof"))
+
+    steps = [(1, start["id"].iloc[0], float(blocks.mapInArrow(nearness, "g double").agg(F.sum("g")).first()[0] or 0.0))]
+    bounds = _gain_bounds(points, numbered(offers).select(F.col("k").cast("string").alias("id"), "v"), first).select(F.col("id").cast("long").alias("_k"), F.col("bound").alias("gain"))
+    units = numbered(offers).select("k", "id", "v").mapInPandas(unit_bytes, "k long, id string, v binary")
+    table = cut(units.filter(F.col("id") != steps[0][1]).join(bounds, F.col("k") == F.col("_k")).select("k", "id", "v", "gain", F.lit(0).alias("asof")))
     while len(steps) < budget:
-        fresh, best, after = set(), None, None
-        while True:
-            stale = pool[~pool["id"].isin(fresh)].nlargest(block, "bound")
-            rest = np.inf if last is None else -np.inf if done else last[0]
-            most = max(rest, stale["bound"].max() if len(stale) else -np.inf)
-            if most == -np.inf or (best is not None and most < best[0] - 1e-8):
-                break
-            if not len(stale) or rest > stale["bound"].max():
-                # the next rows of the table, by falling bound
-                later = table if last is None else table.filter((F.col("bound") < last[0]) | ((F.col("bound") == last[0]) & (F.col("id") > last[1])))
-                took = later.orderBy(F.desc("bound"), "id").limit(block)
-                stale = took.join(offers.select("id", "v"), "id").toPandas().sort_values(["bound", "id"], ascending=[False, True])
-                stale = stale[~stale["id"].isin([s[1] for s in steps])]
-                place = took.agg(F.count(F.lit(1)), F.max(F.struct(-F.col("bound"), "id"))).first()
-                last, done = (-place[1][0], place[1][1]) if place[0] else (-np.inf, ""), place[0] < block
-                if not len(stale):
-                    continue
-                pool = pd.concat([pool, stale], ignore_index=True) if len(pool) else stale.reset_index(drop=True)
-            exact = dict(zip(stale["id"], gains(_units(stale["v"])), strict=True))
-            scored = pool["id"].isin(exact)
-            pool.loc[scored, "bound"] = pool.loc[scored, "id"].map(exact)
-            fresh |= exact.keys()
-            least = min((-round(g, 9), k) for k, g in exact.items())
-            if best is None or least < (-best[0], best[1]):
-                best = -least[0], least[1]
-            if len(fresh) > held:
-                lost = pool["id"].isin(fresh) & (pool["id"] != best[1])
-                after = put_back(table if after is None else after, pool[lost])
-                pool, fresh = pool[~lost], {best[1]}
-        if best is None:
+        head = cut(scored(table.orderBy(F.desc("gain"), "k").limit(block), block))
+        least = head.agg(F.max("gain")).first()[0]
+        if least is None:
             break
-        own = pool[pool["id"] == best[1]]
-        chosen = np.vstack([chosen, _units(own["v"])])
-        steps.append((len(steps) + 1, best[1], float(own["bound"].iloc[0])))
-        pool = pool[pool["id"] != best[1]]
-        if after is not None or len(pool) > held:
-            table = put_back(table if after is None else after, pool)
-            pool, last, done = empty, None, False
+        slip = TIE * max(1.0, least)
+        # the rows of the head are scored already, those below cannot win
+        known = table.join(F.broadcast(head.select(F.col("k").alias("_k"))), F.col("k") == F.col("_k"), "left_anti")  # `block` keys
+        able = F.col("gain") >= least - slip
+        many = known.filter(able).count()
+        head = head.unionByName(scored(known.filter(able), many)) if many else head
+        table = cut(head.unionByName(known.filter(~able)))
+        fresh = table.filter(F.col("asof") == len(chosen))
+        most = fresh.agg(F.max("gain")).first()[0]
+        best = fresh.filter(F.col("gain") >= most - TIE * max(1.0, most)).orderBy("id").limit(1).first()
+        chosen = np.vstack([chosen, np.frombuffer(best["v"])])
+        steps.append((len(steps) + 1, best["id"], float(best["gain"])))
+        table = table.filter(F.col("id") != best["id"])
     return spark.createDataFrame(steps, "step int, id string, gain double")

@@ -151,6 +151,24 @@ def test_facility_location_over_the_whole_pool(spark, block, held):
     assert min(chosen[1:]) < 300
 
 
+def test_facility_location_scores_a_loose_pool_in_few_jobs(spark):
+    g = np.random.default_rng(9)
+    u = g.normal(size=(1200, 16))  # no direction stands out, so that bounds rule nothing out
+    rows = spark.createDataFrame([(f"{k:04d}", v.tolist(), float(k == 5)) for k, v in enumerate(u)], "id string, v array<double>, p double")
+    spark.sparkContext.setJobGroup("facility", "facility")
+    steps = cluster.facility_location(rows, rows, "v", "id", "p", 4, 20, 128).orderBy("step").collect()
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("facility")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    near, chosen = u @ u.T, [5]
+    while len(chosen) < 4:
+        gain = np.maximum(0, near - near[:, chosen].max(1, keepdims=True)).sum(0)
+        gain[chosen] = -1
+        chosen.append(int(gain.argmax()))
+    assert [int(s["id"]) for s in steps] == chosen and steps[-1]["gain"] == pytest.approx(np.maximum(0, near[:, chosen[3]] - near[:, chosen[:3]].max(1)).sum())
+    assert len(jobs) < 120, len(jobs)
+
+
 def test_stream_counts_and_scoring_sink(spark, tmp_path):
     rows = spark.range(100).select("id", F.timestamp_seconds(F.col("id") * 60).alias("ts"), (F.col("id") % 2).cast("string").alias("g"))
     rows.repartition(4).write.parquet(f"{tmp_path}/in")
