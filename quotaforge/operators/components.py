@@ -6,47 +6,39 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quotaforge.functions.expr import seeded
-from quotaforge.operators.order import cut, rank_in_groups
-
-#: A key with more than so great a part of all rows, and more rows than the least, is hot.
-HOT_PART, HOT_LEAST = 1000, 256
+from quotaforge.operators.order import cut, global_rank, rank_in_groups
 
 
 def key_components(rows: DataFrame, id_: str, keys: list[str]) -> DataFrame:
     """(id, component): the least id reachable over rows that share a value of any of `keys`; null keys join nothing.
 
-    Rounds of least ids per key and a jump to the component's own component, until none
-    changes. Keys are aggregated before they are joined back; those that hold more than one
-    row in `HOT_PART` (there are fewer than that) meet their rows by broadcast.
+    Each row is linked to the least id of each of its keys, and the links are contracted by
+    stars (`llm.graph`), so the rounds run over ids alone and follow the logarithm of a
+    chain's length. Ids that are no whole numbers stand for themselves by their rank.
     """
-    total = rows.count()
-    now = cut(rows.select(F.col(id_), *keys, F.col(id_).alias("component")))
-    while True:
-        new = now.withColumn("_was", F.col("component"))
-        for key in keys:
-            least = new.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("_k")).agg(F.min("component").alias("_least"), F.count(F.lit(1)).alias("_n"))
-            new = _lowered(new, key, least, total)
-        up = new.groupBy(F.col(id_).alias("_i")).agg(F.min("component").alias("_least"))
-        known = new.groupBy(F.col("component").alias("_k")).agg(F.count(F.lit(1)).alias("_n"))
-        new = _lowered(new, "component", known.join(up, F.col("_k") == F.col("_i")).drop("_i"), total)
-        new = cut(new)
-        changed = new.filter("component <> _was").limit(1).count()
-        now = new.drop("_was")
-        if not changed:
-            return now.select(id_, "component")
-
+    from quotaforge.llm.common import meet
+    from quotaforge.llm.graph import components
 
-def _lowered(rows: DataFrame, key: str, least: DataFrame, total: int) -> DataFrame:
-    """`rows` with the lesser of their component and that of their key in `least` (_k, _least, and _n rows)."""
-    lower = lambda frame: frame.withColumn("component", F.least("component", "_least")).drop("_k", "_least")
-    least, most = cut(least), max(total // HOT_PART, HOT_LEAST)
-    rest = least.filter(F.col("_n") <= most).drop("_n")
-    if least.filter(F.col("_n") > most).isEmpty():
-        return lower(rows.join(rest, F.col(key) == F.col("_k"), "left"))
-    seen = cut(rows.join(F.broadcast(least.filter(F.col("_n") > most).drop("_n")), F.col(key) == F.col("_k"), "left"))
-    open_ = F.col("_k").isNull() & F.col(key).isNotNull()
-    others = seen.filter(open_).drop("_k", "_least").join(rest, F.col(key) == F.col("_k"), "left")
-    return lower(seen.filter(~open_)).unionByName(lower(others))
+    whole = dict(rows.dtypes)[id_] in ("tinyint", "smallint", "int", "bigint")
+    own = cut(rows.select(F.col(id_).alias("_id"), *[F.col(key).alias(f"_key{k}") for k, key in enumerate(keys)]))
+    if not whole:
+        ids = cut(global_rank(own.select("_id").filter("_id is not null").distinct(), [F.col("_id")], "_node"))
+        own = cut(own.join(ids, "_id", "left"))
+    else:
+        own = own.withColumn("_node", F.col("_id").cast("long"))
+    links = None
+    for k in range(len(keys)):
+        held = own.filter(F.col(f"_key{k}").isNotNull() & F.col("_node").isNotNull()).select(f"_key{k}", F.col("_node").alias("a"))
+        least = cut(held.groupBy(f"_key{k}").agg(F.min("a").alias("b"), F.count(F.lit(1)).alias("_rows")).filter("_rows > 1"))
+        found = meet(held, least, f"_key{k}").select("a", "b").filter("a <> b")
+        links = found if links is None else links.union(found)
+    if links is None:
+        return rows.select(id_, F.col(id_).alias("component"))
+    roots = components(links).select(F.col("node").alias("_node"), F.col("root").alias("_root"))
+    if not whole:
+        roots = roots.join(ids.select(F.col("_node").alias("_root"), F.col("_id").alias("_least")), "_root").select("_node", F.col("_least").alias("_root"))
+    least = F.coalesce(F.col("_root"), F.col("_id")).cast(rows.schema[id_].dataType)
+    return own.select("_id", "_node").join(roots, "_node", "left").select(F.col("_id").alias(id_), least.alias("component"))
 
 
 def take_exact(have: dict[int, int], target: int) -> dict[int, int] | None:

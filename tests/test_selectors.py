@@ -208,3 +208,25 @@ def test_groups_orders_and_pooling(spark):
     assert spark.range(1).select(expr.margin_confidence(F.lit(-2.0), 1.0)).first()[0] == pytest.approx(1 / (1 + math.exp(-2)))
     with pytest.raises(ValueError, match="positive"):
         expr.margin_confidence(F.lit(1.0), 0.0)
+
+
+def test_components_write_keys_once(spark, monkeypatch):
+    """The rounds run over ids: keys, which may be long, are written once as rows and once each as groups; ids may be strings."""
+    from quotaforge.llm import graph
+    from quotaforge.operators import components
+
+    wrote = []
+
+    def noted(f):
+        return lambda frame: (wrote.append(any(t == "string" for _, t in frame.dtypes)), f(frame))[1]
+
+    monkeypatch.setattr(components, "cut", noted(components.cut))
+    monkeypatch.setattr(graph, "cut", noted(graph.cut))
+    rows = [(k, f"a{(k + 1) // 2}", f"b{k // 2}") for k in range(12)] + [(20, None, None)]
+    frame = spark.createDataFrame(rows, "id int, a string, b string")
+    found = components.key_components(frame, "id", ["a", "b"])
+    assert found.dtypes == [("id", "int"), ("component", "int")]
+    assert {r["id"]: r["component"] for r in found.collect()} == {k: 0 for k in range(12)} | {20: 20}
+    assert sum(wrote) <= 3
+    named = components.key_components(frame.withColumn("id", F.format_string("n%02d", "id")), "id", ["a", "b"])
+    assert {r["id"]: r["component"] for r in named.collect()} == {f"n{k:02d}": "n00" for k in range(12)} | {"n20": "n20"}
