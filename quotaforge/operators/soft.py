@@ -16,7 +16,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -98,19 +98,19 @@ def _sums(table: DataFrame, point: np.ndarray, smooth: float):
     """Smoothed part of the dual at `point`, the selection's sums and their curvature: 1 + k + k * k numbers leave a task."""
     k = len(point)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 + k + k * k)
         for b in batches:
             if len(b):
-                a = np.hstack([np.ones((len(b), 1)), np.array(b["a"].tolist())])
-                z = (b["u"].to_numpy() - a @ point) / smooth
+                a = np.hstack([np.ones((len(b), 1)), b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(b), -1)])
+                z = (b.column(0).to_numpy(zero_copy_only=False) - a @ point) / smooth
                 x = np.exp(-np.logaddexp(0, -z))
                 total[0] += smooth * np.logaddexp(0, z).sum()
                 total[1 : 1 + k] += x @ a
                 total[1 + k :] += ((a * (x * (1 - x))[:, None]).T @ a).ravel()
-        yield pd.DataFrame({"k": range(len(total)), "v": total})
+        yield pa.RecordBatch.from_pydict({"k": np.arange(len(total), dtype=np.int32), "v": total})
 
-    found = table.select("u", "a").mapInPandas(run, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).toPandas().set_index("k")["v"]
+    found = table.select("u", "a").mapInArrow(run, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).toPandas().set_index("k")["v"]
     v = found.reindex(range(1 + k + k * k), fill_value=0.0).to_numpy()
     return v[0], v[1 : 1 + k], v[1 + k :].reshape(k, k)
 

@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 
 from quotaforge.functions import expr as E
 from quotaforge.functions import templates
-from quotaforge.operators import audit, choose, cluster, components, evaluate, influence, preference, records, response, soft, tables
+from quotaforge.operators import audit, choose, cluster, components, evaluate, influence, order, preference, records, response, soft, tables
 from quotaforge.streaming import shares
 
 QUERIES: dict = {}
@@ -588,9 +588,9 @@ def stream_event_counts(spark, d):
 
 
 def soft_pool(spark, d):
-    """The class pool with its entropy, memberships by class and bounds of 0.05 about them."""
+    """The class pool with its entropy, memberships by class and bounds of 0.05 about them, written once: selections scan it many times."""
     pool = class_pool(spark, d).select("id", E.entropy(F.col("p")).alias("entropy"), F.map_from_arrays(F.transform(F.sequence(F.lit(0), F.size("p") - 1), lambda k: k.cast("string")), "p").alias("m"))
-    return pool.withColumn("low", F.transform_values("m", lambda _, v: F.greatest(v - 0.05, F.lit(0.0)))).withColumn("high", F.transform_values("m", lambda _, v: F.least(v + 0.05, F.lit(1.0))))
+    return order.cut(pool.withColumn("low", F.transform_values("m", lambda _, v: F.greatest(v - 0.05, F.lit(0.0)))).withColumn("high", F.transform_values("m", lambda _, v: F.least(v + 0.05, F.lit(1.0)))))
 
 
 def soft_targets(pool):

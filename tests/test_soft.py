@@ -85,3 +85,12 @@ def test_matched_random_on_a_larger_pool(spark):
     rows, _, m = _pool(spark, 60, 9)
     ids = [r["id"] for r in soft.matched_random(rows, "id", "m", dict(zip("xyz", m.mean(0).tolist(), strict=True)), 12, 0.05, 3).collect()]
     assert len(set(ids)) == 12 and _breach(ids, m, m, m.mean(0), 0.05) <= 1e-8
+
+
+def test_soft_pool_is_written_once(spark):
+    """Selections scan the pool many times; what they scan must be the written pool, not its making."""
+    from quotaforge.plans import registry
+
+    d = "/root/testdata/sf0.001"
+    pool = registry.soft_pool(spark, d)
+    assert pool.inputFiles() == [] and pool.count() == spark.read.parquet(f"{d}/embeddings.parquet").count()
