@@ -21,8 +21,10 @@ column named like the result is replaced, and all others are kept as they are.
 from __future__ import annotations
 
 import heapq
+import itertools
 import json
 import re
+from collections import defaultdict
 from functools import lru_cache
 
 import numpy as np
@@ -84,15 +86,15 @@ class Vocabulary:
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.order[at], -1)
 
-    def words(self, text: str, number: dict[str | int, int]) -> np.ndarray:
-        """The numbers of a text's words, new words being numbered; an added token counts as a word that is its id."""
+    def words(self, text: str, number: defaultdict[str | int, int]) -> np.ndarray:
+        """The numbers of a text's words, new words being numbered by `number` itself; an added token counts as a word that is its id."""
         codes: list[np.ndarray] = []
         for part in self.split.split(text) if self.split else [text]:
             if part in self.added:
-                codes.append(np.array([number.setdefault(self.added[part], len(number))]))
+                codes.append(np.array([number[self.added[part]]]))
             elif part:
                 found = PATTERN.findall(part) if len(part) < LONG else (m.group() for m in PATTERN.finditer(part))
-                codes.append(np.fromiter((number.setdefault(w, len(number)) for w in found), np.int64))
+                codes.append(np.fromiter(map(number.__getitem__, found), np.int64))
         return np.concatenate(codes) if codes else np.zeros(0, np.int64)
 
 
@@ -166,7 +168,7 @@ class PairIndex:
 
 def encoded_texts(texts: list[str], vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts end to end, and where each text's ids begin (with the end of the last)."""
-    number: dict[str | int, int] = {}
+    number: defaultdict[str | int, int] = defaultdict(itertools.count().__next__)
     codes = [vocabulary.words(t, number) for t in texts]
     words = [w for w in number if isinstance(w, str)]
     ids, length = PairIndex([w.encode() for w in words], vocabulary).encoded() if words else (np.zeros(0, np.int64),) * 2
@@ -235,6 +237,11 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
     return rows.mapInArrow(run, schema)
 
 
+def decoded_text(ids: pa.Array, known: dict[int, bytes]) -> str:
+    """The text of `ids`; they pass through numpy, since Arrow makes an object of each value on its way to a list."""
+    return b"".join([known.get(i, b"") for i in ids.drop_null().to_numpy().tolist()]).decode("utf-8", "replace")
+
+
 def decode(rows: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """The rows with the column `text` in place of `ids`: the bytes of the tokens end to end, added tokens included."""
     content = given(rows.sparkSession, path)
@@ -252,7 +259,7 @@ def decode(rows: DataFrame, path: str, ids: str = "ids", text: str = "decoded")
                 if own is None:
                     texts.append(None)
                     continue
-                texts.append(b"".join([known.get(i, b"") for i in own.to_pylist()]).decode("utf-8", "replace"))
+                texts.append(decoded_text(own, known))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], [*batch.schema.names[:-1], text])
 
     return given_rows.mapInArrow(run, schema)
