@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from quotaforge.operators.order import cut
 
 #: Least rows of a block and blocks of a small pool (a task of Python costs as much as some ten million similarities), and bytes of the largest.
-BLOCK, BLOCK_BYTES = (2048, 6), 1 << 24
+BLOCK, BLOCK_BYTES = (2048, 6), 1 << 25
 #: Points and candidates whose similarities are held at once; gains that differ by less, as a part of the greatest, tie.
 TILE, TIE = (512, 512), 1e-9
 #: Rows beside the first block that the driver sends to all tasks to be scored exactly.
@@ -167,9 +167,9 @@ def _packed(rows: DataFrame, size: int, parts: int) -> DataFrame:
     return rows.select("k", "asof", "v").repartition(parts, "k").mapInArrow(run, "ks binary, asofs binary, vectors binary")
 
 
-def _block_size(n: int, held: int) -> tuple[int, int]:
-    """Rows a block, and the number of blocks that `n` rows fill nine tenths of, so that parts by a hash seldom need one more."""
-    size = max(1, min(held, max(BLOCK[0], -(-n // BLOCK[1]))))
+def _block_size(n: int, held: int, others: int = BLOCK[1]) -> tuple[int, int]:
+    """Rows a block, so that with `others` blocks there are pairs enough for all cores; and the number of blocks that `n` rows fill nine tenths of, so that parts by a hash seldom need one more."""
+    size = max(1, min(held, max(BLOCK[0], -(-n // max(1, BLOCK[1] ** 2 // others)))))
     return size, -(-n * 10 // (size * 9)) or 1
 
 
@@ -227,7 +227,7 @@ def _gain_parts(units: np.ndarray, asofs: np.ndarray, points: np.ndarray, weight
 
 
 def facility_location(
-    rows: DataFrame, candidates: DataFrame, vector: str, id_: str, priority: str, budget: int, block: int = 512, held: int = 1 << 15
+    rows: DataFrame, candidates: DataFrame, vector: str, id_: str, priority: str, budget: int, block: int = 512, held: int = 1 << 16
 ) -> DataFrame:
     """(step, id, gain): greedy choice from `candidates` of the most summed cosine similarity to every one of `rows`.
 
@@ -260,8 +260,8 @@ def facility_location(
 
     # equal vectors become one point, its weight in the place of `asof`
     alike = cut(numbered(points.select("v").mapInPandas(unit_bytes, "v binary").groupBy("v").agg(F.count(F.lit(1)).alias("asof"))))
-    size, many = _block_size(alike.count(), held)
-    blocks = cut(_packed(alike, size, many).select(F.col("asofs").alias("weights"), F.col("vectors").alias("points")))
+    size, parts = _block_size(alike.count(), held)
+    blocks = cut(_packed(alike, size, parts).select(F.col("asofs").alias("weights"), F.col("vectors").alias("points")))
     first = chosen[0]
 
     def nearness(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -311,7 +311,7 @@ def facility_location(
             for ks, part in total.items():
                 yield pa.RecordBatch.from_pydict({"_k": np.frombuffer(ks, np.int64), "_part": part[0], "_off": part[1]})
 
-        pairs = cut(_packed(stale.join(units, "k"), *_block_size(many, held))).hint("shuffle_replicate_nl").crossJoin(blocks)
+        pairs = cut(_packed(stale.join(units, "k"), *_block_size(many, held, parts))).hint("shuffle_replicate_nl").crossJoin(blocks)
         sums = pairs.mapInArrow(run, "_k long, _part double, _off double").groupBy("_k").agg(F.sum("_part").alias("_part"), F.sum("_off").alias("_off"))
         known = lambda c: F.when(F.col("asof") == 0, 0.0).otherwise(F.col(c)) if single else F.lit(0.0)
         fresh, off = F.col("_k").isNotNull(), F.col("_off") if single else F.lit(0.0)
